@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup
-from .common import table
+from . import ann, mixing, neardup, rules, sharding, warc
+from .common import Scratch, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +15,34 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
+def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.schedule(docs).select("row.doc_id", "source", "block_no", "slot", "position")
+
+
+def op3_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), f"{scratch.folder}/archives")
+    return warc.read_archives(spark, f"{scratch.folder}/archives")
+
+
+def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "shards")
+    records = sharding.sized(table(spark, sf_dir, "documents"))
+    sharding.save_map(sharding.build_map(sharding.slot_bytes(records), 8), f"{scratch.folder}/map")
+    placed = sharding.assign(records, sharding.load_map(spark, f"{scratch.folder}/map"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.cascade(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
