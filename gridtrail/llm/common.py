@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bytes of one Arrow batch on its way to Python; long texts then come a few at a time.
 BATCH_BYTES = 8 << 20
 #: Rows of one Arrow batch where the byte limit isn't known to the Spark version.
@@ -21,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, unless the session bounds them more tightly already."""
+    """Bound the Arrow batches of this session, unless it bounds them more tightly already; send the package to workers."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     try:

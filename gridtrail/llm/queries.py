@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, neardup, rules, sharding, warc
+from . import ann, bpe, mixing, neardup, rules, sharding, toxicity, warc
 from .common import Scratch, table
 
+#: Score from which a text counts as toxic.
+TOXIC = 0.3
+#: The public tokenizer file, at the same path on every executor.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -25,6 +31,27 @@ def op3_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digested(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def remainder(n: int) -> Column:
+    """crc32 of the doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def toxicity_scorer(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Scorer:
+    """Learnt from the labels of rows whose remainder by 4 isn't 2; the character model from all of docs."""
+    labels = table(spark, sf_dir, "labels").where(remainder(4) != 2)
+    return toxicity.fit(docs, labels, toxicity.character_model(docs), Scratch(spark, "toxicity"))
+
+
+def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity_scorer(spark, sf_dir, docs))
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), f"{scratch.folder}/archives")
