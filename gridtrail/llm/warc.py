@@ -60,7 +60,10 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     total = records.agg(F.sum(F.col("payload_bytes") + 500)).first()[0] or 0
     files = max(1, -(-int(total) // ARCHIVE_BYTES))
     revisits = resolved(records, least_bytes).withColumnsRenamed({"page_id": "r_page", "payload_digest": "r_digest"})
-    dealt = records.join(revisits, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("payload_digest") == F.col("r_digest")), "left")
+    # payloads move once: dealt to as many tasks as there are archives, joined and written there
+    key = lambda page: F.coalesce(page.cast("string"), F.lit("-"))
+    revisits = revisits.select(key(F.col("r_page")).alias("key"), F.col("r_digest").alias("payload_digest"), "refers_to")
+    dealt = records.withColumn("key", key(F.col("page_id"))).repartition(files, "key", "payload_digest").join(revisits, ["key", "payload_digest"], "left")
     dealt = dealt.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
@@ -77,7 +80,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block,
     )
     # a record ends with two line ends, which the text writer puts after each row
-    dealt.select(text.alias("value"), "page_id", "payload_digest").repartition(files, F.xxhash64("page_id", "payload_digest")).select("value").write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
+    dealt.select(text.alias("value")).write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
 
 
 def records_in(data: bytes) -> Iterator[tuple[dict, bytes]]:
