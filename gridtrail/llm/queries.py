@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, neardup, rules, sharding, toxicity, warc
+from . import ann, bpe, mixing, neardup, pii, quality, rules, sharding, toxicity, warc
 from .common import Scratch, table
 
 #: Score from which a text counts as toxic.
@@ -40,6 +40,16 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranker = quality.fit(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1))
+    return quality.scored(docs, ranker).select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.reported(table(spark, sf_dir, "documents"))
+
+
 def toxicity_scorer(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Scorer:
     """Learnt from the labels of rows whose remainder by 4 isn't 2; the character model from all of docs."""
     labels = table(spark, sf_dir, "labels").where(remainder(4) != 2)
