@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import column, small_batches
 
-#: Words kept between batches, at most; beyond it the table starts anew.
-KNOWN_WORDS = 200_000
+#: Words kept between batches, at most, twice over: words of the last but one filling stay while they recur.
+KNOWN_WORDS = 150_000
+#: Symbols from which on a word is merged by itself.
+LONG_WORD = 200
 #: Characters of the longest word that is kept.
 KNOWN_CHARS = 64
 #: White space of the pattern language of the tokenizer file, and its word pattern: fixed values.
@@ -74,14 +76,16 @@ class Bpe:
             if self.rank[t] < 0:
                 self.left[t], self.right[t], self.rank[t] = a, b, r
         self.pairs = np.array(sorted((a << 32 | b, r) for (a, b), (r, _) in self.ranks.items()), dtype=np.int64)
-        self.base = most
+        self.made_by = np.array([t for _, t in sorted(self.ranks.values())], dtype=np.int64)
         self.sound = self._sound()
         self.automaton = ahocorasick.Automaton()
         for t, i in self.ids.items():
             if self.sound[i]:
                 self.automaton.add_word(self._marked(t), (i, len(self._marked(t))))
         self.automaton.make_automaton()
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known_ids: dict[str, bytes] = {}
+        self.known_text: dict[str, bytes] = {}
+        self.older: tuple[dict, dict] = ({}, {})
 
     @staticmethod
     def _marked(token: str) -> str:
@@ -116,6 +120,66 @@ class Bpe:
                     heapq.heappush(heap, (found[0], x, found[1], ids[x], ids[y]))
         return [t for t, out in zip(ids, gone, strict=True) if not out]
 
+    def merge_many(self, words: list[list[int]]) -> list[list[int]]:
+        """merge() of many words at once: in each round, every word's pairs of its lowest rank.
+
+        A pair with a new token ranks after that token, so merging all places of a pair at once, the left
+        one first where they overlap, is the same as merging them one by one.
+        """
+        out: list[list[int]] = [[]] * len(words)
+        short = [k for k, w in enumerate(words) if len(w) < LONG_WORD]
+        for k, w in enumerate(words):
+            if len(w) >= LONG_WORD:
+                out[k] = self.merge(w)
+        if not short:
+            return out
+        sizes = np.array([len(words[k]) for k in short])
+        ids = np.fromiter((t for k in short for t in words[k]), dtype=np.int64, count=int(sizes.sum()))
+        word = np.repeat(np.array(short), sizes)
+        none = np.iinfo(np.int64).max
+        rank = np.full(len(ids), none)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner] = self.merge_rank(ids[inner], ids[inner + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            sizes = np.diff(np.append(starts, len(ids)))
+            least = np.minimum.reduceat(rank, starts)
+            open_ = np.repeat(least < none, sizes)
+            if not open_.all():
+                done.append((word[~open_], ids[~open_]))
+                ids, word, rank = ids[open_], word[open_], rank[open_]
+                if not len(ids):
+                    break
+                sizes, least = sizes[least < none], least[least < none]
+            hit = rank == np.repeat(least, sizes)
+            at = np.flatnonzero(hit)
+            # of overlapping places every second one, from the left
+            new_run = np.concatenate(([True], np.diff(at) > 1))
+            first = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            ids[at] = self.made_by[rank[at]]
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            changed = np.zeros(len(ids), dtype=bool)
+            changed[at] = True
+            ids, word, rank, changed = ids[keep], word[keep], rank[keep], changed[keep]
+            touched = changed.copy()
+            touched[:-1] |= changed[1:]
+            look = np.flatnonzero(touched)
+            rank[look] = none
+            look = look[look < len(ids) - 1]
+            look = look[word[look] == word[look + 1]]
+            rank[look] = self.merge_rank(ids[look], ids[look + 1])
+        word = np.concatenate([w for w, _ in done])
+        ids = np.concatenate([i for _, i in done])
+        order = np.argsort(word, kind="stable")
+        word, ids = word[order], ids[order].tolist()
+        starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        for k, x, y in zip(word[starts].tolist(), starts.tolist(), np.append(starts[1:], len(word)).tolist(), strict=True):
+            out[k] = ids[x:y]
+        return out
+
     def merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of merging a and b, or a large number if they don't merge."""
         key = a.astype(np.int64) << 32 | b
@@ -173,7 +237,7 @@ class Bpe:
         stops = np.cumsum(sizes)
         hits = [(end + 1, t, n) for end, (t, n) in self.automaton.iter_long(joined)]
         if not hits:
-            return [self.merge(self.symbols(w)) for w in words]
+            return self.merge_many([self.symbols(w) for w in words])
         ends, ids, lengths = np.array(hits, dtype=np.int64).T
         word = np.searchsorted(stops, ends - 1, side="right")
         covered = np.bincount(word, weights=lengths, minlength=len(words)) == sizes
@@ -182,8 +246,13 @@ class Bpe:
         keys, back = np.unique(a << 32 | b, return_inverse=True)
         fits = self.compatible(keys >> 32, keys & 0xFFFFFFFF)[back] if len(keys) else np.empty(0, bool)
         covered[word[:-1][inner][~fits]] = False
-        cuts = np.searchsorted(word, np.arange(len(words) + 1))
-        return [ids[cuts[k] : cuts[k + 1]].tolist() if covered[k] else self.merge(self.symbols(words[k])) for k in range(len(words))]
+        cuts = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
+        ids = ids.tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        failed = np.flatnonzero(~covered).tolist()
+        for k, merged in zip(failed, self.merge_many([self.symbols(words[k]) for k in failed]), strict=True):
+            out[k] = merged
+        return out
 
     def words(self, text: str) -> list[str]:
         """A text's words after normalisation, without special tokens."""
@@ -200,30 +269,40 @@ class Bpe:
             out += [self.special[part]] if part in self.special else self.words(part)
         return out
 
-    def _learn(self, words: set[str]) -> dict:
-        """Ids as bytes and decoded text as bytes of the words that aren't known."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        local = {}
-        for w, ids in zip(new, self.tokens(new) if new else [], strict=True):
-            value = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids]).encode()
-            (self.known if len(w) <= KNOWN_CHARS else local)[w] = value
+    def _learn(self, words: set) -> tuple[dict, dict]:
+        """Make ids and decoded text (as bytes) of words known; those too long to be kept are returned."""
+        if len(self.known_ids) + len(words) > KNOWN_WORDS:
+            self.older = self.known_ids, self.known_text
+            self.known_ids, self.known_text = {}, {}
+        old_ids, old_text = self.older
+        ids, text, names = self.known_ids, self.known_text, self.names
+        local: tuple[dict, dict] = {}, {}
+        new = []
+        for w in words.difference(ids):
+            if w in old_ids:
+                ids[w], text[w] = old_ids[w], old_text[w]
+            else:
+                new.append(w)
+        for w, found in zip(new, self.tokens(new) if new else [], strict=True):
+            to_ids, to_text = (ids, text) if len(w) <= KNOWN_CHARS else local
+            to_ids[w] = struct.pack(f"<{len(found)}I", *found)
+            to_text[w] = " ".join([names[i] for i in found]).encode()
         return local
 
     def encode_bytes(self, texts: list) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, decoded text in UTF-8) of each text."""
         split = [self.pieces(t) if t else [] for t in texts]
         words: set = set().union(*split)
-        local = self._learn(words.difference(self.special.values()))
-        own = {i: (struct.pack("<I", i), self.names[i].encode()) for i in self.special.values()}
-        out = []
-        for p in split:
-            try:
-                found = [self.known[w] for w in p]
-            except KeyError:
-                found = [own[w] if isinstance(w, int) else local[w] if w in local else self.known[w] for w in p]
-            out.append((b"".join([f[0] for f in found]), b" ".join([f[1] for f in found])))
+        special = words.intersection(self.special.values())
+        local = self._learn(words - special)
+        ids, text = self.known_ids, self.known_text
+        local[0].update((i, struct.pack("<I", i)) for i in special)
+        local[1].update((i, self.names[i].encode()) for i in special)
+        ids.update(local[0])
+        text.update(local[1])
+        out = [(b"".join(map(ids.__getitem__, p)), b" ".join(map(text.__getitem__, p))) for p in split]
+        for w in local[0]:
+            del ids[w], text[w]
         return out
 
     def encode(self, text: str | None) -> list[int]:
