@@ -5,9 +5,10 @@ inner product into least Euclidean distance. TABLES tables hash them by floor((a
 normal a. For a query, the buckets of a table are ranked by the estimated chance that a neighbour lies
 in them, given where the query lies in its own bucket and how far the wanted neighbours are (fitted on
 a bounded sample), and are visited in that order until the chance over all tables reaches TARGET.
-Every vector is indexed. Visited buckets are met by a shuffle on the bucket; in a group of buckets,
-scores are blocks of matrix products and only each query's best stay. A bucket of more than
-GROUP_ROWS vectors is split by hashed id and visited in all its parts, so none is capped.
+Every vector is indexed. Buckets are dealt to groups by hash; a query is sent once to each group that
+holds buckets that it visits. In a group, each bucket is scored against its visitors by one matrix
+product, and only each query's best stay. A group of more than GROUP_ROWS vectors, as a very common
+vector makes, is split by hashed id and visited in all its parts, so no bucket is capped.
 
 Defined results. Vectors that are null, zero, of another length than most, or hold a null or non-finite
 component take no part, nor do null ids. Of rows with equal ids one takes part, that of the smallest
@@ -27,12 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, column, small_batches
+from .shingles import mix
 
 TABLES = 6
 #: Estimated chance, over all tables, that a wanted neighbour is in a visited bucket.
 TARGET = 0.97
 #: Vectors compared in one group, about.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 60_000
 #: Rows of the sample for the neighbours' distance, and its queries.
 SAMPLE_ROWS, SAMPLE_QUERIES = 20_000, 64
 #: Bucket width as a multiple of the vectors' spread along a projection.
@@ -111,19 +113,41 @@ def _rows(x: pa.Array, dim: int) -> np.ndarray:
     return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def best(query: np.ndarray, ids: np.ndarray, x: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of x: ids and scores in double precision, each score summed in the same order."""
-    rough = x @ query
-    rough[ids == own] = -np.inf
-    if len(rough) > k:
-        least = np.partition(rough, len(rough) - k)[len(rough) - k]
-        chosen = np.flatnonzero(rough >= least - 1e-9 * (1 + abs(least)))
-    else:
-        chosen = np.arange(len(rough))
-    chosen = chosen[ids[chosen] != own]
-    score = (x[chosen] * query).sum(axis=1)
-    order = np.lexsort((ids[chosen], -score))[:k]
-    return ids[chosen][order], score[order]
+class Best:
+    """The k nearest so far of each of some queries, from blocks of scores."""
+
+    def __init__(self, q: np.ndarray, own: np.ndarray, k: int):
+        self.q, self.own, self.k = q, own, k
+        self.least = np.full(len(q), -np.inf)
+        self.held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        self.waiting = 0
+
+    def add(self, asking: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Score the rows x, which are named ids, for the queries at asking."""
+        rough = self.q[asking] @ x.T
+        # products of a block may differ in the last bits, so near ones pass and are summed alike below
+        least = self.least[asking]
+        some = np.isfinite(least)
+        least[some] -= 1e-9 * (1 + np.abs(least[some]))
+        i, j = np.nonzero(rough >= least[:, None])
+        other = ids[j] != self.own[asking[i]]
+        i, j = asking[i[other]], j[other]
+        self.held.append((i, ids[j], (x[j] * self.q[i]).sum(axis=1)))
+        self.waiting += len(i)
+        if self.waiting > 50_000:
+            self.shrink()
+
+    def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keep the k best of each query: larger scores first, then smaller ids."""
+        i, names, score = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        order = np.lexsort((names, -score, i))
+        i, names, score = i[order], names[order], score[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
+        keep = rank < self.k
+        last = rank == self.k - 1
+        self.least[i[last]] = score[last]
+        self.held, self.waiting = [(i[keep], names[keep], score[keep])], 0
+        return self.held[0]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -141,55 +165,70 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     sample = data.orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).select("x").toArrow().column("x").combine_chunks()
     index = Index(dim, n, math.sqrt(facts["m"]), _rows(sample, dim), k)
 
+    groups = max(1, -(-n // GROUP_ROWS))
+    group_of = lambda keys: (mix(keys.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _rows(batch.column("x"), dim)
             for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(index.buckets(x, t)), batch.column("id"), batch.column("x")], ["t", "bucket", "id", "x"])
+                keys = index.buckets(x, t)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(group_of(keys)), pa.array(keys), batch.column("id"), batch.column("x")], ["t", "g", "bucket", "id", "x"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = _rows(batch.column("x"), dim)
-            for t in range(TABLES if len(q) else 0):
-                for a in range(0, len(q), 64):
-                    found = index.probes(q[a : a + 64], t)
-                    sizes = [len(f) for f in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy()[a : a + 64], sizes)), pa.array(np.full(sum(sizes), t, np.int32)), pa.array(np.concatenate(found))], ["query_id", "t", "bucket"])
+            q, ids = _rows(batch.column("x"), dim), batch.column("id").to_pylist()
+            for a in range(0, len(q), 64):
+                rows: list[tuple] = []
+                for t in range(TABLES):
+                    for i, keys in enumerate(index.probes(q[a : a + 64], t), a):
+                        to = group_of(keys)
+                        rows += [(ids[i], t, int(g), np.unique(keys[to == g]), q[i]) for g in np.unique(to)]
+                columns = zip(*rows, strict=True)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["query_id", "t", "g", "buckets", "x"])
 
     asked = data.join(usable(queries, id_col, vector_col).select("id"), "id", "left_semi")
-    placed = data.mapInArrow(hashed, "t int, bucket long, id long, x array<double>")
-    counts = data.select("id", "x").mapInArrow(hashed, "t int, bucket long, id long, x array<double>").groupBy("t", "bucket").agg(F.count("*").alias("n"))
-    groups = max(1, -(-n // GROUP_ROWS))
-    counts = counts.select("t", "bucket", F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP_ROWS)).cast("int").alias("parts"))
-    counts = scratch.keep(counts, "counts")
-    # part 0 of a plain bucket shares its group with others; the parts of a large one have a group each
-    group = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(groups + F.pmod(F.xxhash64("bucket", "part"), F.lit(1 << 40)))
-    placed = placed.join(counts, ["t", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("g", group)
-    visits = asked.mapInArrow(probed, "query_id long, t int, bucket long").distinct().join(counts, ["t", "bucket"])
-    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("g", group)
-    visits = visits.groupBy("t", "g", "query_id").agg(F.collect_set("bucket").alias("buckets"))
-    visits = visits.join(asked.withColumnRenamed("id", "query_id"), "query_id")
+    placed = data.mapInArrow(hashed, "t int, g int, bucket long, id long, x array<double>")
+    visits = asked.mapInArrow(probed, "query_id long, t int, g int, buckets array<long>, x array<double>")
+    # one row for each table and group
+    parts = placed.groupBy("t", "g").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts"))
+    parts = scratch.keep(parts, "parts")
+    placed = placed.join(parts, ["t", "g"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    visits = visits.join(parts, ["t", "g"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Each query's best over the visited buckets of one group."""
-        out = []
-        if len(left) and len(right):
-            right = right.sort_values("bucket", kind="stable")
-            keys, ids, x = right["bucket"].to_numpy(), right["id"].to_numpy(), np.stack(right["x"])
-            first, stop = np.searchsorted(keys, keys, "left"), np.searchsorted(keys, keys, "right")
-            for own, buckets, q in zip(left["query_id"], left["buckets"], left["x"], strict=True):
-                at = np.searchsorted(keys, np.sort(buckets))
-                at = at[at < len(keys)]
-                picked = np.concatenate([np.arange(first[i], stop[i]) for i in at]) if len(at) else at
-                picked = picked[np.isin(keys[picked], buckets)]
-                names, scores = best(np.asarray(q), ids[picked], x[picked], own, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": names, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = visits.groupBy("t", "g").cogroup(placed.select("t", "g", "bucket", "id", "x").groupBy("t", "g")).applyInPandas(compare, "query_id long, vec_id long, score double")
+        """Each query's best over the visited buckets of one part of a group."""
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        right = right.sort_values("bucket", kind="stable")
+        keys, ids, x = right["bucket"].to_numpy(), right["id"].to_numpy(), np.stack(right["x"])
+        buckets, starts = np.unique(keys, return_index=True)
+        stops = np.append(starts[1:], len(keys))
+        own = left["query_id"].to_numpy()
+        found = Best(np.stack(left["x"]), own, k)
+        wanted = np.concatenate(left["buckets"].to_list())
+        asking = np.repeat(np.arange(len(left)), left["buckets"].map(len))
+        at = np.minimum(np.searchsorted(buckets, wanted), len(buckets) - 1)
+        hit = buckets[at] == wanted
+        at, asking = at[hit], asking[hit]
+        order = np.argsort(at, kind="stable")
+        at, asking = at[order], asking[order]
+        cuts = np.searchsorted(at, np.arange(len(buckets) + 1))
+        for b in range(len(buckets)):
+            visitors = asking[cuts[b] : cuts[b + 1]]
+            for a in range(0, len(visitors), 256):
+                for c in range(starts[b], stops[b], 4096):
+                    rows = slice(c, min(c + 4096, stops[b]))
+                    found.add(visitors[a : a + 256], ids[rows], x[rows])
+        i, names, scores = found.shrink()
+        return pd.DataFrame({"query_id": own[i], "vec_id": names, "score": scores})
+
+    keys = ["t", "g", "part"]
+    found = visits.select(*keys, "query_id", "buckets", "x").groupBy(*keys).cogroup(placed.select(*keys, "bucket", "id", "x").groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
     found = found.distinct()
     order = F.struct((-F.col("score")).alias("w"), "vec_id")
-    # at most TABLES * k rows a group and query
+    # at most TABLES * k rows for each part of a group that a query visits
     top = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(order)), 1, k).alias("top"))
     top = top.select("query_id", F.posexplode("top").alias("i", "hit"))
     return top.select("query_id", (F.col("i") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.w")).alias("score"))
