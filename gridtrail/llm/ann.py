@@ -8,7 +8,8 @@ a bounded sample), and are visited in that order until the chance over all table
 Every vector is indexed. Buckets are dealt to groups by hash; a query is sent once to each group that
 holds buckets that it visits. In a group, each bucket is scored against its visitors by one matrix
 product, and only each query's best stay. A group of more than GROUP_ROWS vectors, as a very common
-vector makes, is split by hashed id and visited in all its parts, so no bucket is capped.
+vector makes, is split by hashed id and visited in all its parts, so no bucket is capped. A query whose
+buckets within reach can't attain TARGET, or hold fewer than k vectors, visits all buckets of one table.
 
 Defined results. Vectors that are null, zero, of another length than most, or hold a null or non-finite
 component take no part, nor do null ids. Of rows with equal ids one takes part, that of the smallest
@@ -92,7 +93,7 @@ class Index:
         return self.key(np.floor((self.lift(x) @ self.a[table] + self.b[table]) / self.width).astype(np.int64))
 
     def probes(self, q: np.ndarray, table: int) -> list[np.ndarray]:
-        """For each query, the buckets to visit in the order of their estimated chance."""
+        """For each query, the buckets to visit in the order of their estimated chance; none if they can't attain it."""
         at = (self.ask(q) @ self.a[table] + self.b[table]) / self.width
         cell = np.floor(at)
         inside = at - cell
@@ -106,7 +107,7 @@ class Index:
         run = np.cumsum(np.take_along_axis(joint, order, axis=1), axis=1)
         need = 1 - (1 - TARGET) ** (1 / TABLES)
         keys = self.key(cell.astype(np.int64)[:, None, :] + self.grid[None])
-        return [keys[i, order[i, : int(np.searchsorted(run[i], need)) + 1]] for i in range(len(q))]
+        return [keys[i, order[i, : int(np.searchsorted(run[i], need)) + 1]] if run[i, -1] >= need else keys[i, :0] for i in range(len(q))]
 
 
 def _rows(x: pa.Array, dim: int) -> np.ndarray:
@@ -179,9 +180,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         for batch in batches:
             q, ids = _rows(batch.column("x"), dim), batch.column("id").to_pylist()
             for a in range(0, len(q), 64):
+                found = [index.probes(q[a : a + 64], t) for t in range(TABLES)]
                 rows: list[tuple] = []
-                for t in range(TABLES):
-                    for i, keys in enumerate(index.probes(q[a : a + 64], t), a):
+                for i in range(a, min(a + 64, len(q))):
+                    if not all(len(keys[i - a]) for keys in found):
+                        rows += [(ids[i], 0, g, [], q[i]) for g in range(groups)]
+                        continue
+                    for t, keys in enumerate(k[i - a] for k in found):
                         to = group_of(keys)
                         rows += [(ids[i], t, int(g), np.unique(keys[to == g]), q[i]) for g in np.unique(to)]
                 columns = zip(*rows, strict=True)
@@ -195,7 +200,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     parts = placed.groupBy("t", "g").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts"))
     parts = scratch.keep(parts, "parts")
     placed = placed.join(parts, ["t", "g"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    visits = visits.join(parts, ["t", "g"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Each query's best over the visited buckets of one part of a group."""
@@ -207,8 +211,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         stops = np.append(starts[1:], len(keys))
         own = left["query_id"].to_numpy()
         found = Best(np.stack(left["x"]), own, k)
-        wanted = np.concatenate(left["buckets"].to_list())
-        asking = np.repeat(np.arange(len(left)), left["buckets"].map(len))
+        lists = [b if len(b) else buckets for b in left["buckets"]]
+        wanted = np.concatenate(lists)
+        asking = np.repeat(np.arange(len(left)), [len(b) for b in lists])
         at = np.minimum(np.searchsorted(buckets, wanted), len(buckets) - 1)
         hit = buckets[at] == wanted
         at, asking = at[hit], asking[hit]
@@ -225,8 +230,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         return pd.DataFrame({"query_id": own[i], "vec_id": names, "score": scores})
 
     keys = ["t", "g", "part"]
-    found = visits.select(*keys, "query_id", "buckets", "x").groupBy(*keys).cogroup(placed.select(*keys, "bucket", "id", "x").groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
-    found = found.distinct()
+    indexed = placed.select(*keys, "bucket", "id", "x").groupBy(*keys)
+
+    def visited(visits: DataFrame) -> DataFrame:
+        """The best found of each query by its visits (an empty list of buckets: all of them)."""
+        spread = visits.join(parts, ["t", "g"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return spread.select(*keys, "query_id", "buckets", "x").groupBy(*keys).cogroup(indexed).applyInPandas(compare, "query_id long, vec_id long, score double")
+
+    found = scratch.keep(visited(visits).distinct(), "found")
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, n - 1)).select(F.col("query_id").alias("id"))
+    rest = asked.join(enough, "id", "left_anti").crossJoin(parts.where("t = 0").select("t", "g"))  # each such query with the few groups of a table
+    rest = rest.select(F.col("id").alias("query_id"), "t", "g", F.array().cast("array<long>").alias("buckets"), "x")
+    found = found.unionByName(visited(rest)).distinct()
     order = F.struct((-F.col("score")).alias("w"), "vec_id")
     # at most TABLES * k rows for each part of a group that a query visits
     top = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(order)), 1, k).alias("top"))

@@ -1,15 +1,14 @@
-"""What the operators of this subpackage share: tables by path, written tables in the shared folder, components."""
+"""What the operators of this subpackage share: tables by path, bounded Arrow batches, columns by exact name."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..session import ship
+from ..storage import Scratch
+
+__all__ = ["Scratch", "column", "components", "small_batches", "table"]
 
 #: Bytes of one Arrow batch on its way to Python; long texts then come a few at a time.
 BATCH_BYTES = 8 << 20
@@ -35,88 +34,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = context._jsc.sc().getCheckpointDir()
-        folder = folder.get() if folder.isDefined() else None
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Written tables of one run, in the shared folder; they cut lineage and outlive lost executors.
-
-    ``keep`` writes and rereads a table, ``drop`` deletes one that no later plan reads. What is left
-    is deleted when the driver's Python ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop, "")
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            try:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-            except Exception:  # the session may have ended, and its folder with it
-                return
-
-
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that df doesn't have in any case, made of stem."""
-    taken = {c.lower() for c in df.columns}
-    while stem.lower() in taken:
-        stem = f"_{stem}"
-    return stem
-
-
 def column(df: DataFrame, name: str) -> Column:
     """df's column of exactly this name, though others may differ only by dots or ticks."""
     return df["`" + name.replace("`", "``") + "`"]
-
-
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, comp) for each node of the edges (u, v): comp is the smallest node reachable.
-
-    Each round hooks every node to its smallest lower neighbour, halves the paths twice and contracts
-    the edges, all by shuffles on the node; edges shrink until none is left. Nothing is collected.
-    """
-    low, high = F.least("u", "v"), F.greatest("u", "v")
-    left = edges.select(high.alias("u"), low.alias("v")).where("u <> v").distinct()
-    left = scratch.keep(left, f"{name}-edges-0")
-    labels, k = None, 0
-    while labels is None or not left.isEmpty():
-        k += 1
-        hook = left.groupBy("u").agg(F.min("v").alias("v")) if labels is not None or k > 1 else None
-        if hook is None:
-            hook = left.groupBy("u").agg(F.min("v").alias("v"))
-            roots = left.select(F.col("v").alias("u")).distinct().join(hook.select("u"), "u", "left_anti")
-            labels = hook.select(F.col("u").alias("node"), F.col("u").alias("comp")).union(roots.select("u", "u"))
-        for _ in range(2):
-            up = hook.select(F.col("u").alias("v"), F.col("v").alias("w"))
-            hook = hook.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"))
-        hook = scratch.keep(hook, f"{name}-hook-{k}")
-        labels = labels.join(hook.select(F.col("u").alias("comp"), F.col("v").alias("to")), "comp", "left")
-        labels = scratch.keep(labels.select("node", F.coalesce("to", "comp").alias("comp")), f"{name}-labels-{k}")
-        left = left.join(hook.select("u", F.col("v").alias("a")), "u")
-        left = left.join(hook.select(F.col("u").alias("v"), F.col("v").alias("b")), "v", "left")
-        left = left.select(F.col("a"), F.coalesce("b", "v").alias("b")).where("a <> b")
-        left = left.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-        left = scratch.keep(left, f"{name}-edges-{k}")
-        scratch.drop(f"{name}-hook-{k}", f"{name}-labels-{k - 1}", f"{name}-edges-{k - 1}")
-    scratch.drop(f"{name}-edges-{k}")
-    return labels
