@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import column, small_batches
 
 #: Words kept between batches, at most, twice over: words of the last but one filling stay while they recur.
-KNOWN_WORDS = 150_000
+KNOWN_WORDS = 250_000
 #: Symbols from which on a word is merged by itself.
 LONG_WORD = 200
 #: Characters of the longest word that is kept.
@@ -320,7 +320,7 @@ def load(path: str) -> Bpe:
 
 
 #: Characters of the texts that are encoded together.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def _batches(texts: list) -> Iterator[tuple[int, int]]:
