@@ -27,12 +27,12 @@ from .common import column, small_batches
 SAMPLE_ROWS, PAIRS = 20_000, 60_000
 #: Words of the runs whose repetition is measured.
 RUN = 5
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Measures' names; each is in 0..1 or so.
 KINDS = ("upper", "lower", "digit", "space", "newline", "stop", "comma", "exclamation", "symbol", "pipe", "quote", "bracket", "other_ascii", "beyond_ascii")
 MEASURES = (*KINDS, "word_length", "long_words", "symbol_ends", "upper_words", "pipe_words", "repeated_words", "repeated_runs", "line_length", "log_words")
 
-_KIND = np.full(256, KINDS.index("other_ascii"), dtype=np.int64)
+_KIND = np.full(256, KINDS.index("other_ascii"), dtype=np.uint8)
 for _name, _chars in (("upper", range(65, 91)), ("lower", range(97, 123)), ("digit", range(48, 58)), ("space", (32, 9, 11, 12, 13)), ("newline", (10,)), ("stop", b".;:"), ("comma", b",-"), ("exclamation", b"!?"), ("symbol", b"#*$%&<>=+^~_@"), ("pipe", b"|"), ("quote", b"\"'`"), ("bracket", b"()[]{}/\\"), ("beyond_ascii", range(128, 256))):
     _KIND[list(_chars)] = KINDS.index(_name)
 _SYMBOL = np.isin(_KIND, [KINDS.index(k) for k in ("symbol", "pipe", "exclamation")])
@@ -51,10 +51,11 @@ def _measures(texts: list) -> np.ndarray:
     sizes = np.array([len(r) for r in raw])
     data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     ends = np.cumsum(sizes + 1)
-    owner = np.repeat(np.arange(len(raw)), sizes + 1)
     kind = _KIND[data]
-    counts = np.bincount(owner * len(KINDS) + kind, minlength=len(raw) * len(KINDS)).reshape(len(raw), -1).astype(float)
-    counts[:, KINDS.index("newline")] -= 1  # the one put after each text
+    counts = np.zeros((len(raw), len(KINDS)))
+    for i, (stop, size) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
+        for at in range(stop - 1 - size, stop - 1, CHUNK):
+            counts[i] += np.bincount(kind[at : min(at + CHUNK, stop - 1)], minlength=len(KINDS))
     out = np.zeros((len(raw), len(MEASURES)))
     out[:, : len(KINDS)] = counts / np.maximum(sizes, 1)[:, None]
 
@@ -66,9 +67,7 @@ def _measures(texts: list) -> np.ndarray:
     many = np.maximum(words, 1)
     per = lambda flags: np.bincount(word_owner, weights=flags, minlength=len(raw)) / many
     length = stops - starts
-    is_upper = kind == KINDS.index("upper")
-    inside = np.concatenate(([0], np.cumsum(is_upper)))
-    uppers = inside[stops] - inside[starts]
+    uppers = np.add.reduceat(kind == KINDS.index("upper"), starts, dtype=np.int64) if len(starts) else starts
     at = len(KINDS)
     out[:, at] = per(length) / 20
     out[:, at + 1] = per(length > 14)

@@ -14,6 +14,10 @@ import hashlib
 import numpy as np
 
 _U = np.uint64
+#: Bytes that are worked on at once, about.
+PIECE = 1 << 20
+#: The separators of words.
+BLANKS = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 _SEED = np.random.default_rng(20240607)
 #: Random odd multipliers and byte values: fixed, so that hashes agree between executors.
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64)
@@ -46,9 +50,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def pieces(raw: bytes):
+    """Parts of a text's bytes of about PIECE, cut at a separator; a longer word stays whole."""
+    at = 0
+    while len(raw) - at > PIECE:
+        cut = max(raw.rfind(c, at + 1, at + PIECE) for c in BLANKS)
+        if cut <= at:
+            after = [k for c in BLANKS if (k := raw.find(c, at + PIECE)) >= 0]
+            if not after:
+                break
+            cut = min(after)
+        yield raw[at:cut]
+        at = cut
+    yield raw[at:]
+
+
 def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, words of each text) for a list of texts, nulls as empty."""
-    raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    """(hash of every word, words of each text) for a list of texts, nulls as empty.
+
+    Work arrays are bounded: texts are joined up to PIECE bytes, and longer ones are taken in parts.
+    """
+    hashes, counts = [], np.zeros(len(texts), np.int64)
+    parts: list[bytes] = []
+    owners: list[int] = []
+    held = 0
+
+    def flush() -> None:
+        nonlocal held
+        found, n = _joined_hashes(parts)
+        hashes.append(found)
+        np.add.at(counts, owners, n)
+        parts.clear()
+        owners.clear()
+        held = 0
+
+    for k, t in enumerate(texts):
+        raw = b"" if t is None else t.encode("utf-8", "surrogatepass")
+        for part in pieces(raw) if len(raw) > PIECE else (raw,):
+            if parts and held + len(part) > PIECE:
+                flush()
+            parts.append(part)
+            owners.append(k)
+            held += len(part)
+    if parts:
+        flush()
+    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), counts
+
+
+def _joined_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
     joined = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     ends = np.cumsum(sizes + 1)

@@ -33,7 +33,7 @@ from .shingles import batches
 SAMPLE_ROWS = 20_000
 #: Lexicon: candidates looked at, words kept, and least evidence (G squared) and odds of a word.
 CANDIDATES, LEXICON, LEAST_EVIDENCE, LEAST_ODDS = 4000, 300, 18.0, 6.0
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Lengths of the beginnings of words that are entries of their own.
 BEGINNINGS = (4, 5, 6)
 #: Characters that may stand for letters: fixed values.

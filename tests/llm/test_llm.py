@@ -133,10 +133,14 @@ def test_large_clusters_are_split_into_blocks(spark, monkeypatch):
     assert [got[k] for k in range(40)] == want
 
 
-def test_shingle_hashes_do_not_depend_on_batches():
+def test_shingle_hashes_do_not_depend_on_batches(monkeypatch):
     texts = [prose(30, 1), None, "", "  ", "A b\x0bC", prose(3, 2), "é ß\x85x"]
     whole = shingles.shingle_sets(texts, 4)
     assert all(np.array_equal(a, shingles.shingle_sets([t], 4)[0]) for a, t in zip(whole, texts, strict=True))
+    long = [*texts, prose(5000, 5), "x" * 3000, "  " * 900 + "y" * 700 + " z"]
+    whole = shingles.shingle_sets(long, 4)
+    monkeypatch.setattr(shingles, "PIECE", 256)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, shingles.shingle_sets(long, 4), strict=True))
     assert np.array_equal(shingles.shingle_sets(["One TWO"], 4)[0], shingles.shingle_sets(["one two"], 4)[0])
     assert not np.array_equal(shingles.shingle_sets(["one two"], 4)[0], shingles.shingle_sets(["two one"], 4)[0])
 
