@@ -230,8 +230,8 @@ def tracks(regions: DataFrame, p: params.Identify, scene_width: int, age_empty_t
     """Observations of numbered tracks.
 
     regions: orbit, frame, tile_row, tile_col, label, cx, cy, area, left, top, width, height, cells
-    (array of flat indices) and, if known, axis and hu. The list of frames of an orbit, a number each,
-    goes with each group. Tracks are numbered by birth frame, tile and label within all orbits.
+    (array of flat indices) and, if known, axis, hu and last_frame (of the orbit). An orbit's list of
+    frames goes once to each of its tiles. Tracks are numbered by birth frame, tile and label within all orbits.
     """
     spark = regions.sparkSession
     ship(spark)
@@ -241,21 +241,24 @@ def tracks(regions: DataFrame, p: params.Identify, scene_width: int, age_empty_t
     have = set(regions.columns)
     extra = [F.col(c) if c in have else F.lit(None).cast(kind).alias(c) for c, kind in (("axis", "double"), ("hu", "array<double>"))]
     fields = ["label", "frame", "cx", "cy", "area", "left", "top", "width", "height", "cells"]
-    rows = regions.select("orbit", "tile_row", "tile_col", *fields, *extra).join(frames, "orbit")
+    tile = ["orbit", "tile_row", "tile_col"]
+    rows = regions.select(*tile, *fields, *extra)
+    tiles = rows.select(*tile).distinct().join(frames, "orbit")
+    tiles = tiles.toDF(*tiles.columns)  # columns of their own, for the cogroup
     schema = "orbit int, tile_row int, tile_col int, birth_frame int, birth_label bigint, frame int, label bigint, cx double, cy double, area double, " + ", ".join(f"{c} double" for c in _COSTS)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
         by: dict[int, list[Region]] = {}
         for r in group.itertuples(index=False):
             by.setdefault(int(r.frame), []).append(region_of(r))
-        head = group.iloc[0]
+        head = about.iloc[0]
         order = list(range(int(head["first"]), int(head["last"]) + 1))
         found = track_tile(by, order, set(order) - set(map(int, head["filled"])), p, scene_width, age_empty_tiles, keep_after_empty)
         place = (int(head["orbit"]), int(head["tile_row"]), int(head["tile_col"]))
         out = [(*place, x.birth_frame, x.birth_label, t, r.label, r.cx, r.cy, r.area, *costs) for x, t, r, costs in found]
         return pd.DataFrame(out, columns=[part.split()[0] for part in schema.split(", ")])
 
-    seen = rows.groupBy("orbit", "tile_row", "tile_col").applyInPandas(run, schema)
+    seen = rows.groupBy(*tile).cogroup(tiles.groupBy(*tile)).applyInPandas(run, schema)
     scratch = Scratch(spark, "tracks")
     seen = scratch.keep(seen, "seen")
     birth = ["orbit", "birth_frame", "tile_row", "tile_col", "birth_label"]

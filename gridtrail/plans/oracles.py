@@ -261,6 +261,12 @@ def oracle_sql() -> dict[str, str]:
             spot as (select *, cast(floor((gy - 8000.0) / -1000.0) as integer) as r, cast(floor(gx / 1000.0) as integer) as c from pts)
             select spot.scene_id, rid, k.label, case when not (r >= 0 and r < 8 and c >= 0 and c < 8) then 'Coordinates Out of Bounds' when k.label is null then 'Background Label Detected' else 'Success' end as status
             from spot left join comps k on k.scene_id = spot.scene_id and k.row = spot.r and k.col = spot.c"""),
+        "traced_polygons": _q(COMPONENTS, """, part as (
+              select scene_id, label, row, col from comps where row * 8 + col = label
+              union
+              select n.scene_id, n.label, n.row, n.col from part p join comps n on n.scene_id = p.scene_id and n.label = p.label and abs(n.row - p.row) + abs(n.col - p.col) = 1)
+            select scene_id, label, cast(count(*) as double) as geom_area, count(*) < any_value(c.n) as multipolygon
+            from part join (select scene_id, label, count(*) as n from comps group by all) c using (scene_id, label) group by scene_id, label"""),
         "predicted_masks": _q(PIXELS, """, p as (select *, row // 4 as pr, col // 4 as pc from pixels), bad as (select * from p where spotted is null)
             select scene_id, row, col, case when spotted is not null and 1 / (1 + exp(-(10.0 * (spotted - 0.1)))) > 0.5
               and not exists (select 1 from bad b where b.scene_id = p.scene_id and b.pr = p.pr and b.pc = p.pc and abs(b.row - p.row) <= 2 and abs(b.col - p.col) <= 2) then 255 else 0 end as mask from p"""),
