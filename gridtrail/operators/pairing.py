@@ -24,6 +24,15 @@ def tiled(regions: DataFrame, height: int, width: int, rows: int, cols: int) ->
     return out.withColumns({"local_x": F.col("cx") - F.col("tile_col") * tw, "local_y": F.col("cy") - F.col("tile_row") * th})
 
 
+def clipped_boxes(regions: DataFrame, height: int, width: int) -> DataFrame:
+    """Boxes cut to the raster; is_empty where nothing is left (such regions have no features, and an axis ratio of 1)."""
+    x0, y0 = F.greatest("left", F.lit(0)), F.greatest("top", F.lit(0))
+    x1, y1 = F.least(F.col("left") + F.col("width"), F.lit(width)), F.least(F.col("top") + F.col("height"), F.lit(height))
+    out = regions.withColumns({"_x": x0, "_y": y0, "_w": x1 - x0, "_h": y1 - y0})
+    sizes = {"left": F.col("_x"), "top": F.col("_y"), "width": F.greatest("_w", F.lit(0)), "height": F.greatest("_h", F.lit(0))}
+    return out.withColumns(sizes).withColumn("is_empty", (F.col("_w") <= 0) | (F.col("_h") <= 0)).drop("_x", "_y", "_w", "_h")
+
+
 def frame_pairs(regions: DataFrame, max_distance: float | None, keys: tuple[str, ...] = ("orbit",), max_area_change: float = params.AREA_GATE) -> DataFrame:
     """Regions with those of the frame before, gated by centroid distance (None: no gate) and area change.
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
-from ..functions import scalar
+from ..functions import projection, scalar
 from ..session import ship
 
 
@@ -30,27 +30,32 @@ def grid_of(size: Column, patch: int) -> Column:
     return F.ceil(size / patch)
 
 
-def patches(tiles: DataFrame, rows: int, cols: int) -> DataFrame:
+def patches(tiles: DataFrame, rows: int | Column, cols: int | Column) -> DataFrame:
     """Whole scenes cut into rows x cols patches of floor(size / count); the last ones take the rest.
 
-    Patch rows and columns, offsets and sizes come with the patch's data; nothing is shuffled.
+    rows and cols may be columns, for scenes of different sizes. Patch rows and columns, offsets and
+    sizes (and the scene's) come with the patch's data; nothing is shuffled.
     """
-    high, wide = F.expr(f"height div {rows}"), F.expr(f"width div {cols}")
-    cut = tiles.withColumns({"_h": high.cast("int"), "_w": wide.cast("int")})
-    cut = cut.withColumn("patch_row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("patch_col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    as_col = lambda n: (F.lit(n) if isinstance(n, int) else n).cast("int")
+    cut = tiles.withColumns({"_rows": as_col(rows), "_cols": as_col(cols)})
+    cut = cut.withColumns({"_h": F.expr("cast(height div _rows as int)"), "_w": F.expr("cast(width div _cols as int)")})
+    cut = cut.withColumn("patch_row", F.explode(F.expr("sequence(0, _rows - 1)"))).withColumn("patch_col", F.explode(F.expr("sequence(0, _cols - 1)")))
     cut = cut.withColumns({"_r": F.expr("patch_row * _h"), "_c": F.expr("patch_col * _w")})
-    cut = cut.withColumns({"_nh": F.expr(f"if(patch_row = {rows - 1}, height - _r, _h)"), "_nw": F.expr(f"if(patch_col = {cols - 1}, width - _c, _w)")})
+    cut = cut.withColumns({"_nh": F.expr("if(patch_row = _rows - 1, height - _r, _h)"), "_nw": F.expr("if(patch_col = _cols - 1, width - _c, _w)")})
     data = F.expr("flatten(transform(sequence(_r, _r + _nh - 1), r -> slice(data, r * width + _c + 1, _nw)))")
     rest = [c for c in tiles.columns if c not in ("row0", "col0", "height", "width", "data")]
-    return cut.select(*rest, "patch_row", "patch_col", F.col("_r").alias("row0"), F.col("_c").alias("col0"), F.col("_nh").alias("height"), F.col("_nw").alias("width"), data.alias("data"))
+    return cut.select(
+        *rest, "patch_row", "patch_col", F.col("height").alias("scene_height"), F.col("width").alias("scene_width"),
+        F.col("_r").alias("row0"), F.col("_c").alias("col0"), F.col("_nh").alias("height"), F.col("_nw").alias("width"), data.alias("data"),
+    )
 
 
-def stitched(parts: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """Whole scenes again from patches: one shuffle by scene."""
-    cells = F.expr("transform(data, (v, i) -> struct(cast((row0 + i div width) * {w} + col0 + i % width as int) as at, v as v))".replace("{w}", str(width)))
-    whole = parts.groupBy(*keys).agg(F.flatten(F.collect_list(cells)).alias("cells"))
+def stitched(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Whole scenes again from patches that carry scene_height and scene_width: one shuffle by scene."""
+    cells = F.expr("transform(data, (v, i) -> struct(cast((row0 + i div width) * scene_width + col0 + i % width as int) as at, v as v))")
+    whole = parts.groupBy(*keys).agg(F.flatten(F.collect_list(cells)).alias("cells"), F.first("scene_height").alias("height"), F.first("scene_width").alias("width"))
     data = F.transform(F.sort_array("cells"), lambda c: c["v"])
-    return whole.select(*keys, F.lit(0).alias("row0"), F.lit(0).alias("col0"), F.lit(height).alias("height"), F.lit(width).alias("width"), data.alias("data"))
+    return whole.select(*keys, F.lit(0).alias("row0"), F.lit(0).alias("col0"), "height", "width", data.alias("data"))
 
 
 def threshold(score: Column) -> Column:
@@ -209,6 +214,75 @@ def segment_cells(x1: float, y1: float, x2: float, y2: float, height: int, width
     return out
 
 
+def polygon_cells(polygons: DataFrame, keys: list[str], height: int, width: int, transform: tuple[float, ...]) -> DataFrame:
+    """keys, row, col, crossed: cells of a grid that the polygons (geom_wkb) touch; crossed if an edge meets the cell.
+
+    transform is the grid's affine map without rotation.
+    """
+    ship(polygons.sparkSession)
+    a, _, c, _, e, f = transform
+    kinds = {x.name: x.dataType.simpleString() for x in polygons.schema.fields}
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["row int", "col int", "crossed boolean"])
+
+    def run(batches):
+        import pandas as pd
+
+        from .vector import from_wkb
+
+        for batch in batches:
+            for k, wkb in enumerate(batch["geom_wkb"]):
+                inside, crossed = np.zeros((height, width), bool), np.zeros((height, width), bool)
+                for polygon in from_wkb(bytes(wkb)) if wkb is not None else []:
+                    local = [[((x - c) / a, (y - f) / e) for x, y in ring] for ring in polygon]
+                    inside |= touched_cells(local, height, width)
+                    crossed |= edge_cells(local, height, width)
+                rows, cols = np.nonzero(inside)
+                made = {x: [batch[x].iloc[k]] * len(rows) for x in keys}
+                yield pd.DataFrame({**made, "row": rows.astype(np.int32), "col": cols.astype(np.int32), "crossed": crossed[rows, cols]})
+
+    return polygons.select(*keys, "geom_wkb").mapInPandas(run, schema)
+
+
+def edge_cells(polygon: list[list[tuple[float, float]]], height: int, width: int) -> np.ndarray:
+    """Cells that an edge of the polygon meets."""
+    out = np.zeros((height, width), dtype=bool)
+    for ring in polygon:
+        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
+            out |= segment_cells(x1, y1, x2, y2, height, width)
+    return out
+
+
+def label_areas(pixels: DataFrame, keys: list[str], kind: str = "coded") -> DataFrame:
+    """area_km2 and pixels of each label from cells with their scene's affine map (transform), corrected for latitude."""
+    t = F.col("transform")
+    x = scalar.pixel_x(t[0], t[1], t[2], F.col("row"), F.col("col"))
+    y = scalar.pixel_x(t[3], t[4], t[5], F.col("row"), F.col("col"))
+    km2 = projection.true_area_km2(F.abs(t[0]), projection.latitude(x, y), kind)
+    return pixels.select(*keys, "label", km2.alias("km2")).groupBy(*keys, "label").agg(F.sum("km2").alias("area_km2"), F.count("*").cast("int").alias("pixels"))
+
+
+def warped(grid: DataFrame, source: tuple[float, float, float, float], target: tuple[float, float, float], rows: int, cols: int, value: str = "depth") -> DataFrame:
+    """A grid in degrees resampled bilinearly to polar metres: (row, col, value) of rows x cols cells.
+
+    source: longitude and latitude of the first cell's centre and their steps (latitude may run down);
+    target: x and y of the top left corner and the cell size. A cell with any of its four source cells
+    missing is NULL.
+    """
+    lon0, lat0, dlon, dlat = source
+    x0, y0, step = target
+    spark = grid.sparkSession
+    cells = spark.range(rows * cols).select(F.expr(f"cast(id div {cols} as int)").alias("row"), F.expr(f"cast(id % {cols} as int)").alias("col"))
+    x, y = F.lit(x0) + (F.col("col") + 0.5) * step, F.lit(y0) - (F.col("row") + 0.5) * step
+    at = cells.withColumns({"_c": (projection.longitude(x, y) - lon0) / dlon, "_r": (projection.latitude(x, y) - lat0) / dlat})
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    at = at.withColumn("_k", F.explode(near)).withColumns({"_sr": F.floor("_r") + F.col("_k.i"), "_sc": F.floor("_c") + F.col("_k.j")})
+    weight = (1 - F.abs(F.col("_r") - F.col("_sr"))) * (1 - F.abs(F.col("_c") - F.col("_sc")))
+    from_ = grid.select(F.col("row").alias("_sr"), F.col("col").alias("_sc"), F.col(value).alias("_v"))
+    met = at.withColumn("_w", weight).join(from_, ["_sr", "_sc"], "left")
+    out = met.groupBy("row", "col").agg(F.sum(F.col("_w") * F.col("_v")).alias(value), F.count_if(F.col("_v").isNull() & (F.col("_w") > 0)).alias("_missing"))
+    return out.select("row", "col", F.when(F.col("_missing") == 0, F.col(value)).alias(value))
+
+
 def predicted(tiles: DataFrame, scorer: Callable[[], Callable[[np.ndarray], np.ndarray]], batch: int = params.Detect.batch_size) -> DataFrame:
     """Masks (0 or 255) of patches by a scorer of logits, batch by batch.
 

@@ -114,6 +114,10 @@ _WINDOW_SMOOTH = PIXELS + """, seq as (
     sum(cast(floor(value * 100) as integer) + 60) over (partition by scene_id, row order by i rows between 2 preceding and 2 following) as s
   from pixels where col < 5 or row = 0)"""
 
+_WARP = f"""grid as (select n // 181 as r, n % 181 as c, case when n % 97 <> 0 then cast((n * 31) % 1000 as double) end as depth from (select unnest(range(41 * 181)) as n)),
+cells as (select n // 60 as r, n % 60 as k, (n % 60 + 0.5) * 50000.0 as Geo_X, 3.0e6 - (n // 60 + 0.5) * 50000.0 as Geo_Y from (select unnest(range(3600)) as n)),
+at4 as (select r, k, degrees(atan2(Geo_X, Geo_Y)) / 0.5 as fc, ({_LAT} + 60.0) / -0.5 as fr from cells)"""
+
 _RANKED = COMPONENTS + """, feats as (select orbit, scene_id * 64 + label as rid, count(*) as area from comps group by all having count(*) >= 3),
 ranked as (select *, row_number() over (partition by orbit order by area desc, rid) as rank from feats),
 cells as (select c.orbit, c.scene_id * 64 + c.label as rid, row, col from comps c where c.scene_id * 64 + c.label in (select rid from feats)),
@@ -250,6 +254,15 @@ def oracle_sql() -> dict[str, str]:
             from pool join norms using (orbit, frame) where dist <= 10"""),
         "assignment": _q(_ASSIGN, "select ch.orbit, ch.frame, ch.cur_label, ch.prev_label, round(c.cost, 6) as cost from chosen ch join cand c using (orbit, frame, cur_label, prev_label)"),
         "unmatched_regions": _q(_ASSIGN, "select r.orbit, count(*) as new_regions from regions r left join chosen c on c.orbit = r.orbit and c.frame = r.frame and c.cur_label = r.label where c.cur_label is null group by 1"),
+        "frame_counters": _q(_ASSIGN, """, n as (select orbit, frame, count(*) as regions from regions group by all), m as (select orbit, frame, count(*) as matched from chosen group by all)
+            select orbit, frame, regions, coalesce(matched, 0) as matched, regions - coalesce(matched, 0) as new from n left join m using (orbit, frame)"""),
+        "clipped_boxes": _q(REGIONS, """, c as (
+              select scene_id, label, greatest("left" + 2, 0) as x0, greatest(top - 2, 0) as y0, least("left" + 2 + width, 8) as x1, least(top - 2 + height, 8) as y1 from regions)
+            select scene_id, label, x0 as "left", y0 as top, greatest(x1 - x0, 0) as width, greatest(y1 - y0, 0) as height, x1 <= x0 or y1 <= y0 as is_empty from c"""),
+        "grid_warp": _q(_WARP, """, met as (
+              select c.r, c.k, (1 - abs(c.fr - n.sr)) * (1 - abs(c.fc - n.sc)) as w, g.depth
+              from at4 c, lateral (select floor(c.fr) + i as sr, floor(c.fc) + j as sc from (values (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j)) n left join grid g on g.r = n.sr and g.c = n.sc)
+            select cast(r as integer) as row, cast(k as integer) as col, case when count(*) filter (where depth is null and w > 0) = 0 then round(sum(w * depth), 6) end as depth from met group by r, k"""),
         "contour_smooth": _q(_WINDOW_SMOOTH, "select scene_id, cast(i as integer) as i, x, case when n < 5 then x else cast(trunc(s / 5.0) as integer) end as smooth_x from seq"),
         "overlap_candidates": _q(REGIONS, """, r as (select *, scene_id * 64 + label as rid from regions)
             select x.orbit, x.rid as a, y.rid as b from r x join r y on x.orbit = y.orbit and x.rid < y.rid and x."left" <= y."left" + y.width and y."left" <= x."left" + x.width

@@ -88,7 +88,7 @@ def patch_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stitch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = raster.patches(fixtures.scenes(spark, sf_dir), 3, 3)
-    return raster.pixels(raster.stitched(cut, ["scene_id"], 8, 8)).withColumn("value", R6("value"))
+    return raster.pixels(raster.stitched(cut, ["scene_id"])).withColumn("value", R6("value"))
 
 
 def threshold_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,16 +153,35 @@ def tile_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("scene_id", "label", "tile_row", "tile_col", R6("local_x").alias("local_x"), R6("local_y").alias("local_y"))
 
 
-def label_areas(pixels: DataFrame) -> DataFrame:
-    """Latitude-corrected areas of components; cells of 1 km, scenes 20 km apart."""
-    x = scalar.pixel_x(F.lit(1000.0), F.lit(0.0), F.lit(-1.5e6) + F.col("scene_id") * 20_000, F.col("row"), F.col("col"))
-    y = F.lit(9.0e5) - 1000.0 * (F.col("row") + 0.5)
-    weighed = pixels.withColumn("km2", projection.true_area_km2(F.lit(1000.0), projection.latitude(x, y)))
-    return weighed.groupBy("scene_id", "label").agg(F.sum("km2").alias("area_km2"), F.count("*").alias("pixels"))
+def true_area_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of 1 km, scenes 20 km apart."""
+    to = F.array(F.lit(1000.0), F.lit(0.0), F.lit(-1.5e6) + F.col("scene_id") * 20_000, F.lit(0.0), F.lit(-1000.0), F.lit(9.0e5))
+    out = raster.label_areas(fixtures.component_pixels(spark, sf_dir).withColumn("transform", to), ["scene_id"])
+    return out.select("scene_id", "label", R6("area_km2").alias("area_km2"), F.col("pixels").cast("bigint").alias("pixels"))
 
 
-def true_area_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_areas(fixtures.component_pixels(spark, sf_dir)).withColumn("area_km2", R6("area_km2"))
+def grid_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A literal grid of half degrees of longitude 0 to 90 and latitude -60 to -80, warped to 50 km cells."""
+    del sf_dir
+    n = F.col("id")
+    grid = spark.range(41 * 181).select(F.floor(n / 181).alias("row"), (n % 181).alias("col"), F.when(n % 97 != 0, ((n * 31) % 1000).cast("double")).alias("depth"))
+    out = raster.warped(grid, (0.0, -60.0, 0.5, -0.5), (0.0, 3.0e6, 50_000.0), 60, 60)
+    return out.withColumn("depth", R6("depth"))
+
+
+def frame_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, matches and new regions of each frame of an orbit."""
+    regions = fixtures.regions(spark, sf_dir, AREA)
+    found = tracking.matched_pairs(pairing.frame_pairs(regions, 10.0).withColumn("cost", F.col("dist")), ["orbit", "frame"])
+    hits = found.groupBy("orbit", "frame").agg(F.count("*").alias("matched"))
+    counts = regions.groupBy("orbit", "frame").agg(F.count("*").alias("regions")).join(hits, ["orbit", "frame"], "left").fillna(0, ["matched"])
+    return counts.withColumn("new", F.col("regions") - F.col("matched"))
+
+
+def clipped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes moved by two cells and clipped to the scene; empty ones have no features."""
+    moved = fixtures.regions(spark, sf_dir, AREA).withColumns({"left": F.col("left") + 2, "top": F.col("top") - 2})
+    return pairing.clipped_boxes(moved, 8, 8).select("scene_id", "label", "left", "top", "width", "height", "is_empty")
 
 
 def area_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,5 +318,5 @@ def predicted_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """All queries of this module by name."""
-    skip = {"label_areas", "queries"}
+    skip = {"queries"}
     return {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in skip and k != "R6"}

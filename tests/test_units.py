@@ -64,7 +64,7 @@ def test_patch_grid_takes_the_rest(spark):
     tile = spark.createDataFrame([(1, 0, 0, 11, 9, list(map(float, range(99))))], "scene_id int, row0 int, col0 int, height int, width int, data array<double>")
     cut = raster.patches(tile, 4, 2)
     assert {(r.patch_row, r.patch_col): (r.height, r.width) for r in cut.collect()} == {(i, j): (5 if i == 3 else 2, 5 if j else 4) for i in range(4) for j in range(2)}
-    assert raster.stitched(cut, ["scene_id"], 11, 9).first().data == list(map(float, range(99)))
+    assert raster.stitched(cut, ["scene_id"]).first().data == list(map(float, range(99)))
 
 
 def test_dilation_is_a_diamond(spark):
