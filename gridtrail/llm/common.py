@@ -11,7 +11,7 @@ from ..storage import Scratch
 __all__ = ["Scratch", "column", "components", "small_batches", "table"]
 
 #: Bytes of one Arrow batch on its way to Python; long texts then come a few at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Rows of one Arrow batch where the byte limit isn't known to the Spark version.
 BATCH_ROWS = 1000
 
