@@ -42,7 +42,7 @@ RULES = (
     Rule("repeated_lines", "n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines"),
     Rule("word_length", "word_chars > 14 * n_words or word_chars < 2 * n_words"),
     Rule("capitals", "100 * (char_length(text) - char_length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 40 * word_chars"),
-    Rule("few_distinct", "n_words >= 50 and 100 * size(array_distinct(words)) < 12 * n_words"),
+    Rule("few_distinct", "n_words >= 50 and 100 * size(array_distinct(words)) < 12 * least(n_words, 1000)"),
     Rule("exclamations", "100 * (char_length(text) - char_length(translate(text, '!?', ''))) > 30 * n_words"),
 )
 
