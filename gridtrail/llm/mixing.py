@@ -31,8 +31,8 @@ BLOCK = 64
 PERIOD = 1000
 #: Sources at most: bounds the broadcast schedule, of at most MOST_SOURCES * 2 * PERIOD rows.
 MOST_SOURCES = 500
-#: Rows of a source that are numbered in one task, about.
-CHUNK = 200_000
+#: Rows of a source that are numbered together, about; larger sources are dealt to as many parts by hash.
+CHUNK = 5000
 
 
 def rounded(weights: dict, period: int) -> dict:
@@ -94,7 +94,7 @@ def phases(blocks: dict, weights: dict) -> list[dict]:
 def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs as a struct column ``row``, with source, block_no, slot and position (order of the mix, gaps after short blocks)."""
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"), column(docs, source_col).cast("string").alias("source"), F.xxhash64(column(docs, id_col)).alias("h"))
+    rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"), column(docs, source_col).cast("string").alias("source"), F.xxhash64(column(docs, id_col)).alias("h"), F.xxhash64(*[column(docs, f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]).alias("tie"))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     rows = rows.withColumn("key", key)
     counts = {r["key"]: r["n"] for r in rows.groupBy("key").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
@@ -107,15 +107,16 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, i
     spans = spark.createDataFrame(spans, "key string, phase int, first long, until long, start long, parts long, period long")
     places = spark.createDataFrame(places, "key string, phase int, j long, offset long")
 
-    subs = max(1, -(-max(counts.values(), default=1) // CHUNK))
-    rows = rows.withColumn("sub", F.pmod(F.col("h"), F.lit(subs)).cast("int"))
-    rows = rows.withColumn("inside", F.row_number().over(Window.partitionBy("key", "sub").orderBy("h")) - 1)
-    # at most MOST_SOURCES * subs rows; a shuffle join beyond what Spark itself finds small
-    sizes = docs.select(column(docs, source_col).cast("string").alias("source"), F.pmod(F.xxhash64(column(docs, id_col)), F.lit(subs)).cast("int").alias("sub"))
-    sizes = sizes.select(key.alias("key"), "sub").groupBy("key", "sub").agg(F.count("*").alias("n"))
+    parts = spark.createDataFrame([(k, -(-n // CHUNK)) for k, n in counts.items()], "key string, subs int")
+    dealt = lambda df: df.join(F.broadcast(parts), "key").withColumn("sub", F.pmod(F.col("h"), F.col("subs")).cast("int"))
+    rows = dealt(rows)
+    rows = rows.withColumn("inside", F.row_number().over(Window.partitionBy("key", "sub").orderBy("h", "tie")) - 1)
+    # a row for each CHUNK rows or source, so joined by a shuffle on the parts
+    sizes = docs.select(F.xxhash64(column(docs, id_col)).alias("h"), column(docs, source_col).cast("string").alias("source"))
+    sizes = dealt(sizes.select("h", key.alias("key"))).groupBy("key", "sub").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("key").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("key", "sub", F.coalesce(F.sum("n").over(ahead), F.lit(0).cast("long")).alias("before"))
-    rows = rows.join(sizes, ["key", "sub"]) if subs > 1 else rows.withColumn("before", F.lit(0).cast("long"))
+    rows = rows.join(sizes, ["key", "sub"])
     rows = rows.withColumn("rank", F.col("before") + F.col("inside"))
     rows = rows.withColumn("block_no", F.floor(F.col("rank") / block))
     rows = rows.join(F.broadcast(spans.withColumnRenamed("key", "span_key")), F.expr("key = span_key and block_no >= first and block_no < until"))

@@ -172,7 +172,8 @@ def test_schedule_deviates_by_less_than_a_block():
     assert counts == parts
 
 
-def test_mix_equals_simulation(spark):
+def test_mix_equals_simulation(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 100)
     sizes = {"a": 1000, "b": 330, "c": 90, None: 41}
     rows = [(f"{s}{k}", s) for s, n in sizes.items() for k in range(n)]
     docs = spark.createDataFrame(rows, "doc_id string, source string")
