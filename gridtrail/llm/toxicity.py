@@ -34,6 +34,8 @@ SAMPLE_ROWS = 20_000
 #: Lexicon: candidates looked at, words kept, and least evidence (G squared) and odds of a word.
 CANDIDATES, LEXICON, LEAST_EVIDENCE, LEAST_ODDS = 4000, 300, 18.0, 6.0
 CHUNK = 1 << 20
+#: Contexts that are held before they are passed on.
+CONTEXTS = 50_000
 #: Lengths of the beginnings of words that are entries of their own.
 BEGINNINGS = (4, 5, 6)
 #: Characters that may stand for letters: fixed values.
@@ -263,17 +265,24 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, scratch: Scratch,
 
     def contexts(wanted: frozenset | None):
         def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: set[tuple[str, int, int]] = set()
+
+            def table() -> pa.RecordBatch:
+                columns = list(zip(*found, strict=True)) or [[], [], []]
+                out = pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], ["w", "c", "y"])
+                found.clear()
+                return out
+
             for batch in batches_in:
-                words, around, labels_out = [], [], []
                 for y, text in zip(batch.column("y").to_pylist(), _restored(batch.column("text").to_pylist(), model), strict=True):
-                    seen = ["", *(w for w in _WORD.findall(text.lower())), ""]
+                    seen = ["", *_WORD.findall(text.lower()), ""]
                     for before, w, after in zip(seen, seen[1:], seen[2:], strict=False):
                         for entry in (w, *(f"{w[:n]}*" for n in BEGINNINGS if n < len(w))):
                             if wanted is None or entry in wanted:
-                                words.append(entry)
-                                around.append(hash64(before, after))
-                                labels_out.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(around, pa.int64()), pa.array(labels_out, pa.int32())], ["w", "c", "y"])
+                                found.add((entry, hash64(before, after), y))
+                        if len(found) > CONTEXTS:
+                            yield table()
+            yield table()
 
         return run
 
