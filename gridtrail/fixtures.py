@@ -32,7 +32,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         scalar.unique_id(stamp, k + 1).alias("Unique_ID"),
         spare(97, F.col("value") * 8).alias("Area_km2"),
         spare(89, F.floor("value").cast("int")).alias("Area_Pixels"),
-        spare(83, -((F.col("event_id") * 7919) % 1201).cast("double")).alias("Bed_Depth"),
+        spare(83, (-((F.col("event_id") * 7919) % 1201)).cast("double")).alias("Bed_Depth"),
         k.cast("double").alias("SIC_Value"),
         (F.lit(-2.0e6) + F.col("user_id") * 1000 + k * 40).alias("Geo_X"),
         (F.lit(1.0e6) + (F.col("event_id") % 997) * 500).alias("Geo_Y"),
@@ -71,7 +71,7 @@ def regions(spark: SparkSession, sf_dir: str, least: int = 3) -> DataFrame:
 def bathymetry(spark: SparkSession) -> DataFrame:
     """(row, col, depth): a literal grid from the top left corner at (-2.4e6, 2.0e6)."""
     n = F.col("id")
-    depth = F.when(n % 53 != 0, -((n * 37) % 1500).cast("double"))
+    depth = F.when(n % 53 != 0, (-((n * 37) % 1500)).cast("double"))
     return spark.range(BATHY_CELLS * BATHY_CELLS).select(F.floor(n / BATHY_CELLS).alias("row"), (n % BATHY_CELLS).alias("col"), depth.alias("depth"))
 
 
