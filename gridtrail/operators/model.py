@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .raster import centre_weights
+
 Weights = dict[str, np.ndarray]
 #: Bottlenecks of each encoder stage, and channels of the stages: fixed values of the architecture.
 BOTTLENECKS = (3, 8, 36, 3)
@@ -45,7 +47,7 @@ def on_canvas(scorer: Callable[[], Callable[[np.ndarray], np.ndarray]], size: in
 
         def run(x: np.ndarray) -> np.ndarray:
             height, width = x.shape[1:]
-            rows, cols = along(height, size), along(width, size)
+            rows, cols = centre_weights(height, size), centre_weights(width, size)
             up = np.einsum("ij,njk,lk->nil", rows, x, cols, optimize=True)
             back = score(up)
             r, c = ((np.arange(n) + 0.5) * size / n for n in (height, width))
@@ -56,16 +58,6 @@ def on_canvas(scorer: Callable[[], Callable[[np.ndarray], np.ndarray]], size: in
     return load
 
 
-def along(old: int, new: int) -> np.ndarray:
-    """Weights of old cells for new ones by cell centres, one row for each new cell."""
-    at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
-    low = np.floor(at).astype(int)
-    out = np.zeros((new, old))
-    out[np.arange(new), low] += 1 - (at - low)
-    out[np.arange(new), np.minimum(low + 1, old - 1)] += at - low
-    return out
-
-
 def conv(x: np.ndarray, w: np.ndarray, b: np.ndarray | None = None, stride: int = 1, pad: int = 0) -> np.ndarray:
     """2-D convolution of (n, channels, height, width)."""
     x = np.pad(x, ((0, 0), (0, 0), (pad, pad), (pad, pad)))

@@ -8,6 +8,7 @@ array functions, without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,18 +105,39 @@ def invalid_edges(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bilinear(tiles: DataFrame, height: int, width: int) -> DataFrame:
-    """Tiles resampled by cell centres: data bilinear (invalid cells as 0), validity by nearest."""
-    y = f"greatest(0.0D, least(height - 1.0D, (r + 0.5D) * height / {height} - 0.5D))"
-    x = f"greatest(0.0D, least(width - 1.0D, (c + 0.5D) * width / {width} - 0.5D))"
-    cell = lambda r, c: f"coalesce(get(data, cast({r} as int) * width + cast({c} as int)), 0.0D)"
-    top, left = "floor(p.y)", "floor(p.x)"
-    low, right = "least(height - 1, floor(p.y) + 1)", "least(width - 1, floor(p.x) + 1)"
-    value = f"""(1 - (p.y - {top})) * ((1 - (p.x - {left})) * {cell(top, left)} + (p.x - {left}) * {cell(top, right)})
-        + (p.y - {top}) * ((1 - (p.x - {left})) * {cell(low, left)} + (p.x - {left}) * {cell(low, right)})"""
-    nearest = f"get(data, cast(floor((p.r + 0.5D) * height / {height}) as int) * width + cast(floor((p.c + 0.5D) * width / {width}) as int))"
-    places = f"flatten(transform(sequence(0, {height - 1}), r -> transform(sequence(0, {width - 1}), c -> struct(r as r, c as c, {y} as y, {x} as x))))"
-    data = F.expr(f"transform({places}, p -> if({nearest} is null, null, {value}))")
-    return tiles.withColumn("data", data).withColumns({"height": F.lit(height), "width": F.lit(width)})
+    """Tiles resampled by cell centres: data bilinear (invalid cells as 0), validity by nearest; two small matrix products a tile."""
+    ship(tiles.sparkSession)
+    at = {c: k for k, c in enumerate(tiles.columns)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, heights, widths = (batch.column(at[c]) for c in ("data", "height", "width"))
+            made = []
+            for data, h, w in zip(values, heights.to_pylist(), widths.to_pylist(), strict=True):
+                flat = data.values
+                bad = flat.is_null().to_numpy(zero_copy_only=False).reshape(h, w)
+                full = flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(h, w)
+                out = centre_weights(h, height) @ full @ centre_weights(w, width).T
+                rows, cols = (((np.arange(n) + 0.5) * old / n).astype(int) for n, old in ((height, h), (width, w)))
+                made.append(pa.array(out.ravel(), mask=bad[rows[:, None], cols[None, :]].ravel()))
+            columns = list(batch.columns)
+            columns[at["data"]] = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * (height * width), pa.int32()), pa.concat_arrays(made) if made else pa.array([], pa.float64()))
+            for name, size in (("height", height), ("width", width)):
+                columns[at[name]] = pa.array(np.full(len(made), size), pa.int32())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return tiles.mapInArrow(run, tiles.schema)
+
+
+@lru_cache(maxsize=64)
+def centre_weights(old: int, new: int) -> np.ndarray:
+    """Weights of old cells for new ones by cell centres, one row for each new cell."""
+    at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
+    low = np.floor(at).astype(int)
+    out = np.zeros((new, old))
+    out[np.arange(new), low] += 1 - (at - low)
+    out[np.arange(new), np.minimum(low + 1, old - 1)] += at - low
+    return out
 
 
 def nearest(tiles: DataFrame, height: int, width: int) -> DataFrame:

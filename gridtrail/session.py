@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
 
@@ -42,3 +42,22 @@ def ship(spark: SparkSession) -> None:
             archive.write(path, str(path.relative_to(root.parent)))
     context.addPyFile(target)
     _SENT.add(context.applicationId)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, where the files that it reads make fewer; for work that is heavy per row.
+
+    Only inputs of less than a partition a core are dealt anew, so what is shuffled is small; others, and
+    those that read no files, stay as they are. Looks at files' sizes, at most one call for each core.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    conf, parts = spark._jsc.hadoopConfiguration(), 0
+    for name in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        parts += -(-path.getFileSystem(conf).getFileStatus(path).getLen() // most)
+    return df if parts >= cores else df.repartition(cores)
