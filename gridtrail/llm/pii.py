@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, small_batches
+from .common import column, small_batches, spread
 
 #: The key of tests; give your own.
 KEY = b"surrogate-key"
@@ -273,7 +273,7 @@ def reported(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col
 
     small_batches(docs.sparkSession)
     source = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, text string, n_entities long, kinds array<string>")
+    return spread(source).mapInArrow(run, "doc_id long, text string, n_entities long, kinds array<string>")
 
 
 def collisions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import column, small_batches
+from .common import column, small_batches, spread
 
 #: Labelled rows that pairs are drawn from, and pairs, at most.
 SAMPLE_ROWS, PAIRS = 20_000, 60_000
@@ -170,4 +170,5 @@ def scored(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ranker.score(batch.column("text").to_pylist()))], ["doc_id", "score"])
 
     small_batches(docs.sparkSession)
-    return docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    source = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
+    return spread(source).mapInArrow(run, "doc_id long, score double")

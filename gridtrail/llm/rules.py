@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, spread
 
 #: Rows of the sample from which costs and selectivities are estimated.
 SAMPLE_ROWS = 400
@@ -102,5 +102,5 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
     first = F.when(F.col("base_failed"), F.lit("base"))
     for rule in order:
         first = first.when(F.expr(rule.rejects), F.lit(rule.name))
-    out = measured(docs, id_col, text_col).withColumn("base_failed", base_failed())
+    out = measured(spread(docs), id_col, text_col).withColumn("base_failed", base_failed())
     return out.withColumn("rejected_by", first).withColumn("kept", F.col("rejected_by").isNull())

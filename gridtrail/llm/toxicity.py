@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, small_batches
+from .common import Scratch, column, small_batches, spread
 from .shingles import batches
 
 #: Labelled rows that the lexicon and weights are learnt from, at most.
@@ -257,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, scratch: Scratch,
     rows = labels.select(column(labels, id_col).cast("long").alias("id"), column(labels, label_col).cast("int").alias("y")).where("id is not null and y is not null")
     rows = rows.orderBy(F.xxhash64("id"), "y").limit(SAMPLE_ROWS)
     sample = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
-    sample = scratch.keep(sample.join(F.broadcast(rows), "id"), "sample")
+    sample = scratch.keep(spread(sample).join(F.broadcast(rows), "id"), "sample")
     share = sample.agg(F.avg("y").alias("y")).first()["y"] or 0.0
     flat = Scorer([], np.zeros(0), math.log((share + 1e-9) / (1 - share + 1e-9)), model)
     if share in (0.0, 1.0):
@@ -330,7 +330,8 @@ def scored(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     small_batches(docs.sparkSession)
-    return docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    source = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
+    return spread(source).mapInArrow(run, "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, scorer: Scorer, limit: float, text_col: str = "text") -> DataFrame:
