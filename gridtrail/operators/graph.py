@@ -15,27 +15,27 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     the edges, all by shuffles on the node; edges shrink until none is left. Nothing is collected.
     """
     low, high = F.least("u", "v"), F.greatest("u", "v")
-    left = edges.where("u <> v").select(high.alias("u"), low.alias("v")).distinct()
-    left = scratch.keep(left, f"{name}-edges-0")
-    nodes = left.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    labels = scratch.keep(nodes.select("node", F.col("node").alias("comp")), f"{name}-labels-0")
-    k = 0
+    first = scratch.keep(edges.where("u <> v").select(high.alias("u"), low.alias("v")).distinct(), f"{name}-edges-0")
+    left, hooks = first, []
     while not left.isEmpty():
-        k += 1
+        k = len(hooks) + 1
         hook = left.groupBy("u").agg(F.min("v").alias("v"))
         for _ in range(2):
             up = hook.select(F.col("u").alias("v"), F.col("v").alias("w"))
             hook = hook.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"))
-        hook = scratch.keep(hook, f"{name}-hook-{k}")
-        labels = labels.join(hook.select(F.col("u").alias("comp"), F.col("v").alias("to")), "comp", "left")
-        labels = scratch.keep(labels.select("node", F.coalesce("to", "comp").alias("comp")), f"{name}-labels-{k}")
-        left = left.join(hook.select("u", F.col("v").alias("a")), "u")
-        left = left.join(hook.select(F.col("u").alias("v"), F.col("v").alias("b")), "v", "left")
+        hooks.append(scratch.keep(hook, f"{name}-hook-{k}"))
+        left = left.join(hooks[-1].select("u", F.col("v").alias("a")), "u")
+        left = left.join(hooks[-1].select(F.col("u").alias("v"), F.col("v").alias("b")), "v", "left")
         left = left.select("a", F.coalesce("b", "v").alias("b")).where("a <> b")
         left = left.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         left = scratch.keep(left, f"{name}-edges-{k}")
-        scratch.drop(f"{name}-hook-{k}", f"{name}-labels-{k - 1}", f"{name}-edges-{k - 1}")
-    scratch.drop(f"{name}-edges-{k}")
+        if k > 1:
+            scratch.drop(f"{name}-edges-{k - 1}")
+    labels = first.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("comp", F.col("node"))
+    for hook in hooks:  # a few rounds; every node follows its component's path
+        labels = labels.join(hook.select(F.col("u").alias("comp"), F.col("v").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    labels = scratch.keep(labels, f"{name}-labels")
+    scratch.drop(*(f"{name}-hook-{k + 1}" for k in range(len(hooks))), f"{name}-edges-0", f"{name}-edges-{len(hooks)}")
     return labels
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import dealt, ship
 
 #: The eight neighbours clockwise from the right, as (dx, dy), y downwards.
 COMPASS = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
@@ -158,7 +158,7 @@ def described(pixels: DataFrame, keys: list[str]) -> DataFrame:
     point = "array<struct<x:int,y:int>>"
     names = [*keys, "label"]
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + ["axis double", f"contour {point}", f"smooth_contour {point}", "hu array<double>"])
-    cells = pixels.groupBy(*names).agg(F.collect_list("row").alias("rows"), F.collect_list("col").alias("cols"))
+    cells = dealt(pixels, *names).groupBy(*names).agg(F.collect_list("row").alias("rows"), F.collect_list("col").alias("cols"))
 
     def run(batches):
         for batch in batches:

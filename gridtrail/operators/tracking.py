@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
-from ..session import ship
+from ..session import dealt, ship
 from ..storage import Scratch
 from .graph import numbered
 
@@ -77,7 +77,7 @@ def matched_pairs(pairs: DataFrame, keys: list[str], cost: str = "cost") -> Data
             out[k] = group[k].iloc[0]
         return out[[*keys, "cur_label", "prev_label", cost]]
 
-    return pairs.select(*keys, "cur_label", "prev_label", cost).groupBy(*keys).applyInPandas(run, schema)
+    return dealt(pairs.select(*keys, "cur_label", "prev_label", cost), *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 @dataclass
@@ -258,7 +258,7 @@ def tracks(regions: DataFrame, p: params.Identify, scene_width: int, age_empty_t
         out = [(*place, x.birth_frame, x.birth_label, t, r.label, r.cx, r.cy, r.area, *costs) for x, t, r, costs in found]
         return pd.DataFrame(out, columns=[part.split()[0] for part in schema.split(", ")])
 
-    seen = rows.groupBy(*tile).cogroup(tiles.groupBy(*tile)).applyInPandas(run, schema)
+    seen = dealt(rows, *tile).groupBy(*tile).cogroup(dealt(tiles, *tile).groupBy(*tile)).applyInPandas(run, schema)
     scratch = Scratch(spark, "tracks")
     seen = scratch.keep(seen, "seen")
     birth = ["orbit", "birth_frame", "tile_row", "tile_col", "birth_label"]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
-from ..session import ship
+from ..session import dealt, ship
 from ..storage import Scratch
 from .graph import components
 
@@ -156,7 +156,7 @@ def traced(pixels: DataFrame, keys: list[str], transform: tuple[float, ...] = (1
     kinds = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
     names = [*keys, "label"]
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + ["geom_wkb binary", "geom_area double", "multipolygon boolean"])
-    cells = pixels.groupBy(*names).agg(F.collect_list("row").alias("rows"), F.collect_list("col").alias("cols"))
+    cells = dealt(pixels, *names).groupBy(*names).agg(F.collect_list("row").alias("rows"), F.collect_list("col").alias("cols"))
     a, b, c, d, e, f = transform
 
     def run(batches):

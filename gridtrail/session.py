@@ -44,6 +44,11 @@ def ship(spark: SparkSession) -> None:
     _SENT.add(context.applicationId)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over the session's shuffle partitions, whatever their size: for grouped work that is heavy per row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many tasks as there are cores, where the files that it reads make fewer; for work that is heavy per row.
 
