@@ -7,21 +7,31 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 
-#: Columns found by the first that exists of these names; fixed values.
+#: Columns of each role: the first of the table, in its order, with one of these names; fixed values.
 CANDIDATES = {
-    "id": ("Track_ID", "Iceberg_ID", "ID"),
-    "time": ("Timestamp", "Date", "Time"),
-    "uid": ("Unique_ID", "UID"),
-    "lat": ("Latitude", "Lat"),
-    "lon": ("Longitude", "Lon"),
+    "Track_ID": ("Track_ID", "Global_UID", "ID"),
+    "Geo_X": ("Geo_X", "Centroid_X", "Easting_3031"),
+    "Geo_Y": ("Geo_Y", "Centroid_Y", "Northing_3031"),
+    "Swath_Mode": ("Swath Mode", "Swath_Mode"),
 }
+#: Columns of a role by how their names begin; fixed values.
+BEGINNINGS = {"Area_Pixels": "Area_Pix"}
 #: Literals for columns that are missing.
 DEFAULTS = {"Orbit": "Unknown", "Swath_Mode": "EW"}
 
 
-def discovered(df: DataFrame, candidates: dict[str, tuple[str, ...]] = CANDIDATES) -> dict[str, str | None]:
-    """For each role the first column of df, in df's order, that is among its candidates."""
-    return {role: next((c for c in df.columns if c in wanted or c.startswith(tuple(f"{w}_" for w in wanted if w != c))), None) for role, wanted in candidates.items()}
+def discovered(df: DataFrame) -> dict[str, str]:
+    """For each role that df has a column for, that column."""
+    found = {role: next((c for c in df.columns if c in wanted), None) for role, wanted in CANDIDATES.items()}
+    found |= {role: next((c for c in df.columns if c.startswith(start)), None) for role, start in BEGINNINGS.items()}
+    return {role: c for role, c in found.items() if c is not None}
+
+
+def canonical(df: DataFrame) -> DataFrame:
+    """df with the columns found for the roles renamed to them; columns that stand in a role's place go."""
+    found = discovered(df)
+    spare = [role for role, c in found.items() if c != role and role in df.columns]
+    return df.drop(*spare).withColumnsRenamed({c: role for role, c in found.items()})
 
 
 def completed(df: DataFrame, defaults: dict[str, str] = DEFAULTS) -> DataFrame:
@@ -70,9 +80,8 @@ def features(obs: DataFrame, keys: tuple[str, ...] = ("Orbit", "Track_ID")) -> D
     table = range_texts(track_summary(obs, keys))
     middle = middle_rows(obs, keys).select(*keys, "Timestamp", "Unique_ID", "Geo_X", "Geo_Y")
     out = table.join(middle, list(keys))
-    orbit = scalar.layer_name(F.col("Orbit"))
     return out.select(
-        F.concat_ws("_", orbit, F.col("Track_ID").cast("string")).alias("Global_UID"), "Orbit", "Timestamp", "Unique_ID", "Date_Range",
+        F.col("Track_ID").cast("string").alias("Global_UID"), "Orbit", "Timestamp", "Unique_ID", "Date_Range",
         F.col("mean_km2").alias("Area_Mean_km2"), "Area_Range_km2", F.col("mean_px").alias("Area_Mean_px"), "Area_Range_px",
         F.col("mean_depth").alias("Bed_Depth"), F.col("swath").alias("Swath_Mode"), F.col("Geo_Y").alias("Northing_3031"), F.col("Geo_X").alias("Easting_3031"),
     )

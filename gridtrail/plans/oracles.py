@@ -197,14 +197,14 @@ def oracle_sql() -> dict[str, str]:
             from obs group by Orbit, Track_ID having min(Area_Pixels) is not null"""),
         "union_orbits": _q(OBS, "select event_id, Orbit, Area_km2, cast(null as double) as SIC_Value from obs where Orbit = 'click' union all select event_id, Orbit, null, SIC_Value from obs where Orbit = 'view'"),
         "manifest_resume": _q(OBS, "select event_id, Orbit, Timestamp from obs where (Orbit, Timestamp) not in (select (Orbit, Timestamp) from obs where event_id % 3 = 0)"),
-        "column_defaults": _q(OBS, "select event_id, 'Unknown' as Orbit, 'EW' as Swath_Mode, cast(null as double) as Bed_Depth, Unique_ID as uid from obs"),
+        "column_defaults": _q(OBS, "select event_id, Track_ID, Area_Pixels, Geo_X, Geo_Y, 'Unknown' as Orbit, 'EW' as Swath_Mode, cast(null as double) as Bed_Depth, 'a_b' as layer from obs"),
         "track_features": _q(GOOD, """, placed as (
               select *, row_number() over (partition by Orbit, Track_ID order by Timestamp, event_id) - 1 as k, count(*) over (partition by Orbit, Track_ID) as n from good),
             sums as (
               select Orbit, Track_ID, min(Timestamp) || ' - ' || max(Timestamp) as Date_Range, round(avg(Area_km2), 6) as Area_Mean_km2, round(avg(Area_Pixels), 6) as Area_Mean_px,
                 min(Area_Pixels) || ' - ' || max(Area_Pixels) as Area_Range_px, round(avg(Bed_Depth), 6) as Bed_Depth, first(Swath_Mode order by Timestamp, event_id) as Swath_Mode
               from good group by Orbit, Track_ID having min(Area_Pixels) is not null)
-            select s.Orbit || '_' || s.Track_ID as Global_UID, s.Orbit, p.Timestamp, p.Unique_ID, s.Date_Range, s.Area_Mean_km2, s.Area_Mean_px, s.Area_Range_px, s.Bed_Depth, s.Swath_Mode,
+            select cast(s.Track_ID as varchar) as Global_UID, s.Orbit, p.Timestamp, p.Unique_ID, s.Date_Range, s.Area_Mean_km2, s.Area_Mean_px, s.Area_Range_px, s.Bed_Depth, s.Swath_Mode,
               round(p.Geo_Y, 6) as Northing_3031, round(p.Geo_X, 6) as Easting_3031
             from sums s join placed p on p.Orbit = s.Orbit and p.Track_ID = s.Track_ID and p.k = p.n // 2"""),
         "patch_grid": _q(PIXELS, """, cut as (select *, least(row // 2, 2) as patch_row, least(col // 2, 2) as patch_col from pixels)

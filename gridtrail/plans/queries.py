@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures, params
-from ..functions import projection, scalar
+from ..functions import scalar
 from ..operators import labels, pairing, qc, raster, shapes, summary, tracking, vector
 
 P = params.Physical(min_pixels=1, cond1_area=params.EW.cond1_area, cond2_area=params.EW.cond2_area)
@@ -68,10 +68,10 @@ def manifest_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bare = fixtures.observations(spark, sf_dir).drop("Orbit", "Swath_Mode", "Bed_Depth")
-    full = summary.completed(bare)
-    found = summary.discovered(full)
-    return full.select("event_id", "Orbit", "Swath_Mode", "Bed_Depth", F.col(found["uid"]).alias("uid"))
+    other = {"Track_ID": "ID", "Geo_X": "Centroid_X", "Geo_Y": "Northing_3031", "Area_Pixels": "Area_Pix_n"}
+    bare = fixtures.observations(spark, sf_dir).drop("Orbit", "Swath_Mode", "Bed_Depth").withColumnsRenamed(other)
+    full = summary.completed(summary.canonical(bare))
+    return full.select("event_id", "Track_ID", "Area_Pixels", "Geo_X", "Geo_Y", "Orbit", "Swath_Mode", "Bed_Depth", scalar.layer_name(F.lit("a(b)")).alias("layer"))
 
 
 def track_features(spark: SparkSession, sf_dir: str) -> DataFrame:

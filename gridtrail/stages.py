@@ -138,8 +138,13 @@ def _prefix(folder: str) -> str:
     return f"{mode}_"
 
 
-def identify(spark: SparkSession, folder: str, output_csv: str, p: params.Identify = params.Identify()) -> DataFrame:
-    """Tracks of the regions in a folder, written as one CSV; returns them. Tiles follow the first label raster."""
+def identify(spark: SparkSession, folder: str, output_csv: str, p: params.Identify = params.Identify(), overwrite: bool = False) -> DataFrame:
+    """Tracks of the regions in a folder, written as a folder with one CSV, unless that exists; returns them.
+
+    Tiles follow the first label raster.
+    """
+    if os.path.exists(_plain(output_csv)) and not overwrite:
+        return tables.read_table(spark, _url(output_csv))
     prefix = _prefix(folder)
     scratch = Scratch(spark, "identify")
     stamps = tables.frames(spark, _url(folder), prefix)
@@ -165,12 +170,14 @@ def identify(spark: SparkSession, folder: str, output_csv: str, p: params.Identi
     return tables.read_table(spark, _url(output_csv))
 
 
-def physical(spark: SparkSession, tracks_csv: str, folder: str, output_csv: str, bathymetry: str | None = None, sea_ice: str | None = None, sic_grid: tuple[float, float, float] = (-3950.0, -3950.0, 10.0), p: params.Physical = params.Physical()) -> DataFrame:
-    """Quality-controlled observations, written as one CSV; returns them.
+def physical(spark: SparkSession, tracks_csv: str, folder: str, output_csv: str, bathymetry: str | None = None, sea_ice: str | None = None, sic_grid: tuple[float, float, float] = (-3950.0, -3950.0, 10.0), p: params.Physical = params.Physical(), overwrite: bool = False) -> DataFrame:
+    """Quality-controlled observations, written as a folder with one CSV, unless that exists; returns them.
 
     bathymetry: a GeoTIFF in polar metres. sea_ice: a folder of sources.tables.import_sea_ice, with the
     first node and step of its grid in kilometres. What is missing counts as 0, as an unreadable source.
     """
+    if os.path.exists(_plain(output_csv)) and not overwrite:
+        return tables.read_table(spark, _url(output_csv), schemas.QC)
     obs = qc.min_epochs(tables.read_table(spark, _url(tracks_csv))).select("Track_ID", "Timestamp", "Geo_X", "Geo_Y", "Unique_ID")
     by_label = raster.label_areas(label_cells(spark, folder, _prefix(folder)), ["Timestamp"])
     obs = qc.without_small(qc.with_position(qc.areas(obs, by_label)), p.min_pixels)
@@ -192,7 +199,7 @@ def export(spark: SparkSession, qc_csv: str, folder: str, output: str, fast_ice:
     prefix = _prefix(folder)
     scratch = Scratch(spark, "export")
     obs = tables.read_table(spark, _url(qc_csv), schemas.QC).withColumn("Orbit", F.lit(orbit))
-    obs = summary.completed(obs).withColumn("event_id", F.xxhash64("Unique_ID"))
+    obs = summary.completed(summary.canonical(obs)).withColumn("event_id", F.xxhash64("Unique_ID"))
     cells = scratch.keep(label_cells(spark, folder, prefix), "cells")
     grid = cells.select("height", "width", "transform").first()
     shape = (grid["height"], grid["width"], tuple(grid["transform"]))

@@ -82,6 +82,12 @@ def test_tracks_and_features(made):
     assert gpkg.read_layer(made["final"].sparkSession, str(made["root"] / "out.gpkg")).count() == len(final)
 
 
+def test_existing_outputs_are_kept(spark, made):
+    root = made["root"]
+    assert stages.identify(spark, "nowhere", str(root / "tracks")).count() == made["tracks"].count()
+    assert stages.physical(spark, "nowhere", "nowhere", str(root / "qc")).count() == made["kept"].count()
+
+
 def test_without_coastline(spark, made, tmp_path):
     (tmp_path / "m").mkdir()
     blank, one = np.zeros((6, 6), np.uint8), np.zeros((6, 6), np.uint8)
