@@ -117,11 +117,11 @@ def basis(x: np.ndarray) -> np.ndarray:
 def learn(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Ranker:
     """Fit the ranking on measures x with labels y (1: good)."""
     rng = np.random.default_rng(seed)
-    centre, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+    centre, spread = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)) if len(x) else (np.zeros(len(MEASURES)), np.ones(len(MEASURES)))
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         share = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
-        return Ranker(centre if len(x) else np.zeros(len(MEASURES)), spread if len(x) else np.ones(len(MEASURES)), np.zeros(3 * len(MEASURES)), -np.log(share / (1 - share)), 1.0)
+        return Ranker(centre, spread, np.zeros(3 * len(MEASURES)), -np.log(share / (1 - share)), 1.0)
     b = basis(np.clip((x - centre) / spread, -4, 4))
     pairs = min(PAIRS, max(1000, 20 * len(x)))
     d = b[rng.choice(good, pairs)] - b[rng.choice(bad, pairs)]
