@@ -3,9 +3,11 @@
 Method. Vectors get one more component that makes all norms equal (the largest), which turns largest
 inner product into least Euclidean distance. TABLES tables hash them by floor((a.x + b) / width) of
 normal a. For a query, the buckets of a table are ranked by the estimated chance that a neighbour lies
-in them, given where the query lies in its own bucket and how far the wanted neighbours are (fitted on
-a bounded sample), and are visited in that order until the chance over all tables reaches TARGET.
-Every vector is indexed. Buckets are dealt to groups by hash; a query is sent once to each group that
+in them, given where the query lies in its own bucket and how far the wanted neighbours are (at first
+a guess from a bounded sample), and are visited in that order until the chance over all tables reaches
+TARGET. The k-th distance that a query finds bounds its true one; a query for which it is larger than
+the guess visits the further buckets that this distance asks for, so TARGET holds for each query,
+however the distances differ. Every vector is indexed. Buckets are dealt to groups by hash; a query is sent once to each group that
 holds buckets that it visits. In a group, each bucket is scored against its visitors by one matrix
 product, and only each query's best stay. A group of more than GROUP_ROWS vectors, as a very common
 vector makes, is split by hashed id and visited in all its parts, so no bucket is capped. A query whose
@@ -92,12 +94,17 @@ class Index:
     def buckets(self, x: np.ndarray, table: int) -> np.ndarray:
         return self.key(np.floor((self.lift(x) @ self.a[table] + self.b[table]) / self.width).astype(np.int64))
 
-    def probes(self, q: np.ndarray, table: int) -> list[np.ndarray]:
-        """For each query, the buckets to visit in the order of their estimated chance; none if they can't attain it."""
+    def distance(self, q: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """How far from each query vectors of these inner products are."""
+        norm2 = self.norm * self.norm
+        return np.sqrt(np.maximum(0, 2 * norm2 - 2 * score * self.norm / np.sqrt((q * q).sum(axis=1))))
+
+    def probes(self, q: np.ndarray, table: int, far: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each query, the buckets to visit in the order of their estimated chance for neighbours as far as far (else the guess); none if they can't attain it."""
         at = (self.ask(q) @ self.a[table] + self.b[table]) / self.width
         cell = np.floor(at)
         inside = at - cell
-        scale = self.width / self.spread / math.sqrt(2)
+        scale = self.width / (np.full(len(q), self.spread) if far is None else np.maximum(far, self.spread))[:, None] / math.sqrt(2)
         edge = np.vectorize(math.erf)((np.arange(-STEPS, STEPS + 2)[:, None, None] - inside) * scale)
         chance = np.diff(edge, axis=0) / 2  # step, query, hash
         joint = np.ones((len(q), len(self.grid)))
@@ -193,6 +200,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["query_id", "t", "g", "buckets", "x"])
 
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The buckets that the found k-th distance asks for and that weren't visited; a query that they can't serve visits all of one table."""
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+        for batch in batches:
+            q, ids = _rows(batch.column("x"), dim), batch.column("id").to_pylist()
+            far = index.distance(q, batch.column("least").to_numpy(zero_copy_only=False))
+            for a in range(0, len(q), 64):
+                some = np.arange(a, min(a + 64, len(q)))
+                some = some[far[some] > index.spread]
+                if not len(some):
+                    continue
+                before = [index.probes(q[some], t) for t in range(TABLES)]
+                after = [index.probes(q[some], t, far[some]) for t in range(TABLES)]
+                rows: list[tuple] = []
+                for i, at in enumerate(some):
+                    if not all(len(keys[i]) for keys in before):
+                        continue  # has visited all
+                    if not all(len(keys[i]) for keys in after):
+                        rows += [(ids[at], 0, g, [], q[at]) for g in range(groups)]
+                        continue
+                    for t in range(TABLES):
+                        keys = np.setdiff1d(after[t][i], before[t][i])
+                        to = group_of(keys)
+                        rows += [(ids[at], t, int(g), keys[to == g], q[at]) for g in np.unique(to)]
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["query_id", "t", "g", "buckets", "x"])
+
     asked = data.join(usable(queries, id_col, vector_col).select("id"), "id", "left_semi")
     placed = data.mapInArrow(hashed, "t int, g int, bucket long, id long, x array<double>")
     visits = asked.mapInArrow(probed, "query_id long, t int, g int, buckets array<long>, x array<double>")
@@ -238,10 +272,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         return spread.select(*keys, "query_id", "buckets", "x").groupBy(*keys).cogroup(indexed).applyInPandas(compare, "query_id long, vec_id long, score double")
 
     found = scratch.keep(visited(visits).distinct(), "found")
-    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, n - 1)).select(F.col("query_id").alias("id"))
-    rest = asked.join(enough, "id", "left_anti").crossJoin(parts.where("t = 0").select("t", "g"))  # each such query with the few groups of a table
+    # at most TABLES * k scores for each part of a group that a query visits
+    scores = F.sort_array(F.collect_list("score"), False)
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n"), F.slice(scores, max(1, min(k, n - 1)), 1)[0].alias("least"))
+    enough = scratch.keep(enough.where(F.col("n") >= max(1, min(k, n - 1))).select(F.col("query_id").alias("id"), "least"), "enough")
+    more = asked.join(enough, "id").mapInArrow(further, "query_id long, t int, g int, buckets array<long>, x array<double>")
+    rest = asked.join(enough.select("id"), "id", "left_anti").crossJoin(parts.where("t = 0").select("t", "g"))  # each such query with the few groups of a table
     rest = rest.select(F.col("id").alias("query_id"), "t", "g", F.array().cast("array<long>").alias("buckets"), "x")
-    found = found.unionByName(visited(rest)).distinct()
+    found = found.unionByName(visited(rest.unionByName(more))).distinct()
     order = F.struct((-F.col("score")).alias("w"), "vec_id")
     # at most TABLES * k rows for each part of a group that a query visits
     top = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(order)), 1, k).alias("top"))

@@ -253,6 +253,26 @@ def test_neighbours_recall(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_neighbours_recall_among_near_copies(spark):
+    rng = np.random.default_rng(3)
+    n, grouped = 8000, 5600  # 70 % of the vectors in groups of 40 near copies
+    x = rng.normal(size=(n, 64))
+    x[:grouped] = np.repeat(x[: grouped // 40], 40, axis=0) + 1e-3 * rng.normal(size=(grouped, 64))
+    x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+    data = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = collections.defaultdict(set)
+    for r in ann.search(data, data.where("vec_id % 50 = 0"), k=20).collect():
+        found[r.query_id].add(r.vec_id)
+    wide = x.astype(float)
+    recall = {}
+    for q in range(0, n, 50):
+        s = wide @ wide[q]
+        s[q] = -np.inf
+        recall[q] = len(set(np.argsort(-s)[:20].tolist()) & found[q]) / 20
+    alone, copies = [r for q, r in recall.items() if q >= grouped], [r for q, r in recall.items() if q < grouped]
+    assert np.mean(alone) >= 0.9 and np.mean(copies) >= 0.9
+
+
 # -- BPE
 
 
