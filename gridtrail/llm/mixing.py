@@ -1,12 +1,16 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame and SQL functions.
+"""Mixing sources to target weights by Pfair scheduling; rows are placed in DataFrame and SQL functions.
 
 Method. A source's rows, in hashed order, are cut into blocks of BLOCK rows. With weight w (a share of
 the sequence), its k-th block may start at slot floor(k / w) and is due by slot ceil((k + 1) / w);
 among the blocks that may start, the earliest due goes next. One block is placed a slot, so every
-prefix of the sequence holds each source's share to within one block. Weights are rounded to parts of
-PERIOD, which makes the schedule periodic: the driver computes one period, of a size that doesn't
-depend on the rows, and a block's slot follows from its number by arithmetic. When a source runs out,
-a new phase starts with the weights of the rest; the deviation bound holds within each phase.
+prefix of the sequence holds each source's share to within one block. When a source's share is used up,
+the rest share by their weights; windows are then those of the fluid schedule that serves all sources
+at once, and the bound holds against it from the first slot to the last. The driver orders the blocks,
+not the rows, in exact integers of the given weights.
+
+Mixes of at most PERIOD blocks take a schedule that repeats, of weights rounded to parts of PERIOD and
+begun anew when a source runs out, where each of its prefixes proves to be less than 1 + SLACK blocks off
+the exact weights; the rounding can cost these that much over one block.
 
 Defined results. Every row gets a place, none is dropped or repeated. Null sources are one source;
 ids may be null or repeated. Without target weights, each source weighs the square root of its rows.
@@ -17,9 +21,15 @@ table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 import math
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +37,16 @@ from .common import column
 
 #: Rows of a block.
 BLOCK = 64
-#: Slots of a period, at least; weights are rounded to a part of this.
+#: Slots of a period, at least; weights are rounded to a part of this. Mixes of more blocks take exact weights.
 PERIOD = 1000
-#: Sources at most: bounds the broadcast schedule, of at most MOST_SOURCES * 2 * PERIOD rows.
+#: Blocks over one that a prefix of a mix of at most PERIOD blocks may be off by the rounding.
+SLACK = Fraction(1, 16)
+#: Sources at most.
 MOST_SOURCES = 500
 #: Rows of a source that are numbered together, about; larger sources are dealt to as many parts by hash.
 CHUNK = 5000
+#: Blocks of a source whose slots are sent as one row, and blocks whose slots are broadcast, at most; more are joined by a shuffle.
+SLOTS, BROADCAST = 1024, 1 << 20
 
 
 def rounded(weights: dict, period: int) -> dict:
@@ -68,29 +82,92 @@ def period_schedule(parts: dict) -> list:
     return out
 
 
-def phases(blocks: dict, weights: dict) -> list[dict]:
-    """The phases until all blocks are placed: start slot, per-source first block and blocks, and the period."""
-    left = {k: n for k, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    start, out = 0, []
+def whole(weights: dict) -> dict:
+    """The weights in exact proportion, as integers."""
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    unit = math.lcm(*[w.denominator for w in exact.values()])
+    return {k: int(w * unit) for k, w in exact.items()}
+
+
+def periodic(blocks: dict, weights: dict) -> list | None:
+    """The sources of all slots by periods of rounded weights; None if a prefix is 1 + SLACK blocks or more off the exact weights."""
+    left, out = dict(blocks), []
     while left:
-        ahead = {k: weights[k] for k in left if weights.get(k)} or dict.fromkeys(left, 1.0)
-        parts = rounded(ahead, max(PERIOD, 2 * len(ahead)))
-        pattern = period_schedule(parts)
-        at = {k: [i for i, x in enumerate(pattern) if x == k] for k in parts}
-        ends = {k: (left[k] - 1) // parts[k] * len(pattern) + at[k][(left[k] - 1) % parts[k]] + 1 for k in parts}
-        length = min(ends.values())
-        whole, rest = divmod(length, len(pattern))
-        took = {k: whole * parts[k] + sum(i < rest for i in at[k]) for k in parts}
-        out.append({"start": start, "first": {k: done[k] for k in parts}, "took": took, "parts": parts, "period": len(pattern), "at": at})
-        start += length
-        for k, n in took.items():
-            done[k] += n
-            left[k] -= n
+        ahead = {k: weights[k] for k in left}
+        pattern = period_schedule(rounded(ahead, max(PERIOD, 2 * len(ahead))))
+        exact = whole(ahead)
+        total = sum(exact.values())
+        lag = dict.fromkeys(ahead, 0)  # slots times weight, less total times the blocks placed
+        for k in itertools.cycle(pattern):
+            out.append(k)
+            left[k] -= 1
+            for x, w in exact.items():
+                lag[x] += w
+            lag[k] -= total
+            if max(map(abs, lag.values())) >= (1 + SLACK) * total:
+                return None
+            if not left[k]:
+                break
         left = {k: n for k, n in left.items() if n}
     return out
 
 
+def fluid(blocks: dict, weights: dict) -> Iterator:
+    """The sources of all slots: earliest deadline first within the windows of the exact fluid schedule.
+
+    At virtual time v the fluid schedule has served min(n, w * v) blocks of a source of n blocks and weight
+    w; their sum is the time in slots. It is linear between the virtual times at which sources end.
+    """
+    names = sorted(blocks, key=str)
+    n, w = [blocks[k] for k in names], list(whole({k: weights[k] for k in names}).values())
+    ends = sorted({Fraction(a, b) for a, b in zip(n, w, strict=True)})
+    near = [float(e) for e in ends]
+    gone, going = [0] * (len(ends) + 1), [0] * (len(ends) + 1)
+    for i in range(len(names)):
+        j = bisect.bisect_left(ends, Fraction(n[i], w[i])) + 1
+        gone[j] += n[i]
+        going[j] -= w[i]
+    going[0] = sum(w)
+    gone, going = list(itertools.accumulate(gone)), list(itertools.accumulate(going))
+
+    def time(k: int, i: int) -> tuple[int, int]:
+        """Floor and ceiling of the slot at which the fluid schedule has served k blocks of source i."""
+        j = bisect.bisect_left(near, k / w[i])
+        # floats may be off by one or so
+        while j < len(ends) and ends[j].numerator * w[i] < k * ends[j].denominator:
+            j += 1
+        while j and ends[j - 1].numerator * w[i] > k * ends[j - 1].denominator:
+            j -= 1
+        slot, rest = divmod(gone[j] * w[i] + going[j] * k, w[i])
+        return slot, slot + (rest > 0)
+
+    waiting: list[tuple] = []  # release, source, block, deadline of the block
+    ready: list[tuple] = [(time(1, i)[1], i, 0) for i in range(len(names))]
+    heapq.heapify(ready)
+    for slot in range(sum(n)):
+        while waiting and waiting[0][0] <= slot:
+            _, i, k, due = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, i, k))
+        _, i, k = heapq.heappop(ready)
+        yield names[i]
+        if k + 1 < n[i]:
+            heapq.heappush(waiting, (time(k + 1, i)[0], i, k + 1, time(k + 2, i)[1]))
+
+
+def slots(blocks: dict, weights: dict) -> dict:
+    """The slots of each source's blocks, in order."""
+    out: dict = {k: array("q") for k, n in blocks.items() if n}
+    slot = 0
+    weighed = [k for k in out if weights.get(k)]
+    for part, aims in ((weighed, weights), ([k for k in out if not weights.get(k)], dict.fromkeys(out, 1))):
+        counts = {k: blocks[k] for k in part}
+        few = periodic(counts, aims) if sum(counts.values()) <= PERIOD else None
+        for k in fluid(counts, aims) if few is None else few:
+            out[k].append(slot)
+            slot += 1
+    return out
+
+
 def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs as a struct column ``row``, with source, block_no, slot and position (order of the mix, gaps after short blocks)."""
     spark = docs.sparkSession
@@ -101,11 +178,13 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, i
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     aims = {k: math.sqrt(n) for k, n in counts.items()} if weights is None else {("n" if k is None else f"s{k}"): w for k, w in weights.items()}
-    plan = phases({k: -(-n // block) for k, n in counts.items()}, {k: aims.get(k, 0) for k in counts})
-    spans = [(k, i, p["first"][k], p["first"][k] + n, p["start"], p["parts"][k], p["period"]) for i, p in enumerate(plan) for k, n in p["took"].items() if n]
-    places = [(k, i, j, o) for i, p in enumerate(plan) for k, offsets in p["at"].items() for j, o in enumerate(offsets)]
-    spans = spark.createDataFrame(spans, "key string, phase int, first long, until long, start long, parts long, period long")
-    places = spark.createDataFrame(places, "key string, phase int, j long, offset long")
+    blocks = {k: -(-n // block) for k, n in counts.items()}
+    plan = slots(blocks, {k: aims.get(k, 0) for k in counts})
+    pieces = [(k, a // SLOTS, s[a : a + SLOTS]) for k, s in plan.items() for a in range(0, len(s), SLOTS)]
+    kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()))
+    places = pa.table([pa.array([p[i] for p in pieces], t) for i, t in enumerate(kinds)], ["key", "piece", "slots"])
+    places = spark.createDataFrame(places)
+    places = F.broadcast(places) if sum(blocks.values()) <= BROADCAST else places.hint("merge")
 
     parts = spark.createDataFrame([(k, -(-n // CHUNK)) for k, n in counts.items()], "key string, subs int")
     dealt = lambda df: df.join(F.broadcast(parts), "key").withColumn("sub", F.pmod(F.col("h"), F.col("subs")).cast("int"))
@@ -119,11 +198,10 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, i
     rows = rows.join(sizes, ["key", "sub"])
     rows = rows.withColumn("rank", F.col("before") + F.col("inside"))
     rows = rows.withColumn("block_no", F.floor(F.col("rank") / block))
-    rows = rows.join(F.broadcast(spans.withColumnRenamed("key", "span_key")), F.expr("key = span_key and block_no >= first and block_no < until"))
-    rows = rows.withColumn("j", F.expr("(block_no - first) % parts")).join(F.broadcast(places), ["key", "phase", "j"])
-    rows = rows.withColumn("slot", F.expr("start + (block_no - first) div parts * period + offset"))
+    rows = rows.withColumn("piece", F.expr(f"block_no div {SLOTS}")).join(places, ["key", "piece"])
+    rows = rows.withColumn("slot", F.expr(f"slots[cast(block_no % {SLOTS} as int)]"))
     position = F.col("slot") * block + F.col("rank") % block
-    return rows.select("row", "source", "block_no", "phase", "slot", position.alias("position"))
+    return rows.select("row", "source", "block_no", "slot", position.alias("position"))
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:

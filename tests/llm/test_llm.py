@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import fractions
 import hashlib
 import math
 import random
@@ -172,6 +173,32 @@ def test_schedule_deviates_by_less_than_a_block():
     assert counts == parts
 
 
+def most_off(order, blocks, weights):
+    """The largest deviation, in blocks, from the exact weights in any prefix until a source has run out."""
+    order = list(order)
+    assert collections.Counter(order) == {k: n for k, n in blocks.items() if n}
+    total, worst, done = sum(map(fractions.Fraction, weights.values())), 0, dict.fromkeys(blocks, 0)
+    share = {k: fractions.Fraction(weights[k]) / total for k in blocks}
+    for slot, k in enumerate(order, 1):
+        done[k] += 1
+        if done[k] == blocks[k]:
+            return worst
+        worst = max(worst, float(max(abs(done[x] - slot * share[x]) for x in ((k,) if slot % 50 else blocks))))
+
+
+@pytest.mark.parametrize("blocks, weights", [
+    ({"hot": 20_000, **{f"s{k}": 1052 for k in range(19)}}, None),  # a long phase
+    ({"a": 30_000, "b": 20_000, "tiny": 30}, {"a": 0.6, "b": 0.3995, "tiny": 0.0005}),
+    ({f"s{k}": 30_000 // k**2 + 2 for k in range(1, 201)}, {f"s{k}": 1 / k**2 for k in range(1, 201)}),
+])
+def test_long_mixes_keep_exact_weights(blocks, weights):
+    weights = weights or {k: math.sqrt(n) for k, n in blocks.items()}
+    placed = mixing.slots(blocks, weights)
+    order = [k for _, k in sorted((s, k) for k, found in placed.items() for s in found)]
+    assert sorted(s for found in placed.values() for s in found) == list(range(sum(blocks.values())))
+    assert most_off(order, blocks, weights) < 1
+
+
 def test_mix_equals_simulation(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK", 100)
     sizes = {"a": 1000, "b": 330, "c": 90, None: 41}
