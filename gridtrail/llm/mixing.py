@@ -14,9 +14,8 @@ the exact weights; the rounding can cost these that much over one block.
 
 Defined results. Every row gets a place, none is dropped or repeated. Null sources are one source;
 ids may be null or repeated. Without target weights, each source weighs the square root of its rows.
-Sources without a weight come after all others; a weight whose source has no rows is ignored. More than
-MOST_SOURCES sources raise an error, as their weights then say little; group them first. An empty
-table gives no rows.
+Sources without a weight come after all others; a weight whose source has no rows is ignored. There may
+be any number of sources; the driver holds a few numbers of each. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,11 +40,9 @@ BLOCK = 64
 PERIOD = 1000
 #: Blocks over one that a prefix of a mix of at most PERIOD blocks may be off by the rounding.
 SLACK = Fraction(1, 16)
-#: Sources at most.
-MOST_SOURCES = 500
 #: Rows of a source that are numbered together, about; larger sources are dealt to as many parts by hash.
 CHUNK = 5000
-#: Blocks of a source whose slots are sent as one row, and blocks whose slots are broadcast, at most; more are joined by a shuffle.
+#: Blocks of a source whose slots are sent as one row, and blocks in all whose slots are broadcast; more are joined by a shuffle.
 SLOTS, BROADCAST = 1024, 1 << 20
 
 
@@ -174,9 +171,8 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, i
     rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"), column(docs, source_col).cast("string").alias("source"), F.xxhash64(column(docs, id_col)).alias("h"), F.xxhash64(*[column(docs, f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]).alias("tie"))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     rows = rows.withColumn("key", key)
-    counts = {r["key"]: r["n"] for r in rows.groupBy("key").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    found = rows.groupBy("key").agg(F.count("*").alias("n")).toArrow()  # a row for each source
+    counts = dict(zip(*(c.to_pylist() for c in found.columns), strict=True))
     aims = {k: math.sqrt(n) for k, n in counts.items()} if weights is None else {("n" if k is None else f"s{k}"): w for k, w in weights.items()}
     blocks = {k: -(-n // block) for k, n in counts.items()}
     plan = slots(blocks, {k: aims.get(k, 0) for k in counts})
@@ -184,10 +180,10 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, i
     kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()))
     places = pa.table([pa.array([p[i] for p in pieces], t) for i, t in enumerate(kinds)], ["key", "piece", "slots"])
     places = spark.createDataFrame(places)
-    places = F.broadcast(places) if sum(blocks.values()) <= BROADCAST else places.hint("merge")
+    sent = F.broadcast if sum(blocks.values()) <= BROADCAST else lambda df: df.hint("merge")
 
-    parts = spark.createDataFrame([(k, -(-n // CHUNK)) for k, n in counts.items()], "key string, subs int")
-    dealt = lambda df: df.join(F.broadcast(parts), "key").withColumn("sub", F.pmod(F.col("h"), F.col("subs")).cast("int"))
+    parts = spark.createDataFrame(pa.table([pa.array(list(counts), pa.string()), pa.array([-(-n // CHUNK) for n in counts.values()], pa.int32())], ["key", "subs"]))
+    dealt = lambda df: df.join(sent(parts), "key").withColumn("sub", F.pmod(F.col("h"), F.col("subs")).cast("int"))
     rows = dealt(rows)
     rows = rows.withColumn("inside", F.row_number().over(Window.partitionBy("key", "sub").orderBy("h", "tie")) - 1)
     # a row for each CHUNK rows or source, so joined by a shuffle on the parts
@@ -198,7 +194,7 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, i
     rows = rows.join(sizes, ["key", "sub"])
     rows = rows.withColumn("rank", F.col("before") + F.col("inside"))
     rows = rows.withColumn("block_no", F.floor(F.col("rank") / block))
-    rows = rows.withColumn("piece", F.expr(f"block_no div {SLOTS}")).join(places, ["key", "piece"])
+    rows = rows.withColumn("piece", F.expr(f"block_no div {SLOTS}")).join(sent(places), ["key", "piece"])
     rows = rows.withColumn("slot", F.expr(f"slots[cast(block_no % {SLOTS} as int)]"))
     position = F.col("slot") * block + F.col("rank") % block
     return rows.select("row", "source", "block_no", "slot", position.alias("position"))

@@ -227,6 +227,17 @@ def test_mix_equals_simulation(spark, monkeypatch):
     assert order == plan
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('site', if(id < 3000, 0, id % 2500)) as source")
+    for most in (mixing.BROADCAST, 10):
+        monkeypatch.setattr(mixing, "BROADCAST", most)
+        got = mixing.schedule(docs, block=8).select("row.doc_id", "slot", "position").collect()
+        assert sorted(r.doc_id for r in got) == list(range(9000))
+        assert len({r.position for r in got}) == 9000
+        assert sorted({r.slot for r in got}) == list(range(376 + 2499))
+    assert mixing.mixed(docs).count() == 9000
+
+
 def test_mix_keeps_rows_in_order(odd, clashing, empty):
     for docs in (odd, clashing):
         out = mixing.mixed(docs, block=2)
