@@ -31,8 +31,10 @@ from .shingles import batches
 
 #: Labelled rows that the lexicon and weights are learnt from, at most.
 SAMPLE_ROWS = 20_000
-#: Lexicon: candidates looked at, words kept, and least evidence (G squared) and odds of a word.
-CANDIDATES, LEXICON, LEAST_EVIDENCE, LEAST_ODDS = 4000, 300, 18.0, 6.0
+#: Lexicon: least contexts in toxic texts, evidence (G squared) and odds of an entry; all that have these are kept.
+LEAST_CONTEXTS, LEAST_EVIDENCE, LEAST_ODDS = 3, 18.0, 6.0
+#: Slots of the filter that spares counting entries of clean texts that toxic ones lack; a power of two.
+FILTER = 1 << 20
 CHUNK = 1 << 20
 #: Contexts that are held before they are passed on.
 CONTEXTS = 50_000
@@ -238,14 +240,33 @@ class Scorer:
             yield 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 30) -> np.ndarray:
-    """Weights of a logistic model by Newton steps; the last column of x is the unpenalised bias."""
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], penalty)
+def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, penalty: float, rounds: int = 30) -> np.ndarray:
+    """Weights of a logistic model on the sparse features (rows, cols, values), and last its unpenalised bias: Newton steps by conjugate gradients."""
+    w = np.zeros(width + 1)
+    ridge = np.full(width + 1, penalty)
     ridge[-1] = 1e-6
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, values * v[cols], len(y)) + v[-1]
+
+    def back(r: np.ndarray, x: np.ndarray = values) -> np.ndarray:
+        return np.append(np.bincount(cols, x * r[rows], width), r.sum())
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        d = p * (1 - p) + 1e-9
+        scale = back(d, values * values) + ridge
+        step, r = np.zeros(width + 1), back(y - p) - ridge * w
+        z = r / scale
+        along, size, least = z, r @ z, 1e-18 * (r @ z)
+        for _ in range(4 * width + 40):
+            if size <= least:
+                break
+            turned = back(d * times(along)) + ridge * along
+            far = size / (along @ turned)
+            step, r = step + far * along, r - far * turned
+            z = r / scale
+            along, size = z + (r @ z) / size * along, r @ z
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -263,9 +284,19 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, scratch: Scratch,
     if share in (0.0, 1.0):
         return flat
 
-    def contexts(wanted: frozenset | None):
+    def contexts(wanted: bytes | None):
+        """Entries with their contexts; of those in slots of wanted only, where that is given."""
+
         def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: set[tuple[str, int, int]] = set()
+            known: dict[str, int] = {}
+
+            def counted(entry: str) -> int:
+                if entry not in known:
+                    if len(known) > CONTEXTS:
+                        known.clear()
+                    known[entry] = wanted[zlib.crc32(entry.encode("utf-8", "replace")) % FILTER]
+                return known[entry]
 
             def table() -> pa.RecordBatch:
                 columns = list(zip(*found, strict=True)) or [[], [], []]
@@ -278,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, scratch: Scratch,
                     seen = ["", *_WORD.findall(text.lower()), ""]
                     for before, w, after in zip(seen, seen[1:], seen[2:], strict=False):
                         for entry in (w, *(f"{w[:n]}*" for n in BEGINNINGS if n < len(w))):
-                            if wanted is None or entry in wanted:
+                            if wanted is None or counted(entry):
                                 found.add((entry, hash64(before, after), y))
                         if len(found) > CONTEXTS:
                             yield table()
@@ -287,22 +318,22 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, scratch: Scratch,
         return run
 
     schema = "w string, c long, y int"
-    once = sample.where("y = 1").mapInArrow(contexts(None), schema).groupBy("w").agg(F.count_distinct("c").alias("n"))
-    first = frozenset(r["w"] for r in once.where("n >= 3").orderBy(F.desc("n"), "w").limit(CANDIDATES).collect())
-    both = sample.mapInArrow(contexts(first), schema).groupBy("w", "y").agg(F.count_distinct("c").alias("n"))
-    table = {w: [0, 0] for w in first}
-    for r in both.collect():  # at most 2 * CANDIDATES rows
-        table[r["w"]][1 if r["y"] else 0] = r["n"]
-    total = [sum(v[0] for v in table.values()) + 1, sum(v[1] for v in table.values()) + 1]
+    counted = lambda rows, run, name: rows.mapInArrow(run, schema).groupBy("w").agg(F.count_distinct("c").alias(name))
+    toxic = scratch.keep(counted(sample.where("y = 1"), contexts(None), "toxic").where(f"toxic >= {LEAST_CONTEXTS}"), "toxic")
+    # at most FILTER rows; what else falls into their slots goes in the join
+    used = toxic.select((F.crc32(F.col("w").cast("binary")) % FILTER).alias("slot")).distinct().toArrow().column("slot").to_numpy()
+    wanted = np.zeros(FILTER, dtype=np.uint8)
+    wanted[used] = 1
+    clean = counted(sample.where("y <> 1"), contexts(wanted.tobytes()), "clean")
+    both = scratch.keep(toxic.join(clean, "w", "left").select("w", F.coalesce("clean", F.lit(0)).cast("double").alias("clean"), F.col("toxic").cast("double").alias("toxic")), "both")
+    total = both.agg(F.coalesce(F.sum("clean"), F.lit(0.0)).alias("clean"), F.coalesce(F.sum("toxic"), F.lit(0.0)).alias("toxic")).first()
     base = min(max(share, 1e-3), 1 - 1e-3)
-    kept = []
-    for w, (clean, toxic) in table.items():
-        n, expected = clean + toxic, (clean + toxic) * base
-        evidence = 2 * (toxic * math.log(max(toxic, 1e-9) / expected) + (clean * math.log(clean / (n - expected)) if clean else 0.0))
-        odds = ((toxic + 0.5) / total[1]) / ((clean + 0.5) / total[0])
-        if toxic > expected and evidence >= LEAST_EVIDENCE and odds >= LEAST_ODDS:
-            kept.append((-evidence, w))
-    lexicon = [w for _, w in sorted(kept)[:LEXICON]]
+    both = both.withColumn("expected", (F.col("clean") + F.col("toxic")) * base)
+    rest = F.when(F.col("clean") > 0, F.expr("clean * ln(clean / (clean + toxic - expected))")).otherwise(0.0)
+    both = both.withColumn("evidence", 2 * (F.expr("toxic * ln(toxic / expected)") + rest))
+    odds = ((F.col("toxic") + 0.5) / (total["toxic"] + 1)) / ((F.col("clean") + 0.5) / (total["clean"] + 1))
+    kept = both.where((F.col("toxic") > F.col("expected")) & (F.col("evidence") >= LEAST_EVIDENCE) & (odds >= LEAST_ODDS))
+    lexicon = [w for _, w in sorted((-r["evidence"], r["w"]) for r in kept.select("evidence", "w").collect())]
     if not lexicon:
         return flat
     draft = Scorer(lexicon, np.zeros(len(lexicon)), 0.0, model)
@@ -313,11 +344,9 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, scratch: Scratch,
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["y", "k", "n"])
 
     got = sample.mapInArrow(features, "y int, k array<int>, n array<int>").toArrow().to_pydict()  # SAMPLE_ROWS rows
-    x = np.zeros((len(got["y"]), len(lexicon) + 1))
-    x[:, -1] = 1
-    for i, (k, n) in enumerate(zip(got["k"], got["n"], strict=True)):
-        x[i, k] = np.log1p(n)
-    w = logistic(x, np.array(got["y"], dtype=float), penalty=0.3)
+    rows = np.repeat(np.arange(len(got["y"])), [len(k) for k in got["k"]])
+    cols, counts = (np.array([v for row in got[c] for v in row], dtype=np.int64) for c in ("k", "n"))
+    w = logistic(rows, cols, np.log1p(counts), np.array(got["y"], dtype=float), len(lexicon), penalty=0.3)
     return Scorer(lexicon, np.maximum(w[:-1], 0), float(w[-1]), model)
 
 

@@ -467,6 +467,20 @@ def test_toxicity_learns_and_scores_odd_rows(spark, odd, clashing, empty):
     assert max(none.score(["idiot", None])) < 1e-6
 
 
+def test_lexicon_holds_rare_entries(spark):
+    rng = random.Random(12)
+    made = lambda n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(n)]
+    common, rare = made(1500), made(120)
+    rows = [[rng.choice(common) for _ in range(600)] for _ in range(300)]
+    for k, w in enumerate([w for w in rare for _ in range(8)]):  # in 8 toxic texts each, and every common word in more
+        rows[k % 60][(37 * k + k // 60) % 600] = w
+    docs = spark.createDataFrame([(k, " ".join(words)) for k, words in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 60)) for k in range(300)], "doc_id long, toxic int")
+    scorer = toxicity.fit(docs, labels, toxicity.character_model(docs), Scratch(spark, "tox"))
+    assert sum(w in scorer.words for w in rare) > 110 and not set(common) & set(scorer.words)
+    assert len(scorer.words) > 400
+
+
 # -- surrogates
 
 
