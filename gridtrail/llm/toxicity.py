@@ -1,9 +1,10 @@
 """Toxicity of texts whose words may be disguised: noisy-channel restoring, then a learnt lexicon.
 
 Method. Spans that look disguised (digits or signs inside words, letters three times in a row, single
-letters set apart) are found by numpy over the bytes of a batch. Each is a lattice of letters that may
+letters set apart by any short run of other characters) are found by numpy over the bytes of a batch. Each is a lattice of letters that may
 stand behind its characters; Viterbi decoding under a character trigram model picks the likeliest
-letters, and the restored text is scored. The character model counts the trigrams of all texts. The
+letters, and the restored text is scored. A word with doubled letters also counts as the lexicon entry
+that it holds without the doubling, where the model finds that likelier. The character model counts the trigrams of all texts. The
 lexicon (whole words, and beginnings of words, written with ``*``) and the weights of a logistic model
 are learnt from a bounded sample of labelled rows; entries are judged by the different contexts they
 have in toxic and other texts, so that a passage copied many times counts about once.
@@ -15,6 +16,7 @@ labelled row or only one class, all scores are the share of toxic labels (0 if t
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -44,6 +46,9 @@ BEGINNINGS = (4, 5, 6)
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c"}
 #: Signs that may set single letters apart.
 APART = " .-_*"
+#: Bytes between single letters that are read as one word, at most; texts of a batch are set further apart.
+MOST_GAP = 8
+SEPARATOR = b"\n" * (MOST_GAP + 2)
 #: Log costs of the channel: a sign for a letter, one letter for a doubled one.
 SIGN_COST, HALF_COST = -1.0, -2.0
 
@@ -61,6 +66,11 @@ _INNER = np.zeros(256, dtype=bool)
 _INNER[[ord(c) for c in "!|$("]] = True
 _APART = np.zeros(256, dtype=bool)
 _APART[[ord(c) for c in APART]] = True
+_WORDLIKE = _LETTER.copy()
+_WORDLIKE[48:58] = True
+_WORDLIKE[128:] = True
+_CORE = _LETTER.copy()
+_CORE[48:58] = _SIGN[48:58]
 _EDGE = _APART.copy()
 _EDGE[[9, 10, 13]] = True
 
@@ -125,6 +135,16 @@ def spans(data: np.ndarray) -> list[tuple[int, int]]:
         cuts = np.flatnonzero(~joined)
         firsts, lasts = np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(at) - 1]))
         out += [(int(at[a]), int(at[b]) + 1) for a, b in zip(firsts, lasts, strict=True) if b - a >= 2]
+    # single letters, or digits for them, with any few bytes between that belong to no word
+    wordlike = np.concatenate(([False], _WORDLIKE[data], [False]))
+    at = np.flatnonzero(_CORE[data] & ~wordlike[:-2] & ~wordlike[2:])
+    if len(at) > 2:
+        inside = np.cumsum(wordlike[1:-1])
+        joined = (np.diff(at) <= MOST_GAP + 1) & (inside[at[1:] - 1] == inside[at[:-1]])
+        cuts = np.flatnonzero(~joined)
+        firsts, lasts = np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(at) - 1]))
+        letters = np.concatenate(([0], np.cumsum(letter[at])))
+        out += [(int(at[a]), int(at[b]) + 1) for a, b in zip(firsts, lasts, strict=True) if b - a >= 2 and letters[b + 1] - letters[a] >= 2]
     merged: list[tuple[int, int]] = []
     for a, b in sorted(set(out)):
         if merged and a < merged[-1][1]:
@@ -169,6 +189,31 @@ def decode(span: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+_CORES = re.compile("[a-z0-9]")
+
+
+def words_apart(span: str) -> list[str]:
+    """The words that a span of single letters set apart may spell, without what is between; none if it is no such span.
+
+    Signs that are in every gap only separate; others may stand for letters. Gaps with white space that are
+    longer than the shortest may part words, so the span is read both parted and whole.
+    """
+    low = span.lower()
+    gaps = _CORES.split(low)[1:-1]
+    if len(gaps) < 2 or not all(gaps) or any(c >= "\x80" for c in low):
+        return []
+    between = set.intersection(*map(set, gaps))
+    solid = [k for k, c in enumerate(low) if _CORES.match(c) or (c in STANDS_FOR and c not in between)]
+    wide = [low[a + 1 : b] for a, b in zip(solid, solid[1:], strict=False)]
+    least = min((len(g) for g in wide if g), default=0)
+    words = [low[solid[0]]]
+    for g, k in zip(wide, solid[1:], strict=True):
+        if len(g) > least and any(c.isspace() for c in g):
+            words.append("")
+        words[-1] += low[k]
+    return words if len(words) == 1 else [*words, "".join(words)]
+
+
 def restore(text: str | None, model: np.ndarray) -> str:
     """The text with its disguised spans decoded; others stay as they are."""
     if not text:
@@ -179,7 +224,8 @@ def restore(text: str | None, model: np.ndarray) -> str:
         return text
     out, at = [], 0
     for a, b in found:
-        out += [raw[at:a], decode(raw[a:b].decode("latin-1"), model).encode()]
+        span = raw[a:b].decode("latin-1")
+        out += [raw[at:a], " ".join(decode(w, model) for w in words_apart(span) or [span]).encode()]
         at = b
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
@@ -188,8 +234,8 @@ def _restored(texts: list, model: np.ndarray) -> Iterator[str]:
     """restore() of each text; the spans of many short texts are looked for at once."""
     for a, b in batches(texts, CHUNK):
         raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts[a:b]]
-        stops = np.cumsum([len(r) + 3 for r in raw])
-        found = spans(np.frombuffer(b"\n \n".join(raw) + b"\n \n", dtype=np.uint8))
+        stops = np.cumsum([len(r) + len(SEPARATOR) for r in raw])
+        found = spans(np.frombuffer(SEPARATOR.join(raw) + SEPARATOR, dtype=np.uint8))
         odd = set(np.searchsorted(stops, [x for x, _ in found], side="right").tolist())
         for k, t in enumerate(texts[a:b]):
             yield restore(t, model) if k in odd else t or ""
@@ -203,37 +249,86 @@ def hash64(*words: str) -> int:
     return zlib.crc32(words[0].encode()) << 31 ^ zlib.crc32(words[1].encode())
 
 
+def folded(text: str) -> str:
+    """The text with one of each run of the same letter."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    keep = np.ones(len(raw), dtype=bool)
+    keep[1:] = (raw[1:] != raw[:-1]) | ~_LETTER[raw[1:]]
+    return text if keep.all() else raw[keep].tobytes().decode("utf-8", "surrogatepass")
+
+
+def likelihood(word: str, model: np.ndarray) -> float:
+    """Log probability of a word's letters and its end under the character model."""
+    total, x, y = 0.0, 0, 0
+    for k in [*_CLASS[np.frombuffer(word.encode("utf-8", "surrogatepass"), dtype=np.uint8)].tolist(), 0]:
+        total, x, y = total + model[x, y, k], y, k
+    return total
+
+
+def _found(automaton, low: str) -> dict[int, int]:
+    """How often each entry of an automaton is in a text."""
+    out: dict[int, int] = {}
+    for end, (n, ks) in automaton.iter(low):
+        if not (end >= n and low[end - n].isalpha()):
+            whole = not (end + 1 < len(low) and low[end + 1].isalpha())
+            for k, beginning in ks:
+                if beginning != whole:
+                    out[k] = out.get(k, 0) + 1
+    return out
+
+
+def _automaton(entries: list[tuple[str, bool]]):
+    out, held = ahocorasick.Automaton(), {}
+    for k, (w, beginning) in enumerate(entries):
+        held.setdefault(w, []).append((k, beginning))
+    for w, ks in held.items():
+        out.add_word(w, (len(w), ks))
+    out.make_automaton()
+    return out
+
+
 class Scorer:
     """A lexicon with weights: score = logistic(bias + sum of weight * log(1 + count))."""
 
     def __init__(self, words: list[str], weights: np.ndarray, bias: float, model: np.ndarray):
         self.words, self.weights, self.bias, self.model = words, weights, bias, model
-        self.automaton = None
+        self.automaton, self.stretched = None, []
 
     def __getstate__(self):
-        return self.__dict__ | {"automaton": None}
+        return self.__dict__ | {"automaton": None, "stretched": []}
 
     def counts(self, text: str) -> dict[int, int]:
         """How often each lexicon word occurs as a whole word in a restored text."""
         if not self.words:
             return {}
         if self.automaton is None:
-            self.automaton = ahocorasick.Automaton()
-            entries: dict[str, list] = {}
-            for k, w in enumerate(self.words):
-                entries.setdefault(w.rstrip("*"), []).append((k, w.endswith("*")))
-            for w, ks in entries.items():
-                self.automaton.add_word(w, (len(w), ks))
-            self.automaton.make_automaton()
-        low, out = text.lower(), {}
-        for end, (n, ks) in self.automaton.iter(low):
-            if not (end >= n and low[end - n].isalpha()):
-                whole = not (end + 1 < len(low) and low[end + 1].isalpha())
-                for k, beginning in ks:
-                    if beginning != whole:
+            entries = [(w.rstrip("*"), w.endswith("*")) for w in self.words]
+            self.automaton = _automaton(entries), _automaton([(folded(w), b) for w, b in entries])
+            self.stretched = [re.compile("".join(f"{c}{{{len(list(g))},}}" for c, g in itertools.groupby(w))) for w, _ in entries]
+        low = text.lower()
+        out = _found(self.automaton[0], low)
+        short = folded(low)
+        if short is low:
+            return out
+        if any(n > out.get(k, 0) for k, n in _found(self.automaton[1], short).items()):
+            for word in _WORD.findall(low):
+                if folded(word) is not word:
+                    for k in self.doubled(word):
                         out[k] = out.get(k, 0) + 1
         return out
 
+    def doubled(self, word: str) -> list[int]:
+        """Entries that a word holds but for doubled letters, where the model finds it likelier without them."""
+        out = []
+        for k in _found(self.automaton[1], folded(word)):
+            entry = self.words[k].rstrip("*")
+            hit = self.stretched[k].match(word)
+            if hit and len(hit[0]) > len(entry) and (hit.end() < len(word)) == self.words[k].endswith("*"):
+                meant = entry + word[hit.end() :]
+                if likelihood(meant, self.model) + HALF_COST * (len(word) - len(meant)) > likelihood(word, self.model):
+                    out.append(k)
+        return out
+
     def score(self, texts: list) -> Iterator[float]:
         for text in _restored(texts, self.model):
             z = self.bias + sum(self.weights[k] * math.log1p(n) for k, n in self.counts(text).items())

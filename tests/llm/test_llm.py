@@ -437,6 +437,27 @@ def test_channel_restores_disguises(spark):
     assert list(toxicity._restored(many, model)) == [toxicity.restore(t, model) for t in many]
 
 
+def test_channel_restores_letters_far_apart(spark):
+    _, model = channel(spark)
+    for shown in ("l - o - s - e - r", "l  o  s  e  r", "l/o/s/e/r", "l | o | s | e | r", "l -- 0 -- s -- e -- r", "l, o, s, e, r", "l\no\ns\ne\nr"):
+        assert "loser" in toxicity.restore(f"oak {shown} pine", model).split(), shown
+    assert toxicity.restore("oak i d i o t  l o s e r pine", model).split()[1:3] == ["idiot", "loser"]
+    for plain in ("Ab, 1, 0, 3, 5, 7 and 1/0/3", "plan a - or b", "été à la"):
+        assert toxicity.restore(plain, model) == plain
+    many = ["ends in l", "o", "s e", "l - o - s - e - r"]
+    assert list(toxicity._restored(many, model)) == [toxicity.restore(t, model) for t in many]
+
+
+def test_doubled_letters_count_as_the_word_meant(spark):
+    _, model = channel(spark)
+    scorer = toxicity.Scorer(["idiot", "stupid", "idio*", "nettle"], np.ones(4), -3.0, model)
+    for shown, k in {"stuupid": 1, "idiiot": 0, "STUPPIID": 1, "iddiotic": 2, "netttle": 3, "nnettle": 3}.items():
+        text = next(toxicity._restored([f"oak {shown} pine"], model))
+        assert scorer.counts(text).get(k) == 1, shown
+    assert scorer.counts("see nettle netle maple oak") == {3: 1}
+    assert next(scorer.score(["you stuupid oak"])) > next(scorer.score(["you maple oak"]))
+
+
 def test_trigrams_equal_counting(spark):
     text = "Ab cé1"
     classes = [0, 0, 1, 2, 0, 3, 27, 27, 0, 0]
