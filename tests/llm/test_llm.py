@@ -260,18 +260,24 @@ def test_neighbours_odd_vectors(spark):
     got = collections.defaultdict(list)
     for r in ann.search(data, data.where("vec_id % 20 = 0"), k=10).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
+    # every row with a usable vector is a candidate: the shorter one filled up with zeros, the repeated id twice
+    ids = np.array([*range(400), 905, 3])
+    every = np.concatenate([x.astype(float), [[1.0, 2.0] + [0.0] * 6], x[3:4].astype(float)])
     assert sorted(got) == list(range(0, 400, 20))
     hits = 0
     for q, found in got.items():
         found.sort()
         assert [r for r, _, _ in found] == list(range(1, 11)) and q not in {v for _, v, _ in found}
-        exact = (x.astype(float) * x[q].astype(float)).sum(axis=1)
+        exact = (every * every[q]).sum(axis=1)
         exact[q] = -np.inf
-        want = np.lexsort((np.arange(400), -exact))[:10]
-        hits += len(set(want.tolist()) & {v for _, v, _ in found})
-        assert all(s == exact[v] for _, v, s in found)
+        want = np.lexsort((ids, -exact))[:10]
+        hits += len(set(ids[want].tolist()) & {v for _, v, _ in found})
+        assert all(s in exact[ids == v] for _, v, s in found)
         assert [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
     assert hits >= 0.9 * 10 * len(got)
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [0.1, 0.9]), (0, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    twice = sorted(tuple(r) for r in ann.search(twice, twice.where("vec_id = 0"), k=20).collect())
+    assert twice == sorted([(0, 1, 1, 0.9), (0, 2, 0, 0.5), (0, 3, 1, 0.1), (0, 1, 0, 0.5), (0, 2, 1, 0.5), (0, 3, 1, 0.5)])
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in ann.search(few, few.where("vec_id = 0"), k=20).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert ann.search(few.where("false"), few).count() == 0 and ann.search(few.where("vec_id = 0"), few).count() == 0
@@ -291,6 +297,45 @@ def test_neighbours_recall(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_neighbours_of_many_groups(spark, monkeypatch):
+    """Groups, their parts and copies for many queries give what one group gives, and all meet the wanted recall."""
+    monkeypatch.setattr(ann, "GROUP_ROWS", 256)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 100)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 16))
+    x[:2000] = np.repeat(x[:40], 50, axis=0) + 0.02 * rng.normal(size=(2000, 16))
+    x[2000:3000] = x[2000]  # a very common vector, a quarter of all
+    data = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(set)
+    for r in ann.search(data, data.where("vec_id % 20 = 0"), k=20).collect():
+        found[r.query_id].add((r.vec_id, r.score))
+    recall = []
+    for q in range(0, 4000, 20):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        least = np.sort(s)[-20]
+        assert len(found[q]) == 20
+        recall.append(sum(v >= least for _, v in found[q]) / 20)
+    assert np.mean(recall) >= 0.9
+
+
+def test_neighbours_visit_a_falling_share():
+    """The share of vectors that queries score falls as clustered vectors grow, and no query is left short."""
+    rng = np.random.default_rng(6)
+    share = []
+    for n in (2000, 32_000):
+        x = np.repeat(rng.normal(size=(n // 100, 64)), 100, axis=0) + 0.3 * rng.normal(size=(n, 64))
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        groups = ann.Groups(n, 1.0, x[: n // 2 : 2], np.arange(0, n // 2, 2), 20)
+        index = ann.Index(groups.lift, x, np.arange(n), np.arange(n))
+        asked = np.arange(7, n, n // 50)
+        i, _, _ = index.search(x[asked], asked, groups.guess(x[asked], asked), 20)
+        assert (np.bincount(i, minlength=len(asked)) == 20).all()
+        share.append(index.visited / len(asked) / n)
+        assert not index.short
+    assert share[1] < share[0] / 2 and share[1] < 0.1
+
+
 def test_neighbours_recall_among_near_copies(spark):
     rng = np.random.default_rng(3)
     n, grouped = 8000, 5600  # 70 % of the vectors in groups of 40 near copies
