@@ -8,14 +8,11 @@ the rest share by their weights; windows are then those of the fluid schedule th
 at once, and the bound holds against it from the first slot to the last. The driver orders the blocks,
 not the rows, in exact integers of the given weights.
 
-Mixes of at most PERIOD blocks take a schedule that repeats, of weights rounded to parts of PERIOD and
-begun anew when a source runs out, where each of its prefixes proves to be less than 1 + SLACK blocks off
-the exact weights; the rounding can cost these that much over one block.
-
 Defined results. Every row gets a place, none is dropped or repeated. Null sources are one source;
 ids may be null or repeated. Without target weights, each source weighs the square root of its rows.
 Sources without a weight come after all others; a weight whose source has no rows is ignored. There may
-be any number of sources; the driver holds a few numbers of each. An empty table gives no rows.
+be any number of sources; the driver holds a few numbers of each, and eight bytes a block. Texts aren't
+read and of any length. Weights below zero count as none. Columns may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,49 +33,12 @@ from .common import column
 
 #: Rows of a block.
 BLOCK = 64
-#: Slots of a period, at least; weights are rounded to a part of this. Mixes of more blocks take exact weights.
-PERIOD = 1000
-#: Blocks over one that a prefix of a mix of at most PERIOD blocks may be off by the rounding.
-SLACK = Fraction(1, 16)
 #: Rows of a source that are numbered together, about; larger sources are dealt to as many parts by hash.
 CHUNK = 5000
 #: Blocks of a source whose slots are sent as one row, and blocks in all whose slots are broadcast; more are joined by a shuffle.
 SLOTS, BROADCAST = 1024, 1 << 20
 
 
-def rounded(weights: dict, period: int) -> dict:
-    """Integers of at least 1 that sum to period, by largest remainder."""
-    total = sum(weights.values())
-    exact = {k: w * period / total for k, w in weights.items()}
-    out = {k: max(1, math.floor(x)) for k, x in exact.items()}
-    order = sorted(exact, key=lambda k: (out[k] - exact[k], str(k)))
-    short = period - sum(out.values())
-    for i in range(abs(short)):
-        if short > 0:
-            out[order[i % len(order)]] += 1
-        else:
-            out[max(out, key=lambda k: (out[k], str(k)))] -= 1
-    return out
-
-
-def period_schedule(parts: dict) -> list:
-    """The sources of one period's slots: earliest deadline first among the released blocks."""
-    period = sum(parts.values())
-    waiting = [(0, k) for k in sorted(parts, key=str)]
-    waiting = [(0, str(k), k, 0) for _, k in waiting]
-    heapq.heapify(waiting)
-    ready, out = [], []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, name, k, n = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(n + 1) * period // parts[k]), name, k, n))
-        _, name, k, n = heapq.heappop(ready)
-        out.append(k)
-        if n + 1 < parts[k]:
-            heapq.heappush(waiting, ((n + 1) * period // parts[k], name, k, n + 1))
-    return out
-
-
 def whole(weights: dict) -> dict:
     """The weights in exact proportion, as integers."""
     exact = {k: Fraction(w) for k, w in weights.items()}
@@ -86,35 +46,14 @@ def whole(weights: dict) -> dict:
     return {k: int(w * unit) for k, w in exact.items()}
 
 
-def periodic(blocks: dict, weights: dict) -> list | None:
-    """The sources of all slots by periods of rounded weights; None if a prefix is 1 + SLACK blocks or more off the exact weights."""
-    left, out = dict(blocks), []
-    while left:
-        ahead = {k: weights[k] for k in left}
-        pattern = period_schedule(rounded(ahead, max(PERIOD, 2 * len(ahead))))
-        exact = whole(ahead)
-        total = sum(exact.values())
-        lag = dict.fromkeys(ahead, 0)  # slots times weight, less total times the blocks placed
-        for k in itertools.cycle(pattern):
-            out.append(k)
-            left[k] -= 1
-            for x, w in exact.items():
-                lag[x] += w
-            lag[k] -= total
-            if max(map(abs, lag.values())) >= (1 + SLACK) * total:
-                return None
-            if not left[k]:
-                break
-        left = {k: n for k, n in left.items() if n}
-    return out
-
-
 def fluid(blocks: dict, weights: dict) -> Iterator:
     """The sources of all slots: earliest deadline first within the windows of the exact fluid schedule.
 
     At virtual time v the fluid schedule has served min(n, w * v) blocks of a source of n blocks and weight
     w; their sum is the time in slots. It is linear between the virtual times at which sources end.
     """
+    if not blocks:
+        return
     names = sorted(blocks, key=str)
     n, w = [blocks[k] for k in names], list(whole({k: weights[k] for k in names}).values())
     ends = sorted({Fraction(a, b) for a, b in zip(n, w, strict=True)})
@@ -155,11 +94,9 @@ def slots(blocks: dict, weights: dict) -> dict:
     """The slots of each source's blocks, in order."""
     out: dict = {k: array("q") for k, n in blocks.items() if n}
     slot = 0
-    weighed = [k for k in out if weights.get(k)]
-    for part, aims in ((weighed, weights), ([k for k in out if not weights.get(k)], dict.fromkeys(out, 1))):
-        counts = {k: blocks[k] for k in part}
-        few = periodic(counts, aims) if sum(counts.values()) <= PERIOD else None
-        for k in fluid(counts, aims) if few is None else few:
+    weighed = {k: None for k in out if (weights.get(k) or 0) > 0}
+    for part, aims in ((weighed, weights), ([k for k in out if k not in weighed], dict.fromkeys(out, 1))):
+        for k in fluid({k: blocks[k] for k in part}, aims):
             out[k].append(slot)
             slot += 1
     return out

@@ -163,14 +163,51 @@ def test_near_duplicates_odd_rows(odd, clashing, empty):
 # -- mixing
 
 
-def test_schedule_deviates_by_less_than_a_block():
-    parts = mixing.rounded({"a": 0.5, "b": 0.3, "c": 0.17, "d": 0.03}, 1000)
-    assert sum(parts.values()) == 1000
-    counts = dict.fromkeys(parts, 0)
-    for slot, k in enumerate(mixing.period_schedule(parts), 1):
-        counts[k] += 1
-        assert all(abs(counts[x] - slot * parts[x] / 1000) < 1 for x in parts)
-    assert counts == parts
+def plain_schedule(blocks: dict, weights: dict) -> list:
+    """Slot by slot, without the module: windows of the fluid schedule in fractions, earliest due first."""
+    live = {k: n for k, n in blocks.items() if n}
+    weights = {k: fractions.Fraction(w) for k, w in weights.items()}
+    times = {k: [fractions.Fraction(0)] for k in live}  # when the fluid schedule has served 0, 1, ... blocks
+    served, now = dict.fromkeys(live, fractions.Fraction(0)), fractions.Fraction(0)
+    while live:
+        total = sum(weights[k] for k in live)
+        # the next time at which a source has had a whole block or ends
+        step = min((math.floor(served[k]) + 1 - served[k]) * total / weights[k] for k in live)
+        now += step
+        for k in live:
+            served[k] += step * weights[k] / total
+            if served[k].denominator == 1:
+                times[k].append(now)
+        live = {k: n for k, n in live.items() if served[k] < n}
+    order, done = [], dict.fromkeys(times, 0)
+    for slot in range(sum(len(t) - 1 for t in times.values())):
+        ready = [k for k, t in times.items() if done[k] < len(t) - 1 and math.floor(t[done[k]]) <= slot]
+        order.append(min(ready, key=lambda k: (math.ceil(times[k][done[k] + 1]), str(k))))
+        done[order[-1]] += 1
+    return order
+
+
+@pytest.mark.parametrize("blocks, weights", [
+    ({"a": 90, "b": 50, "c": 9, "d": 3}, {"a": 0.5, "b": 0.3, "c": 0.17, "d": 0.03}),
+    ({"a": 40, "b": 40, "c": 40, "d": 2}, {"a": 0.33333, "b": 0.33333, "c": 0.3329, "d": 0.00044}),
+    ({f"s{k}": k % 7 + 1 for k in range(40)}, {f"s{k}": 1 + k % 3 for k in range(40)}),
+])
+def test_schedule_equals_brute_force(blocks, weights):
+    placed = mixing.slots(blocks, weights)
+    assert [k for _, k in sorted((s, k) for k, found in placed.items() for s in found)] == plain_schedule(blocks, weights)
+
+
+def test_a_million_slots_keep_small_weights():
+    weights = {"a": 0.33333, "b": 0.33333, "c": 0.3329, "d": 0.00044}
+    blocks = {k: int(w * 1_000_100) + 1 for k, w in weights.items()}
+    placed = mixing.slots(blocks, weights)
+    total, stop = sum(weights.values()), min(p[-1] for p in placed.values())
+    for k, at in placed.items():
+        at = np.array(at)
+        at = at[at < stop]
+        share, n = weights[k] / total, np.arange(len(at))
+        # just before and just after each block of the source; in between the deviation is less
+        assert np.abs(n - at * share).max() < 1 + 1e-6 and np.abs(n + 1 - (at + 1) * share).max() < 1 + 1e-6
 
 
 def most_off(order, blocks, weights):
@@ -212,19 +249,7 @@ def test_mix_equals_simulation(spark, monkeypatch):
         by_slot[r.slot].add((r.source, r.block_no))
     assert all(len(v) == 1 for v in by_slot.values()) and sorted(by_slot) == list(range(len(by_slot)))
     order = [next(iter(by_slot[s]))[0] for s in sorted(by_slot)]
-    # one slot at a time: released blocks, earliest deadline first, with the weights of those left
-    left, plan = {k: -(-n // 8) for k, n in sizes.items()}, []
-    name = lambda k: "n" if k is None else f"s{k}"
-    while any(left.values()):
-        live = {name(k): weights[k] for k, n in left.items() if n}
-        pattern = mixing.period_schedule(mixing.rounded(live, mixing.PERIOD))
-        back = {name(k): k for k in left}
-        i = 0
-        while all(left[back[k]] for k in live):
-            plan.append(back[pattern[i % len(pattern)]])
-            left[plan[-1]] -= 1
-            i += 1
-    assert order == plan
+    assert order == [None if k == "n" else k[1:] for k in plain_schedule({"n" if k is None else f"s{k}": -(-n // 8) for k, n in sizes.items()}, {"n" if k is None else f"s{k}": w for k, w in weights.items()})]
 
 
 def test_mix_of_many_sources(spark, monkeypatch):
