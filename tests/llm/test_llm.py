@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import fractions
+import gzip
 import hashlib
 import math
 import random
@@ -645,14 +646,39 @@ def test_archives_resolve_revisits(spark, tmp_path):
         again = len(body) >= 1000 and i != largest
         want.append((i, len(body), hashlib.sha1(body).hexdigest(), "revisit" if again else "response", largest if again else None))
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
-    raw = b"".join(zlib.decompress(p.read_bytes(), 47) for p in (tmp_path / "w").glob("part-*"))
+    files = [p.read_bytes() for p in (tmp_path / "w").glob("part-*")]
+    raw = b"".join(map(gzip.decompress, files))
     heads = [h for h, _ in warc.records_in(raw)]
+    # a member for each record, whose start addresses it, and a record id of its own
+    starts = [m.start() for f in files for m in re.finditer(b"\x1f\x8b\x08", f)]
+    assert len(starts) >= len(rows) == sum(zlib.decompressobj(31).decompress(f[m.start() :]).startswith(b"WARC/") for f in files for m in re.finditer(b"\x1f\x8b\x08\x00", f))
+    assert len({h["warc-record-id"] for h in heads}) == len(heads)
+    assert {h["warc-refers-to"] for h in heads if "warc-refers-to" in h} <= {h["warc-record-id"] for h in heads if h["warc-type"] == "response"}
+    # one member for all, none, and padded members are read alike
+    for k, data in enumerate((gzip.compress(raw), raw, b"".join(gzip.compress(x) + b"\0" for x in (raw[: len(raw) // 2], raw[len(raw) // 2 :])))):
+        (tmp_path / f"other{k}").mkdir()
+        (tmp_path / f"other{k}" / "part-0").write_bytes(data)
+        assert sorted(map(repr, warc.read_archives(spark, f"file://{tmp_path}/other{k}").collect())) == sorted(map(repr, got))
     assert len(heads) == len(rows) and raw.count(b"x" * 2000) == 2  # the tied responses; no revisit holds a payload
     assert all(h["warc-profile"] == warc.PROFILE and h["warc-refers-to"] for h in heads if h["warc-type"] == "revisit")
     warc.write_archives(pages.where("false"), folder + "0")
     assert warc.read_archives(spark, folder + "0").count() == 0
 
 
+def test_archives_of_long_payloads_and_hot_pairs(spark, tmp_path, monkeypatch):
+    """A record beyond 16 MB, and a pair of page and payload that is dealt out, come back whole."""
+    monkeypatch.setattr(warc, "HOT", 8)
+    monkeypatch.setattr(warc, "HOT_ROWS", 5)
+    monkeypatch.setattr(warc, "HEAVY", 1)
+    long = "a long page " * 1_500_000
+    rows = [(1, "u", long), (2, "u", long), *[(None, "u", "y" * 1500)] * 40, *[(7, "u", "z" * 1500)] * 40, (6, "u", "z" * 1500)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect())
+    assert got == {(1, len(long), "revisit", 2): 1, (2, len(long), "response", None): 1, (None, 1500, "response", None): 40, (7, 1500, "response", None): 40, (6, 1500, "revisit", 7): 1}
+    heads = [h for p in (tmp_path / "w").glob("part-*") for h, _ in warc.records_in(gzip.decompress(p.read_bytes()))]
+    assert len({h["warc-record-id"] for h in heads}) == len(rows)
+
+
 # -- shards
 
 
