@@ -47,14 +47,15 @@ with recursive step as (
   select k, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i + 1 from step where i < 8),
 tab as (select list(c order by k) as t from step where i = 8),
 d as (
-  select doc_id, coalesce(text, '') as text, octet_length(encode(coalesce(text, ''))) + 1 as size,
-    cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 3) as integer) as vslot from documents),
-crc as (
-  select doc_id, size, vslot, xor(list_reduce(list_prepend(cast(4294967295 as bigint),
+  select doc_id, coalesce(text, '') as text, octet_length(encode(coalesce(text, ''))) + 1 as size from documents),
+sums as (
+  select doc_id, size, xor(list_reduce(list_prepend(cast(4294967295 as bigint),
     list_transform(range(1, size), lambda i: cast('0x' || substr(hex(encode(text)), 2 * i - 1, 2) as bigint))),
     lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as text_crc32 from d, tab),
+crc as (
+  select doc_id, size, text_crc32, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), ':' || cast(text_crc32 as varchar))), 1, 3) as integer) as vslot from sums),
 slots as (
-  select vslot, cast(sum(size) as bigint) as bytes, count(*) as rows, row_number() over (order by sum(size) desc, vslot) as k from d group by vslot),
+  select vslot, cast(sum(size) as bigint) as bytes, count(*) as rows, row_number() over (order by sum(size) desc, vslot) as k from crc group by vslot),
 deal as (
   select cast(0 as bigint) as k, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[] as loads, cast(-1 as bigint) as vslot, cast(-1 as bigint) as shard
   union all

@@ -47,7 +47,8 @@ def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.reported(table(spark, sf_dir, "documents"))
+    key = pii.key_of(spark)
+    return pii.reported(pii.checked(table(spark, sf_dir, "documents"), key), key)
 
 
 def toxicity_scorer(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Scorer:
@@ -70,7 +71,7 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "shards")
-    records = sharding.sized(table(spark, sf_dir, "documents"))
+    records = sharding.split(scratch.keep(sharding.sized(table(spark, sf_dir, "documents")), "records"))
     sharding.save_map(sharding.build_map(sharding.slot_bytes(records), 8), f"{scratch.folder}/map")
     placed = sharding.assign(records, sharding.load_map(spark, f"{scratch.folder}/map"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")

@@ -6,6 +6,7 @@ import collections
 import fractions
 import gzip
 import hashlib
+import ipaddress
 import math
 import random
 import re
@@ -619,14 +620,71 @@ def test_surrogates_odd_rows(spark, odd, clashing, empty):
 
 
 def test_surrogates_leave_nothing(spark):
+    """An independent scan for originals; of long numbers those that an issuer may have given out."""
+
+    def card(x):
+        doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(x))]
+        return x[0] in "23456" and sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+
     seen = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\+1 \(\d+\) \d+-\d+|\b\d{16}\b|\b\d+\.\d+\.\d+\.\d+\b|AKIA\w{16}|password=\w+")
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    found = 0
+    found = numbers = 0
     for r in queries.op6_pii_surrogates(spark, SF).collect():
-        before = seen.findall(docs[r.doc_id] or "")
+        before = [x for x in seen.findall(docs[r.doc_id] or "") if not x.isdigit() or card(x)]
         found += len(before)
         assert not any(x in r.text for x in before)
-    assert found > 20
+        numbers += sum(x in r.text for x in seen.findall(docs[r.doc_id] or "") if x.isdigit() and not card(x))
+    assert found > 20 and numbers > 3
+
+
+@pytest.mark.parametrize("text, gone, kept", [
+    ("password=!!!!!!!!", ["!!!!!!!!"], ["password="]),
+    ("password=секретныйпароль", ["секретныйпароль"], ["password="]),
+    ("write to иван@example.com", ["иван", "example"], ["write to ", ".com"]),
+    ("Mr. John Smith came. Later Smith left, and John too.", ["John", "Smith"], ["Mr. ", " came. Later ", " too."]),
+    ("Smith left before John Smith lives here", ["John", "Smith"], [" left before ", " lives here"]),
+    ("Dr. Maria Lopez", ["Maria", "Lopez"], ["Dr. "]),
+    ("Prof. Klaus Weber", ["Klaus", "Weber"], ["Prof. "]),
+    ("Ms Smith-Jones and Mr O'Brien; O'Brien again", ["Smith", "Jones", "Brien"], ["Ms ", " and Mr O'", " again"]),
+    ("call 5551234567, 06 12 34 56 78", ["5551234567", "06 12 34 56 78"], ["call ", ", 0"]),
+    ("host 2001:db8::8a2e:370:7334 at 12:34:56, std::vector", ["8a2e"], ["host 2001:", " at 12:34:56, std::vector"]),
+    ("version 1.2.3.4 from 10.0.0.1 by 127.0.0.1", ["10.0.0.1"], ["version 1.2.3.4 from 10.", " by 127.0.0.1"]),
+    ("order 8646308210557563 by 4111111111111111", ["4111111111111111"], ["order 8646308210557563 by 4"]),
+])
+def test_surrogates_of_odd_entities(text, gone, kept):
+    made, kinds = pii.replaced(text)
+    assert kinds and not any(x in made for x in gone), made
+    at = 0
+    for x in kept:  # in this order
+        at = made.index(x, at) + len(x)
+
+
+def test_surrogates_keep_checks_and_mentions():
+    made, _ = pii.replaced("Mr. John Smith came. Later Smith left, and John too.")
+    given, family, again, too = re.match(r"Mr\. (\w+) (\w+) came\. Later (\w+) left, and (\w+) too\.", made).groups()
+    assert (given, family) == (too, again)
+    made, _ = pii.replaced("DE89370400440532013000 or DE89 3704 0044 0532 0130 00")
+    plain, set_apart = made.split(" or ")
+    assert plain == set_apart.replace(" ", "") and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    for network in ("10.{}.3.4", "192.168.7.{}", "172.16.{}.9", "100.64.{}.1", "8.8.{}.8"):
+        addresses = [network.format(k) for k in range(200)]
+        made = [pii.surrogate("ip", x) for x in addresses]
+        assert len(set(made)) == 200 and all(ipaddress.ip_address(x).is_private == ipaddress.ip_address(y).is_private for x, y in zip(addresses, made, strict=True))
+    assert len({pii.surrogate("iban", f"GB{k:02d}NWBK601613319268{k:02d}") for k in range(100)}) == 100
+    long = "token=" + "abcXYZ019" * 100_000
+    made, kinds = pii.replaced(long)
+    assert kinds == ["secret"] and len(made) == len(long) and "abcXYZ019" not in made
+    names = ["Smith", "Weber", "Quendolin", "Thomas", "Mary", "Ölund", "Ångström", "Łukasz"]
+    for kind in ("given", "family"):
+        assert len({pii.surrogate(kind, x) for x in names}) == len(names) and not any(pii.surrogate(kind, x) == x for x in names)
+
+
+def test_surrogates_stop_at_collisions(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "ip 8.8.8.8 and 8.8.4.4")], "doc_id long, text string")
+    assert pii.checked(docs).count() == 1
+    monkeypatch.setattr(pii, "collisions", lambda *_: spark.createDataFrame([("ip", "9.9.9.9", 2)], "kind string, surrogate string, n long"))
+    with pytest.raises(ValueError):
+        pii.checked(docs)
 
 
 # -- archives
@@ -684,22 +742,22 @@ def test_archives_of_long_payloads_and_hot_pairs(spark, tmp_path, monkeypatch):
 
 def test_shards_of_odd_rows(spark, odd, clashing, empty, tmp_path):
     for docs in (odd, clashing):
-        records = sharding.sized(docs)
+        records = sharding.split(sharding.sized(docs))
         placed = sharding.assign(records, sharding.build_map(sharding.slot_bytes(records), 3)).collect()
         assert len(placed) == 14
         for shard in {r.shard for r in placed}:
             assert sorted(r.slot for r in placed if r.shard == shard) == list(range(sum(r.shard == shard for r in placed)))
         assert sorted((r.size, r.text_crc32) for r in placed) == sorted((len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in odd_rows())
-    none = sharding.sized(empty)
+    none = sharding.split(sharding.sized(empty))
     assert sharding.assign(none, sharding.build_map(sharding.slot_bytes(none), 3)).count() == 0
-    records = sharding.sized(odd)
+    records = sharding.split(sharding.sized(odd))
     sharding.write_shards(clashing, sharding.build_map(sharding.slot_bytes(records), 3), f"file://{tmp_path}/s")
     assert spark.read.parquet(f"file://{tmp_path}/s").count() == 14
 
 
 def test_maps_are_edited(spark, tmp_path):
     docs = spark.createDataFrame([(k, "x" * (k % 50)) for k in range(6000)], "doc_id long, text string")
-    records = sharding.sized(docs)
+    records = sharding.split(sharding.sized(docs))
     weights = sharding.slot_bytes(records)
     folder = f"file://{tmp_path}/maps"
     one = sharding.build_map(weights, 8)
@@ -714,7 +772,7 @@ def test_maps_are_edited(spark, tmp_path):
     load = lambda m, n: [sum(size[s] for s in m if m[s] == k) for k in range(n)]
     assert max(load(before, 8)) - min(load(before, 8)) <= max(size.values())
     assert max(load(after, 9)) < 1.2 * sum(size.values()) / 9 and min(load(after, 9)) > 0.8 * sum(size.values()) / 9
-    heavy = sharding.slot_bytes(sharding.sized(docs.withColumn("text", F.when(F.col("doc_id") < 600, F.repeat("text", 20)).otherwise(F.col("text")))))
+    heavy = sharding.slot_bytes(sharding.split(sharding.sized(docs.withColumn("text", F.when(F.col("doc_id") < 600, F.repeat("text", 20)).otherwise(F.col("text"))))))
     edited = sharding.rebalance_map(sharding.load_map(spark, folder, 1), heavy, 8)
     rows = edited.collect()
     loads = collections.Counter()
@@ -724,6 +782,24 @@ def test_maps_are_edited(spark, tmp_path):
     assert sum(before[r.virtual_slot] == r.shard for r in rows) > len(rows) / 2
 
 
+@pytest.mark.parametrize("ids", ["null", "repeated"])
+def test_shards_stay_even_without_distinct_ids(spark, tmp_path, ids):
+    """Half of the ids are null, or half of the rows are one row again and again; a slot of them is split."""
+    rows = [(k if k % 2 else None, "x" * (100 + k % 57) + str(k)) if ids == "null" else (k, "x" * 128) if k % 2 else (8, "y" * 128) for k in range(24_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    records = sharding.split(Scratch(spark, "shards").keep(sharding.sized(docs), "records"))
+    made = sharding.build_map(sharding.slot_bytes(records), 8)
+    placed = sharding.assign(records, made).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.count_distinct("slot").alias("places")).collect()
+    loads = [r.bytes for r in placed]
+    assert len(loads) == 8 and max(loads) - min(loads) < 0.01 * sum(loads) / 8
+    assert all((r.first, r.last, r.places) == (0, r.n - 1, r.n) for r in placed) and sum(r.n for r in placed) == len(rows)
+    parts = {(r.virtual_slot, r.part) for r in made.collect()}
+    assert (len(parts) > len({s for s, _ in parts})) == (ids == "repeated")
+    sharding.write_shards(docs, made, f"file://{tmp_path}/s")
+    written = [r.n for r in spark.read.parquet(f"file://{tmp_path}/s").groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert sum(written) == len(rows) and max(written) < 1.05 * len(rows) / 8
+
+
 # -- rules
 
 
