@@ -83,7 +83,7 @@ f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_fail
 select doc_id, n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, n_repeat_words, base_failed,
   not (base_failed or 100 * n_symbols > 20 * n_words or (n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines) or word_chars > 14 * n_words or word_chars < 2 * n_words
     or 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 40 * word_chars
-    or (n_words >= 50 and 100 * len(list_distinct(words)) < 12 * least(n_words, 1000)) or 100 * (length(text) - length(translate(text, '!?', ''))) > 30 * n_words) as kept
+    or (n_words >= 50 and len(list_distinct(words)) * len(list_distinct(words)) < n_words) or 100 * (length(text) - length(translate(text, '!?', ''))) > 30 * n_words) as kept
 from f"""
 
 

@@ -822,6 +822,27 @@ def test_rule_order_never_changes_the_verdict(odd):
     assert sorted((repr(r.doc_id), r.kept) for r in rules.cascade(odd).collect()) == want
 
 
+def test_rules_have_one_order(spark):
+    """Ten estimates agree, whatever the order of the rows; a rule that an earlier one makes idle comes late."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    orders = {tuple(x["rule"].name for x in rules.estimated(docs if k % 2 else docs.repartition(3 + k))) for k in range(10)}
+    assert len(orders) == 1
+    texts = [prose(60, k) + " # # # # # # # # # # # # # # # # # # # #" * (k % 2) for k in range(100)]
+    few = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    both = (rules.Rule("again", "100 * n_symbols > 19 * n_words", "2"), rules.Rule("capitals", "false", "1"), rules.Rule("symbols", "100 * n_symbols > 20 * n_words", "1"))
+    found = rules.estimated(few, both)
+    assert [x["rule"].name for x in found] == ["symbols", "capitals", "again"] and [x["rejects"] for x in found] == [0.5, 0, 0]
+    hot = spark.range(9000).selectExpr("if(id < 6000, 7, id) as doc_id", "'some words' as text")
+    assert rules.sample(hot).count() <= rules.SAMPLE_ROWS
+
+
+def test_long_texts_are_judged_as_short_ones(spark):
+    """Distinct words are held against the root of the words at every length."""
+    docs = spark.createDataFrame([(n * 10 + d, " ".join(f"word{(k * 7919) % m}" for k in range(n))) for n in (60, 900, 1100, 40_000) for d, m in ((0, int(0.9 * n**0.5)), (1, int(1.5 * n**0.5)))], "doc_id long, text string")
+    flags = {r.doc_id: r.few for r in rules.measured(docs).select("doc_id", F.expr(rules.RULES[4].rejects).alias("few")).collect()}
+    assert all(few == (k % 10 == 0) for k, few in flags.items())
+
+
 def test_clean_documents_pass_the_rules(spark):
     judged = queries.op10_rule_cascade(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("quality = 1 and not base_failed")
     assert judged.where("not kept").count() == 0
