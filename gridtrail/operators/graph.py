@@ -8,32 +8,66 @@ from pyspark.sql import functions as F
 from ..storage import Scratch
 
 
+#: A value that more rows share than one in HEAVY of all, and than HEAVY_ROWS, is looked up by broadcast.
+HEAVY, HEAVY_ROWS = 1024, 1000
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, n: int | None = None) -> DataFrame:
+    """rows with column value of the table's row of equal key, null where there is none; keys of the table are unique, a null is none.
+
+    Rows of a key that very many share would meet in one task. Their keys, HEAVY at most, are looked up
+    first and sent to all tasks, and the rows themselves, and those without a key, are dealt out by their number.
+    n is the number of rows, counted where it isn't given; rows are read twice, so they should be cheap.
+    """
+    table = table.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    n = rows.count() if n is None else n
+    limit = max(HEAVY_ROWS, n // HEAVY)
+    if n <= 10 * HEAVY_ROWS:
+        return rows.join(table, F.col(key) == F.col("_key"), "left").withColumnRenamed("_value", value).drop("_key")
+    heavy = rows.groupBy(key).agg(F.count("*").alias("_n")).where(f"_n > {limit}").select(F.col(key).alias("_heavy"))
+    heavy = heavy.join(table, F.col("_heavy") == F.col("_key"), "left").select("_heavy", F.col("_value").alias("_found"))
+    out = rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy"), "left")
+    common = F.col("_heavy").isNotNull()
+    alone = (-1 - F.monotonically_increasing_id()).cast("string").cast(rows.schema[key].dataType)
+    apart = F.when(common | F.col(key).isNull(), alone).otherwise(F.col(key))
+    out = out.withColumn("_apart", apart).join(table, F.col("_apart") == F.col("_key"), "left")
+    found = F.when(common, F.col("_found")).when(F.col(key).isNotNull(), F.col("_value"))
+    return out.withColumn(value, found).drop("_heavy", "_found", "_apart", "_key", "_value")
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, comp) for each node of the edges (u, v): comp is the smallest node reachable.
 
     Each round hooks every node to its smallest lower neighbour, halves the paths twice and contracts
-    the edges, all by shuffles on the node; edges shrink until none is left. Nothing is collected.
+    the edges, all by shuffles on the node, nodes of very many edges by broadcast; edges shrink until
+    none is left. Nothing is collected.
     """
     low, high = F.least("u", "v"), F.greatest("u", "v")
     first = scratch.keep(edges.where("u <> v").select(high.alias("u"), low.alias("v")).distinct(), f"{name}-edges-0")
     left, hooks = first, []
-    while not left.isEmpty():
+    while n := left.count():
         k = len(hooks) + 1
+        large = n > 10 * HEAVY_ROWS
         hook = left.groupBy("u").agg(F.min("v").alias("v"))
-        for _ in range(2):
+        hook = scratch.keep(hook, f"{name}-near-{k}") if large else hook
+        for turn in range(2):
             up = hook.select(F.col("u").alias("v"), F.col("v").alias("w"))
-            hook = hook.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"))
+            hook = looked_up(hook, "v", up, "w", n).select("u", F.coalesce("w", "v").alias("v"))
+            hook = scratch.keep(hook, f"{name}-far-{k}-{turn}") if large and not turn else hook
         hooks.append(scratch.keep(hook, f"{name}-hook-{k}"))
-        left = left.join(hooks[-1].select("u", F.col("v").alias("a")), "u")
-        left = left.join(hooks[-1].select(F.col("u").alias("v"), F.col("v").alias("b")), "v", "left")
+        left = looked_up(left, "u", hooks[-1].select("u", F.col("v").alias("a")), "a", n)
+        left = looked_up(left, "v", hooks[-1].select(F.col("u").alias("v"), F.col("v").alias("b")), "b", n)
         left = left.select("a", F.coalesce("b", "v").alias("b")).where("a <> b")
         left = left.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         left = scratch.keep(left, f"{name}-edges-{k}")
+        scratch.drop(f"{name}-near-{k}", f"{name}-far-{k}-0")
         if k > 1:
             scratch.drop(f"{name}-edges-{k - 1}")
     labels = first.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("comp", F.col("node"))
+    n = labels.count() if hooks else 0
     for hook in hooks:  # a few rounds; every node follows its component's path
-        labels = labels.join(hook.select(F.col("u").alias("comp"), F.col("v").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        to = hook.select(F.col("u").alias("comp"), F.col("v").alias("to"))
+        labels = looked_up(labels, "comp", to, "to", n).select("node", F.coalesce("to", "comp").alias("comp"))
     labels = scratch.keep(labels, f"{name}-labels")
     scratch.drop(*(f"{name}-hook-{k + 1}" for k in range(len(hooks))), f"{name}-edges-0", f"{name}-edges-{len(hooks)}")
     return labels
