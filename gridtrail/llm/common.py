@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from ..operators.graph import components
+from ..operators.graph import components, looked_up
 from ..session import ship, spread
 from ..storage import Scratch
 
-__all__ = ["Scratch", "column", "components", "small_batches", "spread", "table"]
+__all__ = ["Scratch", "column", "components", "looked_up", "small_batches", "spread", "table"]
 
 #: Bytes of one Arrow batch on its way to Python; long texts then come a few at a time.
 BATCH_BYTES = 4 << 20
