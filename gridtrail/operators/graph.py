@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import Scratch
 
@@ -18,11 +19,12 @@ def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, n: int |
     Rows of a key that very many share would meet in one task. Their keys, HEAVY at most, are looked up
     first and sent to all tasks, and the rows themselves, and those without a key, are dealt out by their number.
     n is the number of rows, counted where it isn't given; rows are read twice, so they should be cheap.
+    Keys that are structs are joined as they are.
     """
     table = table.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
     n = rows.count() if n is None else n
     limit = max(HEAVY_ROWS, n // HEAVY)
-    if n <= 10 * HEAVY_ROWS:
+    if n <= 10 * HEAVY_ROWS or isinstance(rows.schema[key].dataType, T.StructType):
         return rows.join(table, F.col(key) == F.col("_key"), "left").withColumnRenamed("_value", value).drop("_key")
     heavy = rows.groupBy(key).agg(F.count("*").alias("_n")).where(f"_n > {limit}").select(F.col(key).alias("_heavy"))
     heavy = heavy.join(table, F.col("_heavy") == F.col("_key"), "left").select("_heavy", F.col("_value").alias("_found"))

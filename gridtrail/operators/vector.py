@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import params
 from ..session import dealt, ship
 from ..storage import Scratch
-from .graph import components
+from .graph import components, numbered
 
 Ring = list[tuple[float, float]]
 
@@ -210,9 +210,11 @@ def cell_overlaps(pixels: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     return one.join(two, [*keys, "row", "col"]).where("i <> j").groupBy(*keys, "i", "j").agg(F.count("*").alias("shared"))
 
 
-def deduplicated(features: DataFrame, shared: DataFrame, keys: list[str], id_col: str, rank_by: str, limit: float = params.Export.overlap_threshold) -> DataFrame:
+def deduplicated(features: DataFrame, shared: DataFrame, keys: list[str], id_col: str, rank_by: str, limit: float = params.Export.overlap_threshold, one_group: bool = False) -> DataFrame:
     """features with rank (by rank_by downwards, then id) and dropped.
 
+    one_group: the keys tell nothing apart, so features are numbered over all partitions and not in one window.
+
     In the order of rank, a feature not yet dropped drops every other whose covered share (of the
     other's own area in cells) is over the limit, higher-ranked ones too. Decisions only depend on each
     other within a connected component of such pairs, so the loop runs per component.
@@ -220,8 +222,9 @@ def deduplicated(features: DataFrame, shared: DataFrame, keys: list[str], id_col
     spark = features.sparkSession
     ship(spark)
     scratch = Scratch(spark, "dedup")
-    order = Window.partitionBy(*keys).orderBy(F.desc(rank_by), id_col)
-    ranked = scratch.keep(features.withColumn("rank", F.row_number().over(order)), "ranked")
+    order = [F.desc(rank_by), F.col(id_col)]
+    ranked = numbered(features, order, "rank", scratch) if one_group else features.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    ranked = scratch.keep(ranked, "ranked")
     side = lambda name: ranked.select(*keys, F.col(id_col).alias(name), F.col("rank").alias(f"{name}_rank"), F.col("area").alias(f"{name}_area"))
     edges = shared.join(side("i"), [*keys, "i"]).join(side("j"), [*keys, "j"]).where(F.col("j_area") > 0)
     edges = scratch.keep(edges.where(F.col("shared") / F.col("j_area") > limit).select(*keys, "i", "j", "i_rank", "j_rank"), "edges")

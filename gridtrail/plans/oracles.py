@@ -109,10 +109,10 @@ def _q(with_: str, select: str) -> str:
     return f"with recursive {with_}{select if select.startswith(',') else ' ' + select}"
 
 
-_WINDOW_SMOOTH = PIXELS + """, seq as (
-  select scene_id, row, i, cast(floor(value * 100) as integer) + 60 as x, count(*) over (partition by scene_id, row) as n,
-    sum(cast(floor(value * 100) as integer) + 60) over (partition by scene_id, row order by i rows between 2 preceding and 2 following) as s
-  from pixels where col < 5 or row = 0)"""
+_WINDOW_SMOOTH = COMPONENTS + """, seq as (
+  select scene_id, label, row * 8 + col as i, col * 13 + row * 5 as x, count(*) over (partition by scene_id, label) as n,
+    sum(col * 13 + row * 5) over (partition by scene_id, label order by row * 8 + col rows between 2 preceding and 2 following) as s
+  from comps)"""
 
 _WARP = f"""grid as (select n // 181 as r, n % 181 as c, case when n % 97 <> 0 then cast((n * 31) % 1000 as double) end as depth from (select unnest(range(41 * 181)) as n)),
 cells as (select n // 60 as r, n % 60 as k, (n % 60 + 0.5) * 50000.0 as Geo_X, 3.0e6 - (n // 60 + 0.5) * 50000.0 as Geo_Y from (select unnest(range(3600)) as n)),
@@ -193,18 +193,20 @@ def oracle_sql() -> dict[str, str]:
               select *, row_number() over (partition by Orbit, Track_ID order by Timestamp, event_id) - 1 as k, count(*) over (partition by Orbit, Track_ID) as n from obs)
             where k = n // 2"""),
         "range_strings": _q(OBS, """
-            select Orbit, Track_ID, min(Timestamp) || ' - ' || max(Timestamp) as Date_Range, min(Area_Pixels) || ' - ' || max(Area_Pixels) as Area_Range_px
+            select Orbit, Track_ID, min(Timestamp) || ' - ' || max(Timestamp) as Date_Range, min(Area_Pixels) || ' - ' || max(Area_Pixels) as Area_Range_px,
+              concat_ws(' - ', printf('%.3f', min(Area_km2)), printf('%.3f', max(Area_km2))) as Area_Range_km2
             from obs group by Orbit, Track_ID having min(Area_Pixels) is not null"""),
-        "union_orbits": _q(OBS, "select event_id, Orbit, Area_km2, cast(null as double) as SIC_Value from obs where Orbit = 'click' union all select event_id, Orbit, null, SIC_Value from obs where Orbit = 'view'"),
+        "union_orbits": _q(OBS, "select event_id, Orbit, Area_km2, cast(null as double) as SIC_Value, cast(null as double) as Bed_Depth from obs where Orbit = 'click' union all select event_id, Orbit, null, SIC_Value, null from obs where Orbit = 'view' union all select event_id, Orbit, Area_km2, null, Bed_Depth from obs where coalesce(Orbit not in ('click', 'view'), true)"),
         "manifest_resume": _q(OBS, "select event_id, Orbit, Timestamp from obs where (Orbit, Timestamp) not in (select (Orbit, Timestamp) from obs where event_id % 3 = 0)"),
         "column_defaults": _q(OBS, "select event_id, Track_ID, Area_Pixels, Geo_X, Geo_Y, 'Unknown' as Orbit, 'EW' as Swath_Mode, cast(null as double) as Bed_Depth, 'a_b' as layer from obs"),
         "track_features": _q(GOOD, """, placed as (
               select *, row_number() over (partition by Orbit, Track_ID order by Timestamp, event_id) - 1 as k, count(*) over (partition by Orbit, Track_ID) as n from good),
             sums as (
               select Orbit, Track_ID, min(Timestamp) || ' - ' || max(Timestamp) as Date_Range, round(avg(Area_km2), 6) as Area_Mean_km2, round(avg(Area_Pixels), 6) as Area_Mean_px,
-                min(Area_Pixels) || ' - ' || max(Area_Pixels) as Area_Range_px, round(avg(Bed_Depth), 6) as Bed_Depth, first(Swath_Mode order by Timestamp, event_id) as Swath_Mode
+                min(Area_Pixels) || ' - ' || max(Area_Pixels) as Area_Range_px,
+                concat_ws(' - ', printf('%.3f', min(Area_km2)), printf('%.3f', max(Area_km2))) as Area_Range_km2, round(avg(Bed_Depth), 6) as Bed_Depth, first(Swath_Mode order by Timestamp, event_id) as Swath_Mode
               from good group by Orbit, Track_ID having min(Area_Pixels) is not null)
-            select cast(s.Track_ID as varchar) as Global_UID, s.Orbit, p.Timestamp, p.Unique_ID, s.Date_Range, s.Area_Mean_km2, s.Area_Mean_px, s.Area_Range_px, s.Bed_Depth, s.Swath_Mode,
+            select cast(s.Track_ID as varchar) as Global_UID, s.Orbit, p.Timestamp, p.Unique_ID, s.Date_Range, s.Area_Mean_km2, s.Area_Range_km2, s.Area_Mean_px, s.Area_Range_px, s.Bed_Depth, s.Swath_Mode,
               round(p.Geo_Y, 6) as Northing_3031, round(p.Geo_X, 6) as Easting_3031
             from sums s join placed p on p.Orbit = s.Orbit and p.Track_ID = s.Track_ID and p.k = p.n // 2"""),
         "patch_grid": _q(PIXELS, """, cut as (select *, least(row // 2, 2) as patch_row, least(col // 2, 2) as patch_col from pixels)
@@ -220,7 +222,7 @@ def oracle_sql() -> dict[str, str]:
               spotted is not null and exists (select 1 from bad b where b.scene_id = p.scene_id and b.pr = p.pr and b.pc = p.pc and abs(b.row - p.row) <= 1 and abs(b.col - p.col) <= 1) as is_edge,
               exists (select 1 from bad b where b.scene_id = p.scene_id and b.pr = p.pr and b.pc = p.pc and abs(b.row - p.row) <= 2 and abs(b.col - p.col) <= 2) as is_cleared
             from p"""),
-        "mask_dilation": _q(COMPONENTS, "select distinct p.scene_id, p.row, p.col from pixels p join comps c on c.scene_id = p.scene_id and abs(c.row - p.row) + abs(c.col - p.col) <= 2 where c.scene_id % 5 = c.label % 5"),
+        "mask_dilation": _q(PIXELS, "select distinct p.scene_id, p.row, p.col from pixels p join pixels c on c.scene_id = p.scene_id and abs(c.row - p.row) + abs(c.col - p.col) <= 2 where c.value > 0.25"),
         "bilinear_resample": _q(_BILINEAR, """
             select scene_id, cast(r as integer) as row, cast(c as integer) as col, case when a[nr * 8 + nc + 1] is not null then round(
               (1 - (y - t)) * ((1 - (x - l)) * coalesce(a[t * 8 + l + 1], 0.0) + (x - l) * coalesce(a[t * 8 + e + 1], 0.0))
@@ -263,7 +265,7 @@ def oracle_sql() -> dict[str, str]:
               select c.r, c.k, (1 - abs(c.fr - n.sr)) * (1 - abs(c.fc - n.sc)) as w, g.depth
               from at4 c, lateral (select floor(c.fr) + i as sr, floor(c.fc) + j as sc from (values (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j)) n left join grid g on g.r = n.sr and g.c = n.sc)
             select cast(r as integer) as row, cast(k as integer) as col, case when count(*) filter (where depth is null and w > 0) = 0 then round(sum(w * depth), 6) end as depth from met group by r, k"""),
-        "contour_smooth": _q(_WINDOW_SMOOTH, "select scene_id, cast(i as integer) as i, x, case when n < 5 then x else cast(trunc(s / 5.0) as integer) end as smooth_x from seq"),
+        "contour_smooth": _q(_WINDOW_SMOOTH, "select scene_id, label, cast(i as integer) as i, x, case when n < 5 then x else cast(trunc(s / 5.0) as integer) end as smooth_x from seq"),
         "overlap_candidates": _q(REGIONS, """, r as (select *, scene_id * 64 + label as rid from regions)
             select x.orbit, x.rid as a, y.rid as b from r x join r y on x.orbit = y.orbit and x.rid < y.rid and x."left" <= y."left" + y.width and y."left" <= x."left" + x.width
               and x.top <= y.top + y.height and y.top <= x.top + x.height"""),
@@ -277,9 +279,13 @@ def oracle_sql() -> dict[str, str]:
         "traced_polygons": _q(COMPONENTS, """, part as (
               select scene_id, label, row, col from comps where row * 8 + col = label
               union
-              select n.scene_id, n.label, n.row, n.col from part p join comps n on n.scene_id = p.scene_id and n.label = p.label and abs(n.row - p.row) + abs(n.col - p.col) = 1)
-            select scene_id, label, cast(count(*) as double) as geom_area, count(*) < any_value(c.n) as multipolygon
-            from part join (select scene_id, label, count(*) as n from comps group by all) c using (scene_id, label) group by scene_id, label"""),
+              select n.scene_id, n.label, n.row, n.col from part p join comps n on n.scene_id = p.scene_id and n.label = p.label and abs(n.row - p.row) + abs(n.col - p.col) = 1),
+            corner as (
+              select scene_id, label, y, x, count(*) as n, bool_or(dy = dx) as main, bool_or(dy <> dx) as other
+              from (select scene_id, label, row + dy as y, col + dx as x, dy, dx from part, (values (0), (1)) a(dy), (values (0), (1)) b(dx)) group by all),
+            corners as (select scene_id, label, sum(case when n in (1, 3) then 1 when n = 2 and main <> other then 2 else 0 end) as corners from corner group by all)
+            select scene_id, label, cast(count(*) as double) as geom_area, count(*) < any_value(c.n) as multipolygon, cast(any_value(corners) as bigint) as corners
+            from part join (select scene_id, label, count(*) as n from comps group by all) c using (scene_id, label) join corners using (scene_id, label) group by scene_id, label"""),
         "predicted_masks": _q(PIXELS, """, p as (select *, row // 4 as pr, col // 4 as pc from pixels), bad as (select * from p where spotted is null)
             select scene_id, row, col, case when spotted is not null and 1 / (1 + exp(-(10.0 * (spotted - 0.1)))) > 0.5
               and not exists (select 1 from bad b where b.scene_id = p.scene_id and b.pr = p.pr and b.pc = p.pc and abs(b.row - p.row) <= 2 and abs(b.col - p.col) <= 2) then 255 else 0 end as mask from p"""),

@@ -52,14 +52,15 @@ def track_mid_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def range_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = summary.range_texts(summary.track_summary(fixtures.observations(spark, sf_dir)))
-    return out.select("Orbit", "Track_ID", "Date_Range", "Area_Range_px")
+    return out.select("Orbit", "Track_ID", "Date_Range", "Area_Range_px", "Area_Range_km2")
 
 
 def union_orbits(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = fixtures.observations(spark, sf_dir)
     one = obs.where("Orbit = 'click'").select("event_id", "Orbit", "Area_km2")
     two = obs.where("Orbit = 'view'").select("event_id", "Orbit", "SIC_Value")
-    return summary.unioned([one, two])
+    rest = obs.where("coalesce(Orbit not in ('click', 'view'), true)").select("event_id", "Orbit", "Bed_Depth", "Area_km2")
+    return summary.unioned([one, two, rest])
 
 
 def manifest_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,7 @@ def column_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def track_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = summary.features(qc.quality_controlled(fixtures.observations(spark, sf_dir), P))
-    keep = out.select("Global_UID", "Orbit", "Timestamp", "Unique_ID", "Date_Range", "Area_Mean_km2", "Area_Mean_px", "Area_Range_px", "Bed_Depth", "Swath_Mode", "Northing_3031", "Easting_3031")
+    keep = out.select("Global_UID", "Orbit", "Timestamp", "Unique_ID", "Date_Range", "Area_Mean_km2", "Area_Range_km2", "Area_Mean_px", "Area_Range_px", "Bed_Depth", "Swath_Mode", "Northing_3031", "Easting_3031")
     return keep.withColumns({c: R6(c) for c in ("Area_Mean_km2", "Area_Mean_px", "Bed_Depth", "Northing_3031", "Easting_3031")})
 
 
@@ -111,7 +112,7 @@ def nan_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_dilation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = fixtures.component_pixels(spark, sf_dir).where("scene_id % 5 = label % 5")
+    cells = raster.pixels(fixtures.scenes(spark, sf_dir)).where("value > 0.25")
     return raster.dilated(cells, ["scene_id"], 2, 8, 8).select("scene_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
 
 
@@ -266,8 +267,9 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contour_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = raster.pixels(fixtures.scenes(spark, sf_dir)).where("col < 5 or row = 0").withColumns({"i": F.col("row") * 8 + F.col("col"), "x": F.floor(F.col("value") * 100).cast("int") + 60})
-    return pairing.smoothed(cells, ["scene_id", "row"], "i", ["x"]).select("scene_id", "i", "x", "smooth_x")
+    """The cells of each component in the order of the scan as a sequence, many shorter than the window."""
+    cells = fixtures.component_pixels(spark, sf_dir).withColumns({"i": F.col("row") * 8 + F.col("col"), "x": F.col("col") * 13 + F.col("row") * 5})
+    return pairing.smoothed(cells, ["scene_id", "label"], "i", ["x"]).select("scene_id", "label", "i", "x", "smooth_x")
 
 
 def overlap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +303,10 @@ def geometry_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def traced_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = vector.traced(fixtures.component_pixels(spark, sf_dir).select("scene_id", "row", "col", "label"), ["scene_id"])
-    return out.select("scene_id", "label", "geom_area", "multipolygon")
+    # a polygon's WKB holds a head of 9 bytes, and for each ring its count of 4 bytes and 16 bytes a point, the first of them twice
+    rings = F.conv(F.expr("hex(reverse(substring(geom_wkb, 6, 4)))"), 16, 10).cast("long")
+    corners = F.expr("(octet_length(geom_wkb) - 9) div 4")
+    return out.select("scene_id", "label", "geom_area", "multipolygon", ((corners - rings * 5) / 4).cast("long").alias("corners"))
 
 
 def shape_features(spark: SparkSession, sf_dir: str) -> DataFrame:
