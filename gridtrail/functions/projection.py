@@ -79,3 +79,13 @@ def scale_factor(lat: Column, kind: str = "coded") -> Column:
 def true_area_km2(resolution: Column, lat: Column, kind: str = "coded") -> Column:
     k = scale_factor(lat, kind)
     return resolution * resolution / (k * k) / 1e6
+
+
+def forward_points(lon, lat, ellipsoid: tuple[float, float] = WGS84, parallel: float = params.STANDARD_PARALLEL):
+    """forward() of numpy arrays of degrees."""
+    import numpy as np
+
+    e = math.sqrt(ellipsoid[1])
+    phi, lam = np.radians(-np.asarray(lat, dtype=float)), np.radians(np.asarray(lon, dtype=float))
+    rho = _scale(ellipsoid, parallel) * np.tan(math.pi / 4 - phi / 2) / ((1 - e * np.sin(phi)) / (1 + e * np.sin(phi))) ** (e / 2)
+    return rho * np.sin(lam), rho * np.cos(lam)

@@ -51,17 +51,19 @@ def label_mask(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, cols, (rows * mask.shape[1] + cols)[root] if n else rows
 
 
-def labelled(tiles: DataFrame, keep: list[str] | None = None, scene_width: int | None = None) -> DataFrame:
+def labelled(tiles: DataFrame, keep: list[str] | None = None, scene_width: int | str | None = None, rim: bool = False) -> DataFrame:
     """keep columns, scene_id, row, col (in the scene) and label of every positive cell; no shuffle.
 
-    A tile is labelled by itself. scene_width: the scene's width where tiles are parts of scenes; the
-    tile's own width otherwise. NULL cells are background; an all-zero tile gives no rows.
+    A tile is labelled by itself. scene_width: the scene's width, or the column that holds it, where tiles
+    are parts of scenes; the tile's own width otherwise. rim adds a column that tells of cells at their
+    tile's border. NULL cells are background; an all-zero tile gives no rows.
     """
     ship(tiles.sparkSession)
     keep = keep or []
     names = [*keep, "scene_id"]
     kinds = {f.name: f.dataType.simpleString() for f in tiles.schema.fields}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + ["row int", "col int", "label bigint"])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + ["row int", "col int", "label bigint"] + ["rim boolean"] * rim)
+    by_row = scene_width if isinstance(scene_width, str) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,11 +71,13 @@ def labelled(tiles: DataFrame, keep: list[str] | None = None, scene_width: int |
             cells = column["data"].flatten().fill_null(False).to_numpy(zero_copy_only=False)
             lengths = [0 if n is None else n for n in column["data"].value_lengths().to_pylist()]
             shapes = [column[c].to_pylist() for c in ("row0", "col0", "height", "width")]
-            owners, rows, cols, labels, at = [], [], [], [], 0
+            wides = column[by_row].to_pylist() if by_row else [scene_width] * len(lengths)
+            owners, rows, cols, labels, rims, at = [], [], [], [], [], 0
             for k, (n, r0, c0, h, w) in enumerate(zip(lengths, *shapes, strict=True)):
                 if n:
                     r, c, lab = label_mask(cells[at : at + n].reshape(h, w))
-                    wide = scene_width or w
+                    wide = wides[k] or w
+                    rims.append((r == 0) | (r == h - 1) | (c == 0) | (c == w - 1))
                     owners.append(np.full(len(r), k))
                     rows.append(r + r0)
                     cols.append(c + c0)
@@ -82,9 +86,10 @@ def labelled(tiles: DataFrame, keep: list[str] | None = None, scene_width: int |
             if owners:
                 who = pa.array(np.concatenate(owners))
                 made = [pa.array(np.concatenate(x).astype(t)) for x, t in ((rows, np.int32), (cols, np.int32), (labels, np.int64))]
-                yield pa.RecordBatch.from_arrays([*(column[c].take(who) for c in names), *made], [*names, "row", "col", "label"])
+                made += [pa.array(np.concatenate(rims))] * rim
+                yield pa.RecordBatch.from_arrays([*(column[c].take(who) for c in names), *made], [*names, "row", "col", "label"] + ["rim"] * rim)
 
-    return tiles.select(*names, "row0", "col0", "height", "width", "data").mapInArrow(run, schema)
+    return tiles.select(*names, "row0", "col0", "height", "width", *([by_row] if by_row else []), "data").mapInArrow(run, schema)
 
 
 def blocks(tiles: DataFrame, block_rows: int, block_cols: int) -> DataFrame:
@@ -99,23 +104,25 @@ def blocks(tiles: DataFrame, block_rows: int, block_cols: int) -> DataFrame:
     return cut.select(*rest, F.col("_r").alias("row0"), F.col("_c").alias("col0"), h.alias("height"), w.alias("width"), data.alias("data"))
 
 
-def merged(pixels: DataFrame, keys: list[str], height: int, width: int, block_rows: int, block_cols: int) -> DataFrame:
+def merged(pixels: DataFrame, keys: list[str], height: int = 0, width: int = 0, block_rows: int = 1, block_cols: int = 1) -> DataFrame:
     """Block-wise labels joined over block borders to labels of whole scenes.
 
+    Borders are told by a column rim, as labelled makes it, or where there is none by the scenes' size and blocks.
     Only cells beside a border meet each other; their distinct label pairs are few and go through
     min-label components. The result is that of labelling whole scenes, whatever the blocks.
     """
     scratch = Scratch(pixels.sparkSession, "merge")
     h, w = -(-height // block_rows), -(-width // block_cols)
     pixels = scratch.keep(pixels, "pixels")
-    rim = pixels.where(f"row % {h} in (0, {h - 1}) or col % {w} in (0, {w - 1})").select(*keys, "row", "col", "label")
+    border = "rim" if "rim" in pixels.columns else f"row % {h} in (0, {h - 1}) or col % {w} in (0, {w - 1})"
+    rim = pixels.where(border).select(*keys, "row", "col", "label")
     near = rim.withColumn("step", F.explode(F.array(*[F.struct(F.lit(dr).alias("r"), F.lit(dc).alias("c")) for dr, dc in FORWARD])))
     near = near.select(*keys, (F.col("row") + F.col("step.r")).alias("row"), (F.col("col") + F.col("step.c")).alias("col"), F.col("label").alias("other"))
     pairs = rim.join(near, [*keys, "row", "col"]).where("label <> other").select(*keys, "label", "other").distinct()
     node = lambda label: F.struct(*keys, F.col(label).alias("label"))
     found = components(pairs.select(node("label").alias("u"), node("other").alias("v")), scratch, "labels")
     found = found.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.label").alias("label"), F.col("comp.label").alias("root"))
-    return pixels.join(found, [*keys, "label"], "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+    return pixels.join(found, [*keys, "label"], "left").withColumn("label", F.coalesce("root", "label")).drop("root", "rim")
 
 
 def region_stats(pixels: DataFrame, keys: list[str], least: float = 0) -> DataFrame:
@@ -135,13 +142,14 @@ def relabelled(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return pixels.join(names, [*keys, "label"])
 
 
-def region_records(stats: DataFrame, stamp: str, a: float, e: float, c: float, f: float) -> DataFrame:
+def region_records(stats: DataFrame, stamp: str, transform: str = "transform") -> DataFrame:
     """Region records as they are written: centroids to 2 and 6 decimals, bbox, unique id. merged_from is never set."""
     from ..functions import scalar
 
-    x, y = F.lit(c) + F.lit(a) * (F.col("cx") + 0.5), F.lit(f) + F.lit(e) * (F.col("cy") + 0.5)
+    t = F.col(transform)
+    x, y = scalar.pixel_x(t[0], t[1], t[2], F.col("cy"), F.col("cx")), scalar.pixel_x(t[3], t[4], t[5], F.col("cy"), F.col("cx"))
     return stats.select(
-        F.col("area").cast("double").alias("area"), F.array(F.bround("cx", 2), F.bround("cy", 2)).alias("pixel_centroid"),
+        stamp, F.col("area").cast("double").alias("area"), F.array(F.bround("cx", 2), F.bround("cy", 2)).alias("pixel_centroid"),
         F.array(F.bround(x, 6), F.bround(y, 6)).alias("geo_centroid"), "label",
         F.array(*[F.col(n).cast("double") for n in ("left", "top", "width", "height")]).alias("bbox"),
         scalar.unique_id(F.col(stamp), F.col("label")).alias("unique_id"), F.lit(None).cast("array<bigint>").alias("merged_from"),

@@ -203,37 +203,61 @@ def erased(cells: DataFrame, mask: DataFrame, value: str = "value") -> DataFrame
     return out.withColumn(value, F.when(F.col("_hit"), F.lit(0).cast(cells.schema[value].dataType)).otherwise(F.col(value))).drop("_hit")
 
 
+def _edges(rings: list[list[tuple[float, float]]]) -> tuple[np.ndarray, ...]:
+    """x1, y1, x2, y2 of all edges of rings."""
+    points = [np.asarray(r, dtype=float).reshape(-1, 2) for r in rings if len(r)]
+    if not points:
+        return (np.empty(0),) * 4
+    one, two = np.concatenate(points), np.concatenate([np.roll(p, -1, axis=0) for p in points])
+    return one[:, 0], one[:, 1], two[:, 0], two[:, 1]
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, value): each index with the integers from first up to last."""
+    n = np.maximum(last - first, 0)
+    which = np.repeat(np.arange(len(n)), n)
+    return which, first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def touched_cells(rings: list[list[tuple[float, float]]], height: int, width: int) -> np.ndarray:
     """Cells of a grid (x to the right, y downwards, unit cells) that a polygon touches: inside by the
-    even-odd rule at the centre, or crossed by an edge."""
-    rows, cols = np.mgrid[0:height, 0:width]
-    x, y = cols + 0.5, rows + 0.5
-    inside = np.zeros((height, width), dtype=bool)
-    crossed = np.zeros((height, width), dtype=bool)
-    for ring in rings:
-        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
-            if y1 != y2:
-                cuts = (y1 > y) != (y2 > y)
-                inside ^= cuts & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
-            crossed |= segment_cells(x1, y1, x2, y2, height, width)
-    return inside | crossed
-
-
-def segment_cells(x1: float, y1: float, x2: float, y2: float, height: int, width: int) -> np.ndarray:
-    """Cells whose interior a segment meets; one along a grid line meets none. In each row it spans a range of columns."""
-    out = np.zeros((height, width), dtype=bool)
-    low, high = sorted((y1, y2))
-    if (low == high and low == np.floor(low)) or (x1 == x2 and x1 == np.floor(x1)):
-        return out
-    for r in range(max(0, int(np.floor(low))), min(height, max(int(np.ceil(high)), int(np.floor(low)) + 1))):
-        if low == high:
-            a, b = sorted((x1, x2))
-        else:
-            ends = [min(max((y - y1) / (y2 - y1), 0.0), 1.0) for y in (r, r + 1)]
-            a, b = sorted(x1 + t * (x2 - x1) for t in ends)
-        first, last = int(np.floor(a)), max(int(np.ceil(b)), int(np.floor(a)) + 1)
-        out[r, max(0, first) : max(0, min(width, last))] = True
-    return out
+    even-odd rule at the centre, or crossed by an edge. By scan lines: work is edges' rows and cells."""
+    return inside_cells(rings, height, width) | edge_cells(rings, height, width)
+
+
+def inside_cells(rings: list[list[tuple[float, float]]], height: int, width: int) -> np.ndarray:
+    """Cells whose centre is inside by the even-odd rule: crossings to the left of a centre are counted along its row."""
+    x1, y1, x2, y2 = _edges(rings)
+    low, high = np.minimum(y1, y2), np.maximum(y1, y2)
+    # rows with low <= centre < high
+    first, last = np.ceil(low - 0.5), np.ceil(high - 0.5)
+    which, rows = _spread(np.clip(first, 0, height).astype(np.int64), np.clip(last, 0, height).astype(np.int64))
+    cut = (x2[which] - x1[which]) * (rows + 0.5 - y1[which]) / (y2[which] - y1[which]) + x1[which]
+    # a crossing at x toggles all centres from there on
+    cols = np.clip(np.ceil(cut - 0.5), 0, width).astype(np.int64)
+    toggles = np.zeros((height, width + 1), dtype=np.int64)
+    np.add.at(toggles, (rows, cols), 1)
+    return np.cumsum(toggles, axis=1)[:, :width] % 2 == 1
+
+
+def edge_cells(rings: list[list[tuple[float, float]]], height: int, width: int) -> np.ndarray:
+    """Cells whose interior an edge meets; one along a grid line meets none. In each row an edge spans a range of columns."""
+    x1, y1, x2, y2 = _edges(rings)
+    flat = y1 == y2
+    some = ~((flat & (y1 == np.floor(y1))) | ((x1 == x2) & (x1 == np.floor(x1))))
+    x1, y1, x2, y2, flat = x1[some], y1[some], x2[some], y2[some], flat[some]
+    low, high = np.minimum(y1, y2), np.maximum(y1, y2)
+    first, last = np.floor(low), np.maximum(np.ceil(high), np.floor(low) + 1)
+    which, rows = _spread(np.clip(first, 0, height).astype(np.int64), np.clip(last, 0, height).astype(np.int64))
+    tall = np.where(flat, 1.0, y2 - y1)[which]
+    ends = [np.where(flat[which], end, np.clip((rows + end - y1[which]) / tall, 0.0, 1.0)) for end in (0, 1)]
+    xs = [x1[which] + t * (x2 - x1)[which] for t in ends]
+    a, b = np.minimum(*xs), np.maximum(*xs)
+    begin, end = np.floor(a), np.maximum(np.ceil(b), np.floor(a) + 1)
+    steps = np.zeros((height, width + 1), dtype=np.int64)
+    np.add.at(steps, (rows, np.clip(begin, 0, width).astype(np.int64)), 1)
+    np.add.at(steps, (rows, np.clip(end, 0, width).astype(np.int64)), -1)
+    return np.cumsum(steps, axis=1)[:, :width] > 0
 
 
 def polygon_cells(polygons: DataFrame, keys: list[str], height: int, width: int, transform: tuple[float, ...]) -> DataFrame:
@@ -256,8 +280,9 @@ def polygon_cells(polygons: DataFrame, keys: list[str], height: int, width: int,
                 inside, crossed = np.zeros((height, width), bool), np.zeros((height, width), bool)
                 for polygon in from_wkb(bytes(wkb)) if wkb is not None else []:
                     local = [[((x - c) / a, (y - f) / e) for x, y in ring] for ring in polygon]
-                    inside |= touched_cells(local, height, width)
-                    crossed |= edge_cells(local, height, width)
+                    edges = edge_cells(local, height, width)
+                    inside |= inside_cells(local, height, width) | edges
+                    crossed |= edges
                 rows, cols = np.nonzero(inside)
                 made = {x: [batch[x].iloc[k]] * len(rows) for x in keys}
                 yield pd.DataFrame({**made, "row": rows.astype(np.int32), "col": cols.astype(np.int32), "crossed": crossed[rows, cols]})
@@ -265,15 +290,6 @@ def polygon_cells(polygons: DataFrame, keys: list[str], height: int, width: int,
     return polygons.select(*keys, "geom_wkb").mapInPandas(run, schema)
 
 
-def edge_cells(polygon: list[list[tuple[float, float]]], height: int, width: int) -> np.ndarray:
-    """Cells that an edge of the polygon meets."""
-    out = np.zeros((height, width), dtype=bool)
-    for ring in polygon:
-        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
-            out |= segment_cells(x1, y1, x2, y2, height, width)
-    return out
-
-
 def label_areas(pixels: DataFrame, keys: list[str], kind: str = "coded") -> DataFrame:
     """area_km2 and pixels of each label from cells with their scene's affine map (transform), corrected for latitude."""
     t = F.col("transform")
@@ -283,8 +299,8 @@ def label_areas(pixels: DataFrame, keys: list[str], kind: str = "coded") -> Data
     return pixels.select(*keys, "label", km2.alias("km2")).groupBy(*keys, "label").agg(F.sum("km2").alias("area_km2"), F.count("*").cast("int").alias("pixels"))
 
 
-def warped(grid: DataFrame, source: tuple[float, float, float, float], target: tuple[float, float, float], rows: int, cols: int, value: str = "depth") -> DataFrame:
-    """A grid in degrees resampled bilinearly to polar metres: (row, col, value) of rows x cols cells.
+def warped(grid: DataFrame, source: tuple[float, float, float, float], target: tuple[float, float, float], rows: int, cols: int, value: str = "depth", cells: DataFrame | None = None) -> DataFrame:
+    """A grid in degrees resampled bilinearly to polar metres: (row, col, value) of rows x cols cells, or of the given ones only.
 
     source: longitude and latitude of the first cell's centre and their steps (latitude may run down);
     target: x and y of the top left corner and the cell size. A cell with any of its four source cells
@@ -293,7 +309,8 @@ def warped(grid: DataFrame, source: tuple[float, float, float, float], target: t
     lon0, lat0, dlon, dlat = source
     x0, y0, step = target
     spark = grid.sparkSession
-    cells = spark.range(rows * cols).select(F.expr(f"cast(id div {cols} as int)").alias("row"), F.expr(f"cast(id % {cols} as int)").alias("col"))
+    if cells is None:
+        cells = spark.range(rows * cols).select(F.expr(f"cast(id div {cols} as int)").alias("row"), F.expr(f"cast(id % {cols} as int)").alias("col"))
     x, y = F.lit(x0) + (F.col("col") + 0.5) * step, F.lit(y0) - (F.col("row") + 0.5) * step
     at = cells.withColumns({"_c": (projection.longitude(x, y) - lon0) / dlon, "_r": (projection.latitude(x, y) - lat0) / dlat})
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])

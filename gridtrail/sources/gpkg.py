@@ -1,4 +1,7 @@
-"""GeoPackage layers by sqlite3: small reference layers in, final features out, on the driver."""
+"""GeoPackage layers by sqlite3: reference layers in, by ranges of rows on the executors; final features out, on the driver.
+
+Files lie in a folder that all executors share.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,9 @@ import struct
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import projection
 from ..operators import vector
+from ..session import ship
 
 #: Bytes of an envelope by its code in the flags of a geometry header: fixed values.
 ENVELOPE = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
@@ -31,28 +36,57 @@ def layers(path: str) -> list[str]:
         return [r[0] for r in db.execute("select table_name from gpkg_contents where data_type = 'features' order by rowid")]
 
 
-def read_layer(spark: SparkSession, path: str, layer: str | None = None, most_rows: int = 1_000_000) -> DataFrame:
+def system_of(path: str, layer: str) -> int:
+    """The EPSG code of a layer; 4326 where it is geographic without one, 0 where nothing is known."""
+    with sqlite3.connect(path) as db:
+        (srs,) = db.execute("select srs_id from gpkg_geometry_columns where table_name = ?", (layer,)).fetchone()
+        known = db.execute("select organization, organization_coordsys_id from gpkg_spatial_ref_sys where srs_id = ?", (srs,)).fetchone()
+    if known and known[0].upper() == "EPSG":
+        return known[1]
+    return 4326 if srs == 0 else 0
+
+
+def read_layer(spark: SparkSession, path: str, layer: str | None = None, polar: bool = False, part_rows: int = 20_000) -> DataFrame:
     """A layer's attributes, geom_wkb and its box (min_x, min_y, max_x, max_y); the first layer by default.
 
-    Reference layers are read on the driver; one of more than most_rows raises an error.
+    Rows are read by ranges of their numbers on the executors, so a layer may be of any size. polar:
+    vertices in degrees (EPSG 4326) become EPSG 3031 metres; other systems than these raise an error.
     """
+    ship(spark)
     layer = layer or layers(path)[0]
+    system = system_of(path, layer)
+    if polar and system not in (0, 3031, 4326):
+        raise ValueError(f"layer {layer} is in EPSG:{system}, only 3031 and 4326 are supported")
+    convert = polar and system == 4326
     with sqlite3.connect(path) as db:
         (geometry,) = db.execute("select column_name from gpkg_geometry_columns where table_name = ?", (layer,)).fetchone()
         info = db.execute(f'pragma table_info("{layer}")').fetchall()
         columns = [(r[1], _SPARK.get(r[2].upper().split("(")[0], "string")) for r in info if r[1] != geometry]
-        listed = ", ".join(f'"{c}"' for c, _ in [*columns, (geometry, "")])
-        found = db.execute(f'select {listed} from "{layer}" limit {most_rows + 1}').fetchall()
-    if len(found) > most_rows:
-        raise ValueError(f"layer {layer} has more than {most_rows} features")
-    rows = []
-    for *values, blob in found:
-        wkb = unpacked(blob) if blob is not None else None
-        points = [p for polygon in vector.from_wkb(wkb) for ring in polygon for p in ring] if wkb else []
-        box = (min(p[0] for p in points), min(p[1] for p in points), max(p[0] for p in points), max(p[1] for p in points)) if points else (None,) * 4
-        rows.append((*values, bytearray(wkb) if wkb else None, *box))
+        low, high = db.execute(f'select min(rowid), max(rowid) from "{layer}"').fetchone()
+    listed = ", ".join(f'"{c}"' for c, _ in [*columns, (geometry, "")])
     schema = ", ".join([f"`{c}` {t}" for c, t in columns] + ["geom_wkb binary", "min_x double", "min_y double", "max_x double", "max_y double"])
-    return spark.createDataFrame(rows, schema)
+
+    def run(batches):
+        import pandas as pd
+
+        names = [c for c, _ in columns] + ["geom_wkb", "min_x", "min_y", "max_x", "max_y"]
+        for batch in batches:
+            for first in batch["first"]:
+                rows = []
+                with sqlite3.connect(path) as db:
+                    for *values, blob in db.execute(f'select {listed} from "{layer}" where rowid >= ? and rowid < ? order by rowid', (int(first), int(first) + part_rows)):
+                        wkb = unpacked(blob) if blob is not None else None
+                        shape = vector.from_wkb(wkb) if wkb else []
+                        if convert and shape:
+                            shape = [[list(zip(*(v.tolist() for v in projection.forward_points(*zip(*ring, strict=True))), strict=True)) for ring in polygon] for polygon in shape]
+                            wkb = vector.to_wkb(shape)
+                        points = [p for polygon in shape for ring in polygon for p in ring]
+                        box = (min(p[0] for p in points), min(p[1] for p in points), max(p[0] for p in points), max(p[1] for p in points)) if points else (None,) * 4
+                        rows.append((*values, wkb, *box))
+                yield pd.DataFrame(rows, columns=names).astype(object).where(lambda x: x.notna(), None)
+
+    starts = [] if low is None else range(low, high + 1, part_rows)
+    return spark.createDataFrame([(int(x),) for x in starts], "first long").repartition(max(1, len(starts))).mapInPandas(run, schema)
 
 
 def write_layers(tables: dict[str, DataFrame], path: str, srs: int = 3031) -> None:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import ship
+from . import netcdf, tiff
 
 
 def read_regions(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
@@ -18,24 +19,23 @@ def read_regions(spark: SparkSession, folder: str, prefix: str = "") -> DataFram
     return rows.withColumn("Timestamp", F.replace(token, F.lit(".json"))).where(F.length("Timestamp") == 15)
 
 
-def write_regions(regions: DataFrame, folder: str, prefix: str = "") -> None:
-    """One indented JSON array for each timestamp, sorted by label, through the driver timestamp by timestamp."""
-    os.makedirs(folder, exist_ok=True)
+def write_regions(regions: DataFrame, folder: str, prefix: str = "", frames: DataFrame | None = None) -> None:
+    """One indented JSON array for each timestamp, sorted by label, written by the executors.
+
+    frames (Timestamp): timestamps that get a file even without a region.
+    """
+    ship(regions.sparkSession)
     fields = schemas.names(schemas.REGION)
+    frames = regions.select("Timestamp").distinct() if frames is None else frames.select("Timestamp").distinct()
 
-    def save(stamp: str, rows: list) -> None:
-        with open(os.path.join(folder, f"{prefix}regions_{stamp}.json"), "w", encoding="utf-8") as f:
-            json.dump([{k: v for k, v in r.items() if k != "merged_from" or v is not None} for r in rows], f, indent=2)
+    def run(stamps, rows):
+        found = [{k: v if not hasattr(v, "tolist") else v.tolist() for k, v in r.items()} for r in rows.sort_values("label")[fields].to_dict("records")]
+        found = [{k: v for k, v in r.items() if k != "merged_from" or v is not None} for r in found]
+        name = f"{prefix}regions_{stamps['Timestamp'].iloc[0]}.json"
+        return type(stamps)({"name": [name], "content": [json.dumps(found, indent=2).encode()]}) if len(stamps) else type(stamps)({"name": [], "content": []})
 
-    now, held = None, []
-    for row in regions.select("Timestamp", *fields).orderBy("Timestamp", "label").toLocalIterator():
-        if row["Timestamp"] != now and held:
-            save(now, held)
-            held = []
-        now = row["Timestamp"]
-        held.append({k: row[k] for k in fields})
-    if held:
-        save(now, held)
+    made = frames.groupBy("Timestamp").cogroup(regions.select("Timestamp", *fields).groupBy("Timestamp")).applyInPandas(run, "name string, content binary")
+    tiff.write_files(made, folder)
 
 
 def frames(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
@@ -73,6 +73,20 @@ def mask_paths(rows: DataFrame, files: DataFrame, prefix: str) -> DataFrame:
     return out.withColumn("tif_path", F.coalesce("_p1", "_p2")).drop("_a", "_b", "_n1", "_n2", "_p1", "_p2")
 
 
+def read_sea_ice(spark: SparkSession, folder: str, variable: str = "ice_conc") -> DataFrame:
+    """(date, xi, yi, ice_conc) of the classic NetCDF files of a folder, whose names hold the date; decoded on the executors."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.nc").load(folder)
+    files = files.select(F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"(\d{8})", 1).alias("date"), "content").where("date <> ''")
+
+    def run(batches):
+        for batch in batches:
+            for date, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield netcdf.cells(content.as_buffer().to_pybytes(), variable, date)
+
+    return files.mapInArrow(run, "date string, xi long, yi long, ice_conc double")
+
+
 def import_sea_ice(grids: DataFrame, folder: str) -> None:
     """Store daily grids (date, xi, yi, ice_conc) partitioned by date, so that readers open only the days they need."""
     grids.write.mode("overwrite").partitionBy("date").parquet(folder)

@@ -1,7 +1,8 @@
 """The five stages from files to files: detect, extract, identify, physical, export.
 
 Each is one lazy plan from its inputs to its writer; outputs that exist already are skipped where a stage
-works scene by scene. Folders are shared by all executors.
+works scene by scene. Rasters are read by windows, so a row holds no more than a block of a scene, and
+files are written by the executors. Folders are shared by all executors.
 """
 
 from __future__ import annotations
@@ -48,87 +49,142 @@ def detect(spark: SparkSession, input_dir: str, output_dir: str, scorer: Callabl
     return whole.count()
 
 
-def _polygons(spark: SparkSession, path: str, layer: str | None, where: str) -> list[list]:
-    """Polygons of a reference layer, bounded by gpkg.read_layer's limit on rows."""
-    rows = gpkg.read_layer(spark, path, layer).where(where).select("geom_wkb").collect()
-    return [polygon for r in rows if r["geom_wkb"] is not None for polygon in vector.from_wkb(bytes(r["geom_wkb"]))]
+#: Bytes of polygons that are sent along with the tasks; more of them are joined to the tiles that they meet.
+POLYGON_BYTES = 64 << 20
+#: Cells of a window's side where a raster is only read.
+WINDOW = 512
 
 
-def erase_coastline(scenes: DataFrame, polygons: list[list], reach: int = params.DILATION_PIXELS) -> DataFrame:
-    """Scenes with the cells that the polygons touch, grown by a diamond of reach cells, set to 0."""
-    ship(scenes.sparkSession)
-    at = {c: k for k, c in enumerate(scenes.columns)}
+def erased_tile(data: np.ndarray, row0: int, col0: int, transform: list[float], polygons: list[list], reach: int) -> np.ndarray:
+    """A tile with the cells that the polygons touch, grown by a diamond of reach cells, set to 0; row0, col0: its place in the scene."""
+    h, w = data.shape
+    mask = np.zeros((h + 2 * reach, w + 2 * reach), dtype=bool)
+    x0, y0 = transform[2] + transform[0] * (col0 - reach), transform[5] + transform[4] * (row0 - reach)
+    for polygon in polygons:
+        mask |= raster.touched_cells([[((x - x0) / transform[0], (y - y0) / transform[4]) for x, y in ring] for ring in polygon], *mask.shape)
+    hit = raster.manhattan_dilation(mask, reach)[reach : reach + h, reach : reach + w] if mask.any() else mask[:h, :w]
+    return np.where(hit, 0.0, data)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            get = lambda c: batch.column(at[c]).to_pylist()  # noqa: B023, E731
-            made = []
-            for data, h, w, t in zip(get("data"), get("height"), get("width"), get("transform"), strict=True):
-                mask = np.zeros((h, w), dtype=bool)
-                for polygon in polygons:
-                    mask |= raster.touched_cells([[((x - t[2]) / t[0], (y - t[5]) / t[4]) for x, y in ring] for ring in polygon], h, w)
-                hit = raster.manhattan_dilation(mask, reach).ravel() if mask.any() else mask.ravel()
-                made.append([0.0 if z else v for v, z in zip(data, hit, strict=True)])
-            columns = list(batch.columns)
-            columns[at["data"]] = pa.array(made, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return scenes.mapInArrow(run, scenes.schema)
+def _tile_box(reach: int) -> list:
+    """Columns of the box in map coordinates that a tile, grown by reach cells, takes."""
+    t = F.col("transform")
+    xs = [t[2] + t[0] * (F.col("col0") - reach), t[2] + t[0] * (F.col("col0") + F.col("width") + reach)]
+    ys = [t[5] + t[4] * (F.col("row0") - reach), t[5] + t[4] * (F.col("row0") + F.col("height") + reach)]
+    return [F.least(*xs).alias("bx0"), F.least(*ys).alias("by0"), F.greatest(*xs).alias("bx1"), F.greatest(*ys).alias("by1")]
+
+
+def erase_polygons(tiles: DataFrame, polygons: DataFrame, reach: int = params.DILATION_PIXELS, most_bytes: int = POLYGON_BYTES) -> DataFrame:
+    """Tiles (row0, col0, height, width, transform, data) without the cells that polygons (geom_wkb, box) touch, or near them."""
+    spark = tiles.sparkSession
+    ship(spark)
+    at = {c: k for k, c in enumerate(tiles.columns)}
+    few = polygons.agg(F.sum(F.octet_length("geom_wkb"))).first()[0] or 0
+    shape = lambda wkb: vector.from_wkb(bytes(wkb))
+
+    def cleaned(batch: pa.RecordBatch, found: list[list]) -> pa.RecordBatch:
+        columns = list(batch.columns)
+        get = lambda c: batch.column(at[c]).to_pylist()
+        made = []
+        for k, (r, c, h, w, t) in enumerate(zip(*map(get, ("row0", "col0", "height", "width", "transform")), strict=True)):
+            data = batch.column(at["data"])[k].values
+            held = erased_tile(data.fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(h, w), r, c, t, found[k], reach).ravel()
+            made.append(pa.array(held, mask=np.isnan(held)))
+        columns[at["data"]] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.concat_arrays(made))
+        return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    if few <= most_bytes:
+        sent = [polygon for r in polygons.where("geom_wkb is not null").select("geom_wkb").collect() for polygon in shape(r["geom_wkb"])]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield cleaned(batch, [sent] * batch.num_rows)
+
+        return tiles.mapInArrow(run, tiles.schema)
+    # tiles and polygons meet in cells of a grid as wide as a tile
+    held = Scratch(spark, "erase").keep(tiles.withColumn("tile", F.monotonically_increasing_id()), "tiles")
+    boxes = held.select("tile", *_tile_box(reach))
+    side = boxes.agg(F.max(F.greatest(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0")))).first()[0] or 1.0
+    over = lambda low, high: F.explode(F.sequence(F.floor(low / side), F.floor(high / side)))
+    boxes = boxes.withColumn("gx", over(F.col("bx0"), F.col("bx1"))).withColumn("gy", over(F.col("by0"), F.col("by1")))
+    areas = polygons.where("geom_wkb is not null").withColumn("gx", over(F.col("min_x"), F.col("max_x"))).withColumn("gy", over(F.col("min_y"), F.col("max_y")))
+    met = boxes.join(areas, ["gx", "gy"]).where("min_x <= bx1 and bx0 <= max_x and min_y <= by1 and by0 <= max_y").select("tile", "geom_wkb").distinct()
+
+    def erase(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [polygon for wkb in right.column("geom_wkb").to_pylist() for polygon in shape(wkb)]
+        batches = left.select(tiles.columns).combine_chunks().to_batches()
+        return pa.Table.from_batches([cleaned(b, [found] * b.num_rows) for b in batches], schema=None) if batches else left.select(tiles.columns)
+
+    return held.groupBy("tile").cogroup(met.groupBy("tile")).applyInArrow(erase, tiles.schema)
 
 
 def extract(spark: SparkSession, mask_dir: str, output_dir: str, coastline: str | None = None, layer: str | None = None, p: params.Extract = params.Extract()) -> int:
     """Region files and label rasters of all masks; returns the number of frames.
 
-    With a coastline its masked surfaces are erased first, and outputs are named coastline_*, else raw_*.
+    Masks are read, erased and labelled by p.block_rows x p.block_cols blocks, whose components are joined
+    over their borders; the result doesn't depend on the blocks. With a coastline its masked surfaces are erased first, and outputs are named coastline_*, else raw_*.
     Labels run from 1 in the order of a component's first cell. Scenes without a positive cell make no
     files; those of which no component is large enough make an empty region file.
     """
     prefix = "coastline_" if coastline else "raw_"
-    masks = tiff.read_scenes(spark, _url(mask_dir), "*_mask.tif", recursive=bool(coastline))
+    blocks = tiff.blocks_of(p.block_rows, p.block_cols)
+    masks = tiff.read_scenes(spark, _url(mask_dir), "*_mask.tif", recursive=bool(coastline), windows=blocks)
     is_byte = F.col("dtype").isin("uint8", "int8")
+    done = [(f.removeprefix(f"{prefix}regions_").removesuffix(".json"),) for f in (os.listdir(_plain(output_dir)) if os.path.isdir(_plain(output_dir)) else []) if f.startswith(f"{prefix}regions_")]
+    wanted = tiff.listed(spark, _url(mask_dir), "*_mask.tif", bool(coastline)).where("Timestamp is not null").groupBy("Timestamp").agg(F.min("path").alias("path"))
+    wanted = wanted.join(spark.createDataFrame(done, "Timestamp string"), "Timestamp", "left_anti")
+    masks = masks.join(wanted, ["Timestamp", "path"], "left_semi")
     if coastline:
         surfaces = ", ".join(f"'{s}'" for s in params.MASKED_SURFACES)
-        polygons = _polygons(spark, coastline, layer, f"surface in ({surfaces})")
-        if not polygons:
+        polygons = gpkg.read_layer(spark, coastline, layer, polar=True).where(f"surface in ({surfaces})")
+        if polygons.isEmpty():
             raise ValueError("no masked surface in the coastline")
-        masks = erase_coastline(masks, polygons)
+        masks = erase_polygons(masks, polygons)
     flag = F.transform("data", lambda v: raster.positive(v, is_byte))
-    done = [(f.removeprefix(f"{prefix}regions_").removesuffix(".json"),) for f in (os.listdir(_plain(output_dir)) if os.path.isdir(_plain(output_dir)) else []) if f.startswith(f"{prefix}regions_")]
-    masks = masks.join(spark.createDataFrame(done, "Timestamp string"), "Timestamp", "left_anti").dropDuplicates(["Timestamp"])
     scratch = Scratch(spark, "extract")
-    tiles = scratch.keep(masks.select("Timestamp", F.col("Timestamp").alias("scene_id"), "row0", "col0", "height", "width", "transform", flag.alias("data")).where(F.exists("data", lambda v: v)), "tiles")
-    cells = scratch.keep(labels.labelled(tiles, ["Timestamp"]).drop("scene_id"), "cells")
+    place = ["Timestamp", "image_height", "image_width", "transform"]
+    tiles = masks.select(*place, F.col("Timestamp").alias("scene_id"), "row0", "col0", "height", "width", flag.alias("data"))
+    tiles = scratch.keep(tiles.where(F.exists("data", lambda v: v)), "tiles")
+    scenes = scratch.keep(tiles.groupBy("Timestamp").agg(*[F.first(c).alias(c) for c in place[1:]]), "scenes")
+    cells = labels.merged(labels.labelled(tiles, ["Timestamp"], "image_width", rim=True).drop("scene_id"), ["Timestamp"])
+    cells = scratch.keep(cells, "cells")
     stats = labels.region_stats(cells, ["Timestamp"], p.min_area)
     order = F.row_number().over(Window.partitionBy("Timestamp").orderBy("old"))
-    stats = stats.join(tiles.select("Timestamp", "transform"), "Timestamp").withColumnsRenamed({"label": "old"}).withColumn("label", order.cast("bigint"))
+    stats = stats.join(scenes.select("Timestamp", "transform"), "Timestamp").withColumnsRenamed({"label": "old"}).withColumn("label", order.cast("bigint"))
     stats = scratch.keep(stats, "stats")
-    t = F.col("transform")
-    x, y = scalar.pixel_x(t[0], t[1], t[2], F.col("cy"), F.col("cx")), scalar.pixel_x(t[3], t[4], t[5], F.col("cy"), F.col("cx"))
-    records = stats.select(
-        "Timestamp", F.col("area").cast("double").alias("area"), F.array("cx", "cy").alias("pixel_centroid"), F.array(x, y).alias("geo_centroid"), "label",
-        F.array(*[F.col(c).cast("double") for c in ("left", "top", "width", "height")]).alias("bbox"), scalar.unique_id(F.col("Timestamp"), F.col("label")).alias("unique_id"),
-        F.lit(None).cast("array<bigint>").alias("merged_from"),
-    )
-    tables.write_regions(records, _plain(output_dir), prefix)
-    for row in tiles.join(stats, "Timestamp", "left_anti").select("Timestamp").collect():  # frames without a region
-        with open(os.path.join(_plain(output_dir), f"{prefix}regions_{row['Timestamp']}.json"), "w", encoding="utf-8") as f:
-            f.write("[]")
+    tables.write_regions(labels.region_records(stats, "Timestamp"), _plain(output_dir), prefix, scenes)
     numbers = cells.withColumnRenamed("label", "old").join(stats.select("Timestamp", "old", "label"), ["Timestamp", "old"])
-    placed = numbers.groupBy("Timestamp").agg(F.collect_list(F.struct("row", "col", "label")).alias("cells"), F.max("label").alias("n"))
-    rasters = tiles.select("Timestamp", "height", "width", "transform").join(placed, "Timestamp", "left")
-    by_cell = F.map_from_entries(F.coalesce(F.transform("cells", lambda c: F.struct((c["row"] * F.col("width") + c["col"]).alias("k"), c["label"].alias("v"))), F.array().cast("array<struct<k:int,v:bigint>>")))
-    filled = rasters.withColumn("m", by_cell).withColumn("data", F.expr("transform(sequence(0, height * width - 1), i -> coalesce(try_element_at(m, i), 0L))"))
-    named = filled.withColumn("name", F.concat(F.lit(f"{prefix}labeled_mask_"), "Timestamp", F.lit(".tif")))
-    for dtype in ("uint16", "uint32"):
-        tiff.write_scenes(named.where(scalar.label_type(F.coalesce("n", F.lit(0))) == dtype), _plain(output_dir), dtype, compress=True, predictor=2)
-    return tiles.count()
+
+    def filled(scene: pa.Table, found: pa.Table) -> pa.Table:
+        """The label raster of one scene."""
+        if not scene.num_rows:
+            return pa.table({"name": pa.array([], pa.string()), "content": pa.array([], pa.binary())})
+        stamp, h, w, t = (scene.column(c)[0].as_py() for c in place)
+        label = found.column("label").to_numpy()
+        data = np.zeros((h, w), dtype=np.uint16 if not len(label) or label.max() <= 65535 else np.uint32)
+        data[found.column("row").to_numpy(), found.column("col").to_numpy()] = label
+        content = tiff.encode(tiff.Raster(data, tuple(t), 3031, 0), True, 2)
+        return pa.table({"name": pa.array([f"{prefix}labeled_mask_{stamp}.tif"]), "content": pa.array([content], pa.binary())})
+
+    made = scenes.groupBy("Timestamp").cogroup(numbers.select("Timestamp", "row", "col", "label").groupBy("Timestamp")).applyInArrow(filled, "name string, content binary")
+    tiff.write_files(made, _plain(output_dir))
+    return scenes.count()
 
 
 def label_cells(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
-    """(Timestamp, scene_id, row, col, label, height, width, transform) of the label rasters' positive cells."""
-    scenes = tiff.read_scenes(spark, _url(folder), f"{prefix}labeled_mask_*.tif", recursive=False)
-    cells = scenes.select("Timestamp", "height", "width", "transform", F.posexplode("data").alias("i", "v")).where("v > 0")
-    return cells.select("Timestamp", F.col("Timestamp").alias("scene_id"), F.expr("cast(i div width as int)").alias("row"), F.expr("cast(i % width as int)").alias("col"), F.col("v").cast("bigint").alias("label"), "height", "width", "transform")
+    """(Timestamp, scene_id, row, col, label, height, width, transform) of the label rasters' positive cells.
+
+    A timestamp without a raster of this prefix has the one without any.
+    """
+    names = lambda files: files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "Timestamp")
+    files = names(tiff.listed(spark, _url(folder), "*labeled_mask_*.tif", recursive=False)).where("Timestamp is not null")
+    paths = tables.mask_paths(files.select("Timestamp").distinct(), files.select("name", "path"), prefix)
+    tiles = tiff.read_scenes(spark, _url(folder), "*labeled_mask_*.tif", recursive=False, windows=tiff.windows_of(WINDOW))
+    tiles = tiles.join(paths.select(F.col("tif_path").alias("path")).where("path is not null"), "path", "left_semi")
+    cells = tiles.select("Timestamp", "row0", "col0", "width", "image_height", "image_width", "transform", F.posexplode("data").alias("i", "v")).where("v > 0")
+    row, col = F.expr("cast(row0 + i div width as int)"), F.expr("cast(col0 + i % width as int)")
+    return cells.select("Timestamp", F.col("Timestamp").alias("scene_id"), row.alias("row"), col.alias("col"), F.col("v").cast("bigint").alias("label"), F.col("image_height").alias("height"), F.col("image_width").alias("width"), "transform")
 
 
 def _prefix(folder: str) -> str:
@@ -170,52 +226,98 @@ def identify(spark: SparkSession, folder: str, output_csv: str, p: params.Identi
     return tables.read_table(spark, _url(output_csv))
 
 
+#: Side in metres, and corner, of the polar cells that a bathymetry in degrees is resampled to.
+BED_STEP, BED_CORNER = 500.0, 4.0e6
+
+
+def with_depth(spark: SparkSession, obs: DataFrame, path: str) -> DataFrame:
+    """obs with Bed_Depth from a GeoTIFF in polar metres, or in degrees, resampled where there are observations; read by windows on the executors."""
+    tiles = tiff.read_raster(spark, _url(path), tiff.windows_of(WINDOW))
+    head = tiles.select("transform", "epsg").first()
+    a, _, c, _, e, f = head["transform"]
+    cells = tiles.select("row0", "col0", "width", F.posexplode("data").alias("i", "depth")).select(F.expr("row0 + i div width").cast("long").alias("row"), F.expr("col0 + i % width").cast("long").alias("col"), "depth")
+    if head["epsg"] != 4326:
+        return qc.grid_sample(obs, cells, c, f, a)
+    places = obs.select(F.floor((F.lit(BED_CORNER) - F.col("Geo_Y")) / BED_STEP).cast("int").alias("row"), F.floor((F.col("Geo_X") + BED_CORNER) / BED_STEP).cast("int").alias("col")).distinct()
+    grid = raster.warped(cells, (c + a / 2, f + e / 2, a, e), (-BED_CORNER, BED_CORNER, BED_STEP), 0, 0, cells=places)
+    return qc.grid_sample(obs, grid, -BED_CORNER, BED_CORNER, BED_STEP)
+
+
 def physical(spark: SparkSession, tracks_csv: str, folder: str, output_csv: str, bathymetry: str | None = None, sea_ice: str | None = None, sic_grid: tuple[float, float, float] = (-3950.0, -3950.0, 10.0), p: params.Physical = params.Physical(), overwrite: bool = False) -> DataFrame:
     """Quality-controlled observations, written as a folder with one CSV, unless that exists; returns them.
 
-    bathymetry: a GeoTIFF in polar metres. sea_ice: a folder of sources.tables.import_sea_ice, with the
-    first node and step of its grid in kilometres. What is missing counts as 0, as an unreadable source.
+    bathymetry: a GeoTIFF in polar metres or in degrees. sea_ice: a folder of sources.tables.import_sea_ice,
+    or of classic NetCDF files, with the first node and step of its grid in kilometres. What is missing counts as 0, as an unreadable source.
     """
     if os.path.exists(_plain(output_csv)) and not overwrite:
         return tables.read_table(spark, _url(output_csv), schemas.QC)
     obs = qc.min_epochs(tables.read_table(spark, _url(tracks_csv))).select("Track_ID", "Timestamp", "Geo_X", "Geo_Y", "Unique_ID")
     by_label = raster.label_areas(label_cells(spark, folder, _prefix(folder)), ["Timestamp"])
     obs = qc.without_small(qc.with_position(qc.areas(obs, by_label)), p.min_pixels)
-    if bathymetry:
-        with open(_plain(bathymetry), "rb") as f:
-            head = tiff.decode(f.read())
-        grid = spark.createDataFrame([(r, c, float(head.data[r, c]) if head.data[r, c] != head.nodata else None) for r in range(head.data.shape[0]) for c in range(head.data.shape[1])], "row long, col long, depth double")
-        obs = qc.grid_sample(obs, grid, head.transform[2], head.transform[5], head.transform[0])
+    obs = with_depth(spark, obs, bathymetry) if bathymetry else obs.withColumn("Bed_Depth", F.lit(0.0))
+    if sea_ice:
+        classic = any(n.endswith(".nc") for n in os.listdir(_plain(sea_ice)))
+        ice = tables.read_sea_ice(spark, _url(sea_ice)) if classic else spark.read.parquet(_url(sea_ice)).withColumn("date", F.col("date").cast("string"))
+        obs = qc.sea_ice(obs, ice, *sic_grid)
     else:
-        obs = obs.withColumn("Bed_Depth", F.lit(0.0))
-    obs = qc.sea_ice(obs, spark.read.parquet(_url(sea_ice)).withColumn("date", F.col("date").cast("string")), *sic_grid) if sea_ice else obs.withColumn("SIC_Value", F.lit(0.0))
+        obs = obs.withColumn("SIC_Value", F.lit(0.0))
     out = qc.projected(qc.without_bad(qc.flagged(obs, p), p.min_bad_frames), schemas.names(schemas.QC))
     tables.write_table(out.orderBy("Track_ID", "Timestamp"), _url(output_csv), single=True)
     return tables.read_table(spark, _url(output_csv), schemas.QC)
 
 
-def export(spark: SparkSession, qc_csv: str, folder: str, output: str, fast_ice: str | None = None, orbit: str = "Unknown", p: params.Export = params.Export()) -> DataFrame:
-    """Features of all tracks as a GeoPackage, one layer, and with fast ice one per status beside it; returns them."""
-    prefix = _prefix(folder)
-    scratch = Scratch(spark, "export")
+def _orbit_features(spark: SparkSession, qc_csv: str, folder: str, orbit: str, origin: list, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features of one orbit, their polygons and their cells on the grid that begins at origin's corner (that of the first orbit)."""
     obs = tables.read_table(spark, _url(qc_csv), schemas.QC).withColumn("Orbit", F.lit(orbit))
     obs = summary.completed(summary.canonical(obs)).withColumn("event_id", F.xxhash64("Unique_ID"))
-    cells = scratch.keep(label_cells(spark, folder, prefix), "cells")
+    name = f"{len(origin)}-"
+    cells = scratch.keep(label_cells(spark, folder, _prefix(folder)), f"{name}cells")
     grid = cells.select("height", "width", "transform").first()
     shape = (grid["height"], grid["width"], tuple(grid["transform"]))
+    t = shape[2]
+    origin.append(t)
+    first = origin[0]
+    shift = ((t[5] - first[5]) / first[4], (t[2] - first[2]) / first[0])
+    if (t[0], t[4]) != (first[0], first[4]) or any(abs(x - round(x)) > 1e-6 for x in shift):
+        raise ValueError(f"the cells of orbit {orbit} don't lie on those of the first orbit")
     feats = summary.features(obs).join(qc.with_position(obs).select("Unique_ID", "Latitude", "Longitude"), "Unique_ID")
     placed = vector.geometry_status(feats.select("Unique_ID", F.col("Timestamp").alias("scene_id"), F.col("Easting_3031").alias("Geo_X"), F.col("Northing_3031").alias("Geo_Y")), cells, *shape)
-    good = scratch.keep(placed.where("status = 'Success'").select("Unique_ID", "scene_id", "label"), "good")
-    mine = scratch.keep(cells.join(good, ["scene_id", "label"]).select("Unique_ID", F.lit(1).alias("grid"), "row", "col", F.lit(1).alias("label")), "mine")
-    traced = vector.traced(mine.select("Unique_ID", "row", "col", "label"), ["Unique_ID"], shape[2]).select("Unique_ID", "geom_wkb")
-    sizes = mine.groupBy("grid", "Unique_ID").agg(F.count("*").alias("area")).join(feats.select("Unique_ID", "Area_Mean_km2"), "Unique_ID")
-    ranked = vector.deduplicated(sizes, vector.cell_overlaps(mine, ["grid"], "Unique_ID"), ["grid"], "Unique_ID", "Area_Mean_km2", p.overlap_threshold)
-    kept = summary.with_geometry(feats, traced).join(ranked.where("not dropped").select("Unique_ID"), "Unique_ID", "left_semi")
+    good = scratch.keep(placed.where("status = 'Success'").select("Unique_ID", "scene_id", "label"), f"{name}good")
+    mine = scratch.keep(cells.join(good, ["scene_id", "label"]).select("Unique_ID", "row", "col", F.lit(1).alias("label")), f"{name}mine")
+    traced = vector.traced(mine, ["Unique_ID"], t).select("Unique_ID", "geom_wkb")
+    key = F.concat_ws("/", F.lit(orbit), "Unique_ID").alias("key")
+    shared = mine.select(key, (F.col("row") + round(shift[0])).alias("row"), (F.col("col") + round(shift[1])).alias("col"))
+    return summary.with_geometry(feats, traced).withColumn("key", F.concat_ws("/", "Orbit", "Unique_ID")), shared, cells
+
+
+def export(spark: SparkSession, qc_csv: str | dict[str, str], folder: str | dict[str, str], output: str, fast_ice: str | None = None, orbit: str = "Unknown", p: params.Export = params.Export()) -> DataFrame:
+    """Features of all tracks as a GeoPackage, one layer, and with fast ice one per status beside it; returns them.
+
+    qc_csv and folder: one path each, or several by orbit; each orbit's features are written to a table
+    partitioned by orbit before duplicates are removed over all of them.
+    """
+    tables_of = qc_csv if isinstance(qc_csv, dict) else {orbit: qc_csv}
+    scratch, origin = Scratch(spark, "export"), []
+    found = [_orbit_features(spark, path, folder[name] if isinstance(folder, dict) else folder, name, origin, scratch) for name, path in tables_of.items()]
+    by_orbit = f"{scratch.folder}/by-orbit"
+    for feats, _, _ in found:  # a few orbits
+        feats.write.mode("append").partitionBy("Orbit").parquet(by_orbit)
+    feats = spark.read.schema(summary.unioned([x for x, _, _ in found]).schema).parquet(by_orbit)
+    mine = scratch.keep(summary.unioned([x for _, x, _ in found]).withColumn("grid", F.lit(1)), "mine")
+    sizes = mine.groupBy("grid", "key").agg(F.count("*").alias("area")).join(feats.select("key", "Area_Mean_km2"), "key")
+    ranked = vector.deduplicated(sizes, vector.cell_overlaps(mine, ["grid"], "key"), ["grid"], "key", "Area_Mean_km2", p.overlap_threshold, one_group=True)
+    kept = feats.join(ranked.where("not dropped").select("key"), "key", "left_semi")
     if fast_ice:
-        ice = gpkg.read_layer(spark, fast_ice).where(F.col("class_id") == params.FAST_ICE_CLASS)
-        covered = raster.polygon_cells(ice, [], *shape).groupBy("row", "col").agg(F.min("crossed").alias("crossed"))
-        met = mine.join(covered, ["row", "col"], "left").groupBy("Unique_ID").agg((F.count("crossed") > 0).alias("meets"), (F.count_if(~F.col("crossed")) == F.count("*")).alias("covered"))
-        kept = kept.join(met, "Unique_ID").withColumn("Fast_Ice_Overlap_Status", vector.status_of(F.col("meets"), F.col("covered"))).drop("meets", "covered")
+        ice = gpkg.read_layer(spark, fast_ice, polar=True).where(F.col("class_id") == params.FAST_ICE_CLASS)
+        # cells of the layer on a grid that holds all features
+        ends = mine.agg(F.min("row"), F.min("col"), F.max("row"), F.max("col")).first()
+        top, left, low, right = (x or 0 for x in ends)
+        t = origin[0]
+        moved = (t[0], t[1], t[2] + t[0] * left, t[3], t[4], t[5] + t[4] * top)
+        covered = raster.polygon_cells(ice, [], low - top + 1, right - left + 1, moved).groupBy("row", "col").agg(F.min("crossed").alias("crossed"))
+        covered = covered.select((F.col("row") + top).alias("row"), (F.col("col") + left).alias("col"), "crossed")
+        met = mine.join(covered, ["row", "col"], "left").groupBy("key").agg((F.count("crossed") > 0).alias("meets"), (F.count_if(~F.col("crossed")) == F.count("*")).alias("covered"))
+        kept = kept.join(met, "key").withColumn("Fast_Ice_Overlap_Status", vector.status_of(F.col("meets"), F.col("covered"))).drop("meets", "covered")
     wanted = [*schemas.names(schemas.FEATURES), "Fast_Ice_Overlap_Status"]
     final = scratch.keep(qc.projected(kept, wanted), "final")
     if fast_ice:

@@ -291,7 +291,7 @@ def test_layers_through_files(spark, tmp_path):
 
 def test_region_and_track_files(spark, tmp_path):
     stats = spark.createDataFrame([("20240102T030405", 7, 4, 1.5, 2.5, 1, 2, 2, 2), ("20240102T030405", 3, 5, 1.0, 2.0, 1, 2, 2, 2)], "Timestamp string, label long, area long, cx double, cy double, left int, top int, width int, height int")
-    records = labels.region_records(stats, "Timestamp", 10.0, -10.0, 0.0, 100.0).withColumn("Timestamp", F.lit("20240102T030405"))
+    records = labels.region_records(stats.withColumn("transform", F.array(*map(F.lit, (10.0, 0.0, 0.0, 0.0, -10.0, 100.0)))), "Timestamp")
     tables.write_regions(records, str(tmp_path / "r"), "raw_")
     back = tables.read_regions(spark, f"file://{tmp_path}/r", "raw_").orderBy("label").collect()
     assert [(r.label, r.area, r.geo_centroid, r.unique_id, r.merged_from) for r in back] == [(3, 5.0, [15.0, 75.0], "20240102T030405_region_3", None), (7, 4.0, [20.0, 70.0], "20240102T030405_region_7", None)]
