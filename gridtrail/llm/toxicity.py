@@ -1,9 +1,12 @@
 """Toxicity of texts whose words may be disguised: noisy-channel restoring, then a learnt lexicon.
 
-Method. Spans that look disguised (digits or signs inside words, letters three times in a row, single
-letters set apart by any short run of other characters) are found by numpy over the bytes of a batch. Each is a lattice of letters that may
+Method. Invisible characters inside words go, and letters of other scripts that look like Latin ones count
+as these in words that also hold Latin ones. Spans that look disguised (digits or signs inside words, letters
+three times in a row, single letters set apart by any short run of other characters, words with a sign
+between two letters) are found by numpy over the bytes of a batch. Each is a lattice of letters that may
 stand behind its characters; Viterbi decoding under a character trigram model picks the likeliest
-letters, and the restored text is scored. A word with doubled letters also counts as the lexicon entry
+letters, and the restored text is scored. A star inside a word may stand for any letter; a word parted by
+another sign is also read whole, where the model finds that likelier. A word with doubled letters also counts as the lexicon entry
 that it holds without the doubling, where the model finds that likelier. The character model counts the trigrams of all texts. The
 lexicon (whole words, and beginnings of words, written with ``*``) and the weights of a logistic model
 are learnt from a bounded sample of labelled rows; entries are judged by the different contexts they
@@ -49,8 +52,13 @@ APART = " .-_*"
 #: Bytes between single letters that are read as one word, at most; texts of a batch are set further apart.
 MOST_GAP = 8
 SEPARATOR = b"\n" * (MOST_GAP + 2)
-#: Log costs of the channel: a sign for a letter, one letter for a doubled one.
-SIGN_COST, HALF_COST = -1.0, -2.0
+#: Log costs of the channel: a sign for a letter, one letter for a doubled one, a star for any letter.
+SIGN_COST, HALF_COST, STAR_COST = -1.0, -2.0, -3.0
+#: Signs that may part a word, with a letter at either side.
+PARTING = "._,:*"
+#: Letters that look like a Latin one, and characters that can't be seen: fixed values.
+LOOKS_LIKE = dict(zip("аеорсухіјѕԁһӏԛԝɡıοαειν", "aeopcyxijsdhlqwgioaeiv", strict=True))
+UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[97:123] = np.arange(1, 27)
@@ -64,6 +72,8 @@ _SIGN[[ord(c) for c in STANDS_FOR]] = True
 #: Signs that don't count at a word's end, where they are punctuation.
 _INNER = np.zeros(256, dtype=bool)
 _INNER[[ord(c) for c in "!|$("]] = True
+_PARTING = np.zeros(256, dtype=bool)
+_PARTING[[ord(c) for c in PARTING]] = True
 _APART = np.zeros(256, dtype=bool)
 _APART[[ord(c) for c in APART]] = True
 _WORDLIKE = _LETTER.copy()
@@ -106,6 +116,27 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(counts / counts.sum(axis=2, keepdims=True))
 
 
+_LIKE = "".join(LOOKS_LIKE)
+_ODD = re.compile(f"[{UNSEEN}{_LIKE}{_LIKE.upper()}\uff21-\uff3a\uff41-\uff5a]")
+_MIXED = re.compile(rf"\w*[{_LIKE}{_LIKE.upper()}\uff21-\uff3a\uff41-\uff5a]\w*", re.I)
+_HIDDEN = re.compile(rf"(?<=\w)[{UNSEEN}]+(?=\w)")
+_LATIN = re.compile("[A-Za-z]")
+_TO_LATIN = str.maketrans({**LOOKS_LIKE, **{k.upper(): v.upper() for k, v in LOOKS_LIKE.items() if len(k.upper()) == 1 and k.upper() not in "I"}})
+_NARROW = str.maketrans({chr(0xFEE0 + k): chr(k) for r in (range(65, 91), range(97, 123)) for k in r})
+
+
+def unmasked(text: str) -> str:
+    """The text without invisible characters inside words, look-alikes in words with Latin letters as these, wide letters as narrow ones."""
+    if not _ODD.search(text):
+        return text
+
+    def word(m: re.Match) -> str:
+        narrow = m[0].translate(_NARROW)
+        return narrow.translate(_TO_LATIN) if _LATIN.search(narrow) else narrow
+
+    return _MIXED.sub(word, _HIDDEN.sub("", text))
+
+
 def spans(data: np.ndarray) -> list[tuple[int, int]]:
     """Byte ranges of an array of bytes that look disguised, in order and apart."""
     letter, sign = _LETTER[data], _SIGN[data]
@@ -117,10 +148,13 @@ def spans(data: np.ndarray) -> list[tuple[int, int]]:
     low = data | 32
     marks[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
     solid = letter | sign
+    parting = np.zeros(len(data), dtype=bool)
+    parting[1:-1] = _PARTING[data[1:-1]] & letter[:-2] & letter[2:]
+    marks |= parting
     out = []
     hits = np.flatnonzero(marks)
     if len(hits):
-        gaps = np.flatnonzero(~solid)
+        gaps = np.flatnonzero(~(solid | parting))
         before = np.searchsorted(gaps, hits)
         starts = np.where(before > 0, gaps[np.maximum(before - 1, 0)] + 1, 0) if len(gaps) else np.zeros(len(hits), int)
         stops = np.where(before < len(gaps), gaps[np.minimum(before, len(gaps) - 1)], len(data)) if len(gaps) else np.full(len(hits), len(data))
@@ -154,9 +188,9 @@ def spans(data: np.ndarray) -> list[tuple[int, int]]:
     return merged
 
 
-def decode(span: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a span: Viterbi over the last two letter classes."""
-    chars = [c for c in span.lower() if c not in APART]
+def decode(span: str, model: np.ndarray, star: bool = False) -> str:
+    """The likeliest letters behind a span: Viterbi over the last two letter classes; star: a star is any letter."""
+    chars = [c for c in span.lower() if c not in APART or (star and c == "*")]
     while chars and chars[-1] in "!|$(":
         chars.pop()
     groups: list[list] = []
@@ -167,11 +201,11 @@ def decode(span: str, model: np.ndarray) -> str:
             groups.append([c, 1])
     best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for c, n in groups:
-        options = STANDS_FOR.get(c, c if "a" <= c <= "z" else "")
+        options = "abcdefghijklmnopqrstuvwxyz" if c == "*" else STANDS_FOR.get(c, c if "a" <= c <= "z" else "")
         step: dict[tuple[int, int], tuple[float, tuple]] = {}
         for letter in options or "\0":
             k = ord(letter) - 96 if letter != "\0" else 0
-            cost = SIGN_COST if c in STANDS_FOR else 0.0
+            cost = STAR_COST if c == "*" else SIGN_COST if c in STANDS_FOR else 0.0
             for copies in (1, 2) if n > 1 and k else (1,):
                 for (x, y), (score, path) in best.items():
                     total, p, q = score + cost * copies + (HALF_COST if n == 2 and copies == 1 else 0.0), x, y
@@ -214,10 +248,28 @@ def words_apart(span: str) -> list[str]:
     return words if len(words) == 1 else [*words, "".join(words)]
 
 
+_PARTED = re.compile(rf"[a-z]+(?:[{PARTING}][a-z]+)+", re.I)
+
+
+def read(span: str, model: np.ndarray) -> str:
+    """The words that a span may spell."""
+    words = words_apart(span)
+    if words:
+        return " ".join(decode(w, model) for w in words)
+    if not _PARTED.fullmatch(span):
+        return decode(span, model)
+    if "*" in span:
+        return f"{span} {decode(span, model, star=True)}"
+    parts = re.split(f"[{PARTING}]", span.lower())
+    joined = "".join(parts)
+    return f"{span} {joined}" if likelihood(joined, model) > sum(likelihood(p, model) for p in parts) else span
+
+
 def restore(text: str | None, model: np.ndarray) -> str:
     """The text with its disguised spans decoded; others stay as they are."""
     if not text:
         return ""
+    text = unmasked(text)
     raw = text.encode("utf-8", "surrogatepass")
     found = spans(np.frombuffer(raw, dtype=np.uint8))
     if not found:
@@ -225,7 +277,7 @@ def restore(text: str | None, model: np.ndarray) -> str:
     out, at = [], 0
     for a, b in found:
         span = raw[a:b].decode("latin-1")
-        out += [raw[at:a], " ".join(decode(w, model) for w in words_apart(span) or [span]).encode()]
+        out += [raw[at:a], read(span, model).encode()]
         at = b
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
@@ -233,12 +285,13 @@ def restore(text: str | None, model: np.ndarray) -> str:
 def _restored(texts: list, model: np.ndarray) -> Iterator[str]:
     """restore() of each text; the spans of many short texts are looked for at once."""
     for a, b in batches(texts, CHUNK):
-        raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts[a:b]]
+        shown = [unmasked(t) if t else "" for t in texts[a:b]]
+        raw = [t.encode("utf-8", "surrogatepass") for t in shown]
         stops = np.cumsum([len(r) + len(SEPARATOR) for r in raw])
         found = spans(np.frombuffer(SEPARATOR.join(raw) + SEPARATOR, dtype=np.uint8))
         odd = set(np.searchsorted(stops, [x for x, _ in found], side="right").tolist())
-        for k, t in enumerate(texts[a:b]):
-            yield restore(t, model) if k in odd else t or ""
+        for k, t in enumerate(shown):
+            yield restore(t, model) if k in odd else t
 
 
 _WORD = re.compile(r"[^\W\d_]+")

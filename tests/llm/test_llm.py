@@ -520,6 +520,16 @@ def test_channel_restores_letters_far_apart(spark):
     assert list(toxicity._restored(many, model)) == [toxicity.restore(t, model) for t in many]
 
 
+def test_channel_sees_through_look_alikes_and_parted_words(spark):
+    _, model = channel(spark)
+    for shown in ("idi\u043et", "id\u200biot", "\u0131d\u0131ot", "idi*t", "id.iot", "i\u00addiot", "\uff49\uff44iot", "i*iot"):
+        assert "idiot" in toxicity.restore(f"oak {shown} pine", model).split(), shown
+    for plain in ("слово оно", "maple.oak oak,pine", "file name.txt at 3.5 or 10:30", "été"):
+        assert toxicity.restore(plain, model) == plain
+    many = ["oak idi\u043et", "l", "id.iot", None]
+    assert list(toxicity._restored(many, model)) == [toxicity.restore(t, model) for t in many]
+
+
 def test_doubled_letters_count_as_the_word_meant(spark):
     _, model = channel(spark)
     scorer = toxicity.Scorer(["idiot", "stupid", "idio*", "nettle"], np.ones(4), -3.0, model)
