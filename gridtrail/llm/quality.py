@@ -3,11 +3,13 @@
 Method. A text becomes a vector of measures (shares of kinds of characters, word shapes, repeated
 words and runs of words), taken by numpy over the bytes of a batch. From a bounded sample of labelled
 rows, pairs of a good and a bad text are drawn; the logistic loss of the score difference, a linear
-function of the feature difference, is minimised. The threshold is the quantile of the sample's scores
-that parts the labels best, and scores are given as the logistic of their distance from it.
+function of the feature difference, is minimised. The threshold is a quantile of the sample's scores:
+``quantile``, where it is given, else the one that parts the labels best. Scores are given as the logistic of
+their distance from it, in a scale that is fitted to the labels (Platt's smoothed targets).
 
 Defined results. Null, empty and blank texts have zeros for all measures and are scored like others.
-Repeated rows are all scored; columns but id and text aren't read. Without labels of both classes every
+Texts of any length are measured whole. Repeated rows are all scored; columns but id and text aren't read, so
+their names can't clash. An empty table gives no rows. Without labels of both classes every
 score is the share of good labels (0.5 if there are none).
 """
 
@@ -114,7 +116,21 @@ def basis(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.maximum(x - 1, 0), np.maximum(-1 - x, 0)], axis=1)
 
 
-def learn(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Ranker:
+def steepness(z: np.ndarray, y: np.ndarray) -> float:
+    """The slope of a logistic in z that fits the labels, whose targets are drawn in a little so that it stays finite."""
+    good, bad = (y == 1).sum(), (y == 0).sum()
+    aim = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
+    a = 1.0 / max(float(np.std(z)), 1e-9)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * z, -50, 50)))
+        step = float(((aim - p) * z).sum() / max(float((p * (1 - p) * z * z).sum()), 1e-12))
+        a = min(max(a + step, a / 4), a * 4)
+        if abs(step) < 1e-6 * a:
+            break
+    return a
+
+
+def learn(x: np.ndarray, y: np.ndarray, seed: int = 5, quantile: float | None = None) -> Ranker:
     """Fit the ranking on measures x with labels y (1: good)."""
     rng = np.random.default_rng(seed)
     centre, spread = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)) if len(x) else (np.zeros(len(MEASURES)), np.ones(len(MEASURES)))
@@ -138,13 +154,15 @@ def learn(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Ranker:
     wrong = np.concatenate(([np.sum(y == 0)], np.sum(y == 0) + np.cumsum(np.where(y[order] == 1, 1, -1))))
     least = np.flatnonzero(wrong == wrong.min())
     cut = int(least[len(least) // 2])  # rows of lower score that are judged bad: a quantile of the scores
+    if quantile is not None:
+        cut = round(quantile * len(s))
     low, high = s[order[max(0, cut - 1)]], s[order[min(len(s) - 1, cut)]]
-    scale = max(1e-6, float(np.std(s)) / 3)
-    return Ranker(centre, spread, w, float((low + high) / 2), scale)
+    threshold = float((low + high) / 2)
+    return Ranker(centre, spread, w, threshold, 1 / steepness(s - threshold, y))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranker:
-    """Learn from at most SAMPLE_ROWS labelled rows of docs, taken in the order of the hashed id."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", quantile: float | None = None) -> Ranker:
+    """Learn from at most SAMPLE_ROWS labelled rows of docs, taken in the order of the hashed id; quantile: the share of them that is to score below 0.5."""
     rows = labels.select(column(labels, id_col).cast("long").alias("id"), column(labels, label_col).cast("int").alias("y")).where("id is not null and y is not null")
     rows = rows.orderBy(F.xxhash64("id"), "y").limit(SAMPLE_ROWS)
     sample = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text")).join(F.broadcast(rows), "id")
@@ -159,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, len(MEASURES))
     y = got.column("y").to_numpy()
     order = np.lexsort((*x.T, y))  # the same whatever order the rows came in
-    return learn(x[order], y[order])
+    return learn(x[order], y[order], quantile=quantile)
 
 
 def scored(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -459,6 +459,22 @@ def test_quality_held_out(spark):
     assert len(pairs) > 80 and sum(a == b for a, b in pairs) >= 0.97 * len(pairs)
 
 
+def test_quality_threshold_and_scale():
+    """A given quantile of the sample lies below 0.5, and scores near it tell shares of good labels."""
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 4000)
+    x = rng.normal(size=(4000, len(quality.MEASURES)))
+    x[:, 0] += 1.5 * y
+    for q in (0.1, 0.5, 0.8):
+        ranker = quality.learn(x, y, quantile=q)
+        z = (ranker.raw(x) - ranker.threshold) / ranker.scale
+        assert abs((z < 0).mean() - q) < 0.001
+    z = 1 / (1 + np.exp(-(quality.learn(x, y).raw(x) - quality.learn(x, y).threshold) / quality.learn(x, y).scale))
+    for low in (0.1, 0.3, 0.5, 0.7):
+        some = (z >= low) & (z < low + 0.2)
+        assert abs(y[some].mean() - z[some].mean()) < 0.1
+
+
 def test_toxicity_held_out(spark):
     pairs = held_out_accuracy(spark, queries.op7_noisy_channel_toxicity(spark, SF), "toxic")
     assert all(a <= b for a, b in pairs)  # clean texts are left alone
