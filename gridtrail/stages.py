@@ -78,7 +78,7 @@ def erase_polygons(tiles: DataFrame, polygons: DataFrame, reach: int = params.DI
     """Tiles (row0, col0, height, width, transform, data) without the cells that polygons (geom_wkb, box) touch, or near them."""
     spark = tiles.sparkSession
     ship(spark)
-    at = {c: k for k, c in enumerate(tiles.columns)}
+    names, at = tiles.columns, {c: k for k, c in enumerate(tiles.columns)}
     few = polygons.agg(F.sum(F.octet_length("geom_wkb"))).first()[0] or 0
     shape = lambda wkb: vector.from_wkb(bytes(wkb))
 
@@ -113,10 +113,11 @@ def erase_polygons(tiles: DataFrame, polygons: DataFrame, reach: int = params.DI
 
     def erase(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [polygon for wkb in right.column("geom_wkb").to_pylist() for polygon in shape(wkb)]
-        batches = left.select(tiles.columns).combine_chunks().to_batches()
-        return pa.Table.from_batches([cleaned(b, [found] * b.num_rows) for b in batches], schema=None) if batches else left.select(tiles.columns)
+        batches = left.select(names).combine_chunks().to_batches()
+        return pa.Table.from_batches([cleaned(b, [found] * b.num_rows) for b in batches]) if batches else left.select(names)
 
-    return held.groupBy("tile").cogroup(met.groupBy("tile")).applyInArrow(erase, tiles.schema)
+    met = met.toDF("met_tile", "geom_wkb")
+    return held.groupBy("tile").cogroup(met.groupBy("met_tile")).applyInArrow(erase, tiles.schema)
 
 
 def extract(spark: SparkSession, mask_dir: str, output_dir: str, coastline: str | None = None, layer: str | None = None, p: params.Extract = params.Extract()) -> int:
