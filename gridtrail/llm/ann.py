@@ -46,7 +46,7 @@ from .common import Scratch, column, small_batches
 #: Tables in a group.
 TABLES = 4
 #: Estimated chance that a wanted neighbour is in a visited bucket, and that it is in a visited group.
-TARGET, COVER = 0.96, 0.98
+TARGET, COVER = 0.975, 0.985
 #: Vectors of a group, about, and the queries that one task takes for it.
 GROUP_ROWS, QUERY_ROWS = 1 << 15, 1 << 15
 #: The sample for the guess of distances and the coarse cuts: rows and components, at most.
@@ -192,20 +192,24 @@ class Index:
         #: Rows scored, and queries that scored all for want of k.
         self.visited, self.short = 0, 0
 
-    def search(self, q: np.ndarray, own: np.ndarray, guess: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query's place, row's place, score) of each query's k best, in order; own: the names of the queries' own rows."""
+    def search(self, q: np.ndarray, own: np.ndarray, guess: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, row's place, score) of each query's k best, in order; own: the names of the queries' own rows.
+
+        bound: how far each query's k-th best of other groups is; 2, as far as can be, where none is known.
+        """
+        bound = np.full(len(q), 2.0) if bound is None else bound
         asked = self.lift.query(q)
         order = np.lexsort(np.floor((asked @ self.tables[0].a[:, :3]) / self.tables[0].width).T)
         out = []
         for at in range(0, len(q), BATCH):
             some = order[at : at + BATCH]
-            i, j, score = self._batch(q[some], asked[some], own[some], guess[some], k)
+            i, j, score = self._batch(q[some], asked[some], own[some], guess[some], bound[some], k)
             out.append((some[i], j, score))
         if not out:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
-    def _batch(self, q: np.ndarray, asked: np.ndarray, own: np.ndarray, guess: np.ndarray, k: int) -> tuple:
+    def _batch(self, q: np.ndarray, asked: np.ndarray, own: np.ndarray, guess: np.ndarray, bound: np.ndarray, k: int) -> tuple:
         need = 1 - (1 - TARGET) ** (1 / TABLES)
         seen = np.zeros((len(q), len(self.x)), dtype=bool)
         held = None
@@ -214,10 +218,10 @@ class Index:
         for turn in range(3):
             open_, short = np.arange(len(q)), np.zeros(len(q), dtype=bool)
             if turn == 1:
-                far = np.minimum(guess, self._kth(q, held, k))
+                far = np.minimum(guess, np.minimum(bound, self._kth(q, held, k)))
             elif turn == 2:
-                short = np.bincount(held[0], minlength=len(q)) < min(k, len(self.x) - 1)
-                found = self._kth(q, held, k)
+                found = np.minimum(bound, self._kth(q, held, k))
+                short = (found >= 2) & (np.bincount(held[0], minlength=len(q)) < min(k, len(self.x) - 1))
                 open_ = np.flatnonzero(short | (found > far * (1 + 1e-9)))
                 far, short = found, short[open_]
                 self.short += int(short.sum())
@@ -296,7 +300,7 @@ def _filled(x: pd.Series, dim: int) -> np.ndarray:
     return out
 
 
-_VISITS = "quid long, g long, far double"
+_VISITS = "quid long, g long, far double, bound double"
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -333,27 +337,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                     far = groups.guess(q, uid)
                     home = groups.of(q, query=True)
                     if not turn:
-                        yield _visits(uid, far, [home[i : i + 1] for i in range(len(q))])
+                        yield _visits(uid, far, np.full(len(q), 2.0), [home[i : i + 1] for i in range(len(q))])
                         continue
                     found, first = (batch.column(c).to_numpy(zero_copy_only=False)[a : a + 256] for c in ("least", "first"))
                     reach = lambda score: np.where(np.isnan(score), 2.0, groups.lift.distance(q, np.nan_to_num(score)))  # noqa: E731, B023
                     asked_for = np.minimum(far, reach(first))
                     lists = [np.setdiff1d(x, h) for x, h in zip(groups.order(q, asked_for), home, strict=True)]
                     if turn == 1:
-                        yield _visits(uid, asked_for, lists)
+                        yield _visits(uid, asked_for, reach(first), lists)
                         continue
                     far = reach(found)
                     open_ = np.flatnonzero(np.isnan(found) | (far > asked_for * (1 + 1e-9)))
                     more = groups.order(q[open_], far[open_])
                     more = [np.setdiff1d(np.arange(1 << groups.bits) if np.isnan(found[i]) else x, np.append(lists[i], home[i])) for i, x in zip(open_, more, strict=True)]
-                    yield _visits(uid[open_], far[open_], more)
+                    yield _visits(uid[open_], far[open_], far[open_], more)
 
         return run
 
-    def _visits(uid: np.ndarray, far: np.ndarray, lists: list[np.ndarray]) -> pa.RecordBatch:
+    def _visits(uid: np.ndarray, far: np.ndarray, bound: np.ndarray, lists: list[np.ndarray]) -> pa.RecordBatch:
         sizes = [len(x) for x in lists]
         flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(uid, sizes)), pa.array(flat.astype(np.int64)), pa.array(np.repeat(far, sizes))], ["quid", "g", "far"])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(uid, sizes)), pa.array(flat.astype(np.int64)), pa.array(np.repeat(far, sizes)), pa.array(np.repeat(bound, sizes))], ["quid", "g", "far", "bound"])
 
     kind = data.schema["x"].dataType.simpleString()
     placed = data.mapInArrow(placing, f"g long, id long, x {kind}, uid long") if groups.bits else data.select(F.lit(0).cast("long").alias("g"), "id", "x", "uid")
@@ -370,7 +374,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         ids = right["id"].to_numpy()
         index = Index(groups.lift, _filled(right["x"], dim), ids, right["uid"].to_numpy())
         own = left["quid"].to_numpy()
-        i, j, score = index.search(_filled(left["x"], dim), own, left["far"].to_numpy(), k)
+        i, j, score = index.search(_filled(left["x"], dim), own, left["far"].to_numpy(), k, left["bound"].to_numpy())
         return pd.DataFrame({"quid": own[i], "vec_id": ids[j], "score": score})
 
     best = Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id")
@@ -384,7 +388,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         there = visits.join(layout, "g").withColumn("copy", F.pmod(F.xxhash64("quid"), F.col("copies")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         there = there.join(asked.select(F.col("uid").alias("quid"), "x"), "quid")
         keys = ["g", "part", "copy"]
-        return there.select(*keys, "quid", "far", "x").groupBy(*keys).cogroup(rows.select(*keys, "uid", "id", "x").groupBy(*keys)).applyInPandas(compare, "quid long, vec_id long, score double")
+        return there.select(*keys, "quid", "far", "bound", "x").groupBy(*keys).cogroup(rows.select(*keys, "uid", "id", "x").groupBy(*keys)).applyInPandas(compare, "quid long, vec_id long, score double")
 
     def merged(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
