@@ -11,8 +11,9 @@ The text pipeline of the tokenizer file is NFC, white space to a space, lower ca
 splits words, bytes to printable characters, and a mark at each word's end. Special tokens that occur in
 a text are recognised, as the tokenizers library does by default.
 
-Defined results. A null text is empty: no tokens, and an empty decoded text. Repeated rows are all
-returned; other columns of the input aren't read.
+Defined results. A null text is empty: no tokens, and an empty decoded text. Texts of any length are
+encoded whole, CHUNK bytes of words at a time. Repeated rows are all returned, null ids stay, and an empty table gives no
+rows; other columns of the input aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
