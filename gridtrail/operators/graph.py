@@ -13,20 +13,21 @@ from ..storage import Scratch
 HEAVY, HEAVY_ROWS = 1024, 1000
 
 
-def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, n: int | None = None) -> DataFrame:
+def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, n: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """rows with column value of the table's row of equal key, null where there is none; keys of the table are unique, a null is none.
 
     Rows of a key that very many share would meet in one task. Their keys, HEAVY at most, are looked up
     first and sent to all tasks, and the rows themselves, and those without a key, are dealt out by their number.
-    n is the number of rows, counted where it isn't given; rows are read twice, so they should be cheap.
-    Keys that are structs are joined as they are.
+    n is the number of rows, counts (key, n) the rows of each key; both are counted where they aren't given,
+    and rows are then read twice, so they should be written ones. Keys that are structs are joined as they are.
     """
     table = table.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
     n = rows.count() if n is None else n
     limit = max(HEAVY_ROWS, n // HEAVY)
     if n <= 10 * HEAVY_ROWS or isinstance(rows.schema[key].dataType, T.StructType):
         return rows.join(table, F.col(key) == F.col("_key"), "left").withColumnRenamed("_value", value).drop("_key")
-    heavy = rows.groupBy(key).agg(F.count("*").alias("_n")).where(f"_n > {limit}").select(F.col(key).alias("_heavy"))
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    heavy = counts.where(F.col("n") > limit).select(F.col(key).alias("_heavy"))
     heavy = heavy.join(table, F.col("_heavy") == F.col("_key"), "left").select("_heavy", F.col("_value").alias("_found"))
     out = rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy"), "left")
     common = F.col("_heavy").isNotNull()
@@ -58,20 +59,24 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             hook = scratch.keep(hook, f"{name}-far-{k}-{turn}") if large and not turn else hook
         hooks.append(scratch.keep(hook, f"{name}-hook-{k}"))
         left = looked_up(left, "u", hooks[-1].select("u", F.col("v").alias("a")), "a", n)
+        left = scratch.keep(left, f"{name}-half-{k}") if large else left
         left = looked_up(left, "v", hooks[-1].select(F.col("u").alias("v"), F.col("v").alias("b")), "b", n)
         left = left.select("a", F.coalesce("b", "v").alias("b")).where("a <> b")
         left = left.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         left = scratch.keep(left, f"{name}-edges-{k}")
-        scratch.drop(f"{name}-near-{k}", f"{name}-far-{k}-0")
+        scratch.drop(f"{name}-near-{k}", f"{name}-far-{k}-0", f"{name}-half-{k}")
         if k > 1:
             scratch.drop(f"{name}-edges-{k - 1}")
-    labels = first.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("comp", F.col("node"))
-    n = labels.count() if hooks else 0
-    for hook in hooks:  # a few rounds; every node follows its component's path
+    nodes = first.select(F.col("v").alias("node")).distinct()
+    nodes = hooks[0].select(F.col("u").alias("node")).union(nodes).distinct() if hooks else nodes  # all upper ends have a hook
+    labels = scratch.keep(nodes.withColumn("comp", F.col("node")), f"{name}-labels-0")
+    n = labels.count()
+    for k, hook in enumerate(hooks):  # a few rounds; every node follows its component's path
         to = hook.select(F.col("u").alias("comp"), F.col("v").alias("to"))
         labels = looked_up(labels, "comp", to, "to", n).select("node", F.coalesce("to", "comp").alias("comp"))
+        labels = scratch.keep(labels, f"{name}-labels-{k + 1}") if n > 10 * HEAVY_ROWS and k + 1 < len(hooks) else labels
     labels = scratch.keep(labels, f"{name}-labels")
-    scratch.drop(*(f"{name}-hook-{k + 1}" for k in range(len(hooks))), f"{name}-edges-0", f"{name}-edges-{len(hooks)}")
+    scratch.drop(*(f"{name}-hook-{k + 1}" for k in range(len(hooks))), *(f"{name}-labels-{k}" for k in range(len(hooks))), f"{name}-edges-0", f"{name}-edges-{len(hooks)}")
     return labels
 
 
