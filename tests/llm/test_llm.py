@@ -113,6 +113,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert [got[k].component_id for k in range(len(texts))] == want
 
 
+def test_tuples_meet_at_the_limit():
+    """20,000 pairs of a similarity of 0.80 to 0.82 have a tuple in common in both collections, all of them."""
+    rng = np.random.default_rng(12)
+    for k in range(20_000):
+        n = int(rng.integers(40, 400))
+        common = int(np.ceil(n * (0.8 + 0.02 * rng.random())))
+        words = rng.integers(0, 2**63, n, dtype=np.uint64)
+        left = np.sort(np.concatenate([words[:common], words[common : (common + n) // 2]]))
+        right = np.sort(np.concatenate([words[:common], words[(common + n) // 2 :]]))
+        same = neardup.bands(left) == neardup.bands(right)
+        assert same[: neardup.SIDE].any() and same[neardup.SIDE :].any(), (k, n, common)
+
+
 def test_blocks_compare_exactly():
     rng = np.random.default_rng(0)
     left = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.int64)) for _ in range(20)]
@@ -899,3 +912,28 @@ def test_pipeline_stages(spark):
     own = bpe.load(queries.WORD_BPE)
     assert {r.doc_id: r.token_ids for r in kept["encode"].collect()} == {r.doc_id: own.encode(r.text) for r in kept["mix"].collect()}
     assert corpus_pipeline.run(spark, SF).count() == kept["encode"].count()
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd, clashing, empty):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and empty tables, stage by stage."""
+    import corpus_pipeline
+
+    for docs in (odd, clashing):
+        columns, rows, texts = docs.columns, [tuple(r) for r in docs.collect()], {}
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            found = [tuple(r) for r in out.collect()]
+            texts[name] = collections.Counter(repr(r[1]) for r in found)
+            if name == "encode":
+                assert out.columns == ["doc_id", "token_ids"] and len(found) == len(rows)
+                continue
+            assert out.columns == columns
+            if name in ("toxicity", "mix"):
+                assert sorted(map(repr, found)) == sorted(map(repr, rows))
+            if name == "near_dedup":  # the copies of row 1 go, rows without words all stay
+                assert [r[0] for r in found if r[1] and r[1].startswith(odd_rows()[0][1][:40])] == [1]
+                assert sum(not (r[1] or "").strip() for r in found) == 3 and sum(r[1] == "word" for r in found) == 1
+            docs = spark.createDataFrame(found, docs.schema)
+            rows = found
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
