@@ -7,6 +7,10 @@ tasks of ``raster.predicted``.
 
 from __future__ import annotations
 
+import collections
+import io
+import pickle
+import zipfile
 from collections.abc import Callable
 
 import numpy as np
@@ -28,12 +32,56 @@ def contrast_scorer(gain: float = 10.0, level: float = 0.1) -> Callable[[], Call
     return load
 
 
+#: Number types of stored tensors by the name of their storage: fixed values.
+STORAGES = {"FloatStorage": "<f4", "DoubleStorage": "<f8", "HalfStorage": "<f2", "LongStorage": "<i8", "IntStorage": "<i4", "ShortStorage": "<i2", "CharStorage": "<i1", "ByteStorage": "<u1", "BoolStorage": "?"}
+
+
+class _Names(pickle.Unpickler):
+    """Reads only what a table of named tensors is made of; any other class is an error."""
+
+    def __init__(self, archive: zipfile.ZipFile, root: str):
+        super().__init__(io.BytesIO(archive.read(f"{root}/data.pkl")))
+        self.archive, self.root = archive, root
+
+    def find_class(self, module: str, name: str):
+        if (module, name) == ("collections", "OrderedDict"):
+            return collections.OrderedDict
+        if (module, name) in (("torch._utils", "_rebuild_tensor_v2"), ("torch._utils", "_rebuild_parameter")):
+            return getattr(self, name)
+        if module == "torch" and name in STORAGES:
+            return STORAGES[name]
+        raise pickle.UnpicklingError(f"{module}.{name} isn't part of a table of tensors")
+
+    def persistent_load(self, pid: tuple) -> np.ndarray:
+        return np.frombuffer(self.archive.read(f"{self.root}/data/{pid[2]}"), dtype=pid[1])
+
+    @staticmethod
+    def _rebuild_tensor_v2(storage: np.ndarray, offset: int, size: tuple, stride: tuple, *_) -> np.ndarray:
+        steps = tuple(n * storage.itemsize for n in stride)
+        return np.lib.stride_tricks.as_strided(storage[offset:], size, steps).copy()
+
+    @staticmethod
+    def _rebuild_parameter(data: np.ndarray, *_) -> np.ndarray:
+        return data
+
+
+def state_of(path: str) -> dict[str, np.ndarray]:
+    """The named arrays of an .npz file, or of a zipped table of tensors (.pth); a prefix ``module.`` of all names goes."""
+    with zipfile.ZipFile(path) as archive:
+        pickled = next((n for n in archive.namelist() if n.endswith("data.pkl")), None)
+        if pickled is not None:
+            found = _Names(archive, pickled.rpartition("/")[0]).load()
+            found = found.get("state_dict", found)
+            return {k.removeprefix("module."): v for k, v in found.items() if isinstance(v, np.ndarray)}
+    with np.load(path) as f:
+        return dict(f)
+
+
 def weights_scorer(path: str, bottlenecks: tuple[int, ...] = BOTTLENECKS) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
-    """The attention U-Net with weights from an .npz file at this path on every executor; a missing name or file is an error."""
+    """The attention U-Net with weights from an .npz or .pth file at this path on every executor; a missing name or file is an error."""
 
     def load() -> Callable[[np.ndarray], np.ndarray]:
-        with np.load(path) as f:
-            weights = dict(f)
+        weights = state_of(path)
         return lambda x: unet(x[:, None], weights, bottlenecks)[:, 0]
 
     return load

@@ -131,6 +131,7 @@ class TileTracker:
 
     def __init__(self, p: params.Identify, width: int):
         self.p, self.width, self.tracks = p, width, []
+        self.known: dict[tuple[int, int], float | None] = {}
 
     def active(self) -> list[Track]:
         return [x for x in self.tracks if x.missing <= self.p.max_missing_frames]
@@ -144,8 +145,11 @@ class TileTracker:
         """1 - overlap of a pair that passes the gates on area and overlap."""
         if abs(r.area - q.area) / max(q.area, 1) > params.AREA_GATE:
             return None
-        cost = 1 - window_iou(r, q, self.width)
-        return None if cost > params.COST_GATE else cost
+        at = (id(r), id(q))
+        if at not in self.known:  # asked for the normalisers and for the costs
+            cost = 1 - window_iou(r, q, self.width)
+            self.known[at] = None if cost > params.COST_GATE else cost
+        return self.known[at]
 
     def factors(self, now: list[Region], before: list[Region]) -> tuple[float, float, float]:
         """Normalisers from the regions of the frame before, whether tracked or not, at any distance."""
@@ -164,6 +168,7 @@ class TileTracker:
     def step(self, t: int, now: list[Region], before: list[Region]) -> list[tuple[Track, int, Region, tuple]]:
         """Match the regions of frame t, age and begin tracks; returns the new observations."""
         active, out, hit = self.active(), [], set()
+        self.known = {}
         if active:
             na, nx, nc = self.factors(now, before)
             table = np.full((len(now), len(active)), params.FORBIDDEN)

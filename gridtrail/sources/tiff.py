@@ -8,6 +8,7 @@ window. The data source ``grid_file`` writes one file for each row to a folder t
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -21,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from ..functions import scalar
 from ..session import ship
+from ..storage import exists
 
 #: Tag numbers and codes of the format: fixed values.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_SIZES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -239,6 +241,16 @@ def listed(spark: SparkSession, folder: str, glob: str = "*.tif", recursive: boo
     return files.select("path", scalar.stamp_of(F.element_at(F.split("path", "/"), -1)).alias("Timestamp"))
 
 
+def names(spark: SparkSession, folder: str, glob: str, recursive: bool = False) -> DataFrame:
+    """The names of a folder's files, with their subfolders, listed by Spark; none where there is no folder."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], "name string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive)).load(folder)
+    plain = lambda c: F.regexp_replace(c, r"^\w+:/*", "/")
+    at = len(re.sub(r"^\w+:/*", "/", folder).rstrip("/")) + 2
+    return files.select(F.substr(plain(F.col("path")), F.lit(at)).alias("name"))
+
+
 def read_scenes(spark: SparkSession, folder: str, glob: str = "*.tif", recursive: bool = True, windows: Callable[[int, int], list[Window]] = whole, band: int = 1) -> DataFrame:
     """Tiles of each file whose name has a timestamp, one for each of its windows; NaN, infinities and nodata are NULL."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive)).load(folder)

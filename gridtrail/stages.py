@@ -20,7 +20,7 @@ from .functions import scalar
 from .operators import labels, model, pairing, qc, raster, shapes, summary, tracking, vector
 from .session import ship
 from .sources import gpkg, tables, tiff
-from .storage import Scratch
+from .storage import Scratch, exists
 
 
 def _url(path: str) -> str:
@@ -37,11 +37,12 @@ def detect(spark: SparkSession, input_dir: str, output_dir: str, scorer: Callabl
     scorer is a scorer factory (operators.model); it sees patches brought to canvas x canvas cells.
     """
     scenes = tiff.read_scenes(spark, _url(input_dir)).withColumn("scene_id", F.col("path"))
+    # bytes become 0 to 1, other kinds of numbers stay
+    scenes = scenes.withColumn("data", F.when(F.col("dtype") == "uint8", F.transform("data", lambda v: v / 255)).otherwise(F.col("data")))
     inner = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), "^" + os.path.abspath(_plain(input_dir)).replace(".", r"\.") + "/?", "")
     folder = F.regexp_replace(inner, "[^/]*$", "")
     scenes = scenes.withColumn("name", F.concat(folder, "Timestamp", F.lit("_mask.tif")))
-    have = [(os.path.relpath(os.path.join(d, f), _plain(output_dir)),) for d, _, files in os.walk(_plain(output_dir)) for f in files if f.endswith("_mask.tif")]
-    scenes = scenes.join(spark.createDataFrame(have, "name string"), "name", "left_anti").dropDuplicates(["name"])
+    scenes = scenes.join(tiff.names(spark, _url(output_dir), "*_mask.tif", True), "name", "left_anti").dropDuplicates(["name"])
     cut = raster.patches(scenes, raster.grid_of(F.col("height"), p.patch_size), raster.grid_of(F.col("width"), p.patch_size))
     masks = raster.predicted(cut, model.on_canvas(scorer or model.contrast_scorer(), canvas), p.batch_size)
     whole = Scratch(spark, "detect").keep(raster.stitched(masks, ["name", "transform"]), "masks")
@@ -132,9 +133,9 @@ def extract(spark: SparkSession, mask_dir: str, output_dir: str, coastline: str
     blocks = tiff.blocks_of(p.block_rows, p.block_cols)
     masks = tiff.read_scenes(spark, _url(mask_dir), "*_mask.tif", recursive=bool(coastline), windows=blocks)
     is_byte = F.col("dtype").isin("uint8", "int8")
-    done = [(f.removeprefix(f"{prefix}regions_").removesuffix(".json"),) for f in (os.listdir(_plain(output_dir)) if os.path.isdir(_plain(output_dir)) else []) if f.startswith(f"{prefix}regions_")]
+    done = tiff.names(spark, _url(output_dir), f"{prefix}regions_*.json").select(F.regexp_extract("name", r"regions_(.*)\.json$", 1).alias("Timestamp"))
     wanted = tiff.listed(spark, _url(mask_dir), "*_mask.tif", bool(coastline)).where("Timestamp is not null").groupBy("Timestamp").agg(F.min("path").alias("path"))
-    wanted = wanted.join(spark.createDataFrame(done, "Timestamp string"), "Timestamp", "left_anti")
+    wanted = wanted.join(done, "Timestamp", "left_anti")
     masks = masks.join(wanted, ["Timestamp", "path"], "left_semi")
     if coastline:
         surfaces = ", ".join(f"'{s}'" for s in params.MASKED_SURFACES)
@@ -188,11 +189,11 @@ def label_cells(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
     return cells.select("Timestamp", F.col("Timestamp").alias("scene_id"), row.alias("row"), col.alias("col"), F.col("v").cast("bigint").alias("label"), F.col("image_height").alias("height"), F.col("image_width").alias("width"), "transform")
 
 
-def _prefix(folder: str) -> str:
-    mode = tables.mode_of(os.listdir(_plain(folder)))
-    if mode is None:
+def _prefix(spark: SparkSession, folder: str) -> str:
+    found = [m for m in ("coastline", "raw") if not tiff.names(spark, _url(folder), f"{m}_*").isEmpty()]
+    if not found:
         raise ValueError(f"no coastline_ or raw_ files in {folder}")
-    return f"{mode}_"
+    return f"{tables.mode_of([f'{m}_' for m in found])}_"
 
 
 def identify(spark: SparkSession, folder: str, output_csv: str, p: params.Identify = params.Identify(), overwrite: bool = False) -> DataFrame:
@@ -200,9 +201,9 @@ def identify(spark: SparkSession, folder: str, output_csv: str, p: params.Identi
 
     Tiles follow the first label raster.
     """
-    if os.path.exists(_plain(output_csv)) and not overwrite:
+    if exists(spark, _url(output_csv)) and not overwrite:
         return tables.read_table(spark, _url(output_csv))
-    prefix = _prefix(folder)
+    prefix = _prefix(spark, folder)
     scratch = Scratch(spark, "identify")
     stamps = tables.frames(spark, _url(folder), prefix)
     stamps = scratch.keep(stamps.withColumn("frame", F.row_number().over(Window.orderBy("Timestamp"))), "frames")  # one row a frame
@@ -250,14 +251,14 @@ def physical(spark: SparkSession, tracks_csv: str, folder: str, output_csv: str,
     bathymetry: a GeoTIFF in polar metres or in degrees. sea_ice: a folder of sources.tables.import_sea_ice,
     or of classic NetCDF files, with the first node and step of its grid in kilometres. What is missing counts as 0, as an unreadable source.
     """
-    if os.path.exists(_plain(output_csv)) and not overwrite:
+    if exists(spark, _url(output_csv)) and not overwrite:
         return tables.read_table(spark, _url(output_csv), schemas.QC)
     obs = qc.min_epochs(tables.read_table(spark, _url(tracks_csv))).select("Track_ID", "Timestamp", "Geo_X", "Geo_Y", "Unique_ID")
-    by_label = raster.label_areas(label_cells(spark, folder, _prefix(folder)), ["Timestamp"])
+    by_label = raster.label_areas(label_cells(spark, folder, _prefix(spark, folder)), ["Timestamp"])
     obs = qc.without_small(qc.with_position(qc.areas(obs, by_label)), p.min_pixels)
     obs = with_depth(spark, obs, bathymetry) if bathymetry else obs.withColumn("Bed_Depth", F.lit(0.0))
     if sea_ice:
-        classic = any(n.endswith(".nc") for n in os.listdir(_plain(sea_ice)))
+        classic = not tiff.names(spark, _url(sea_ice), "*.nc").isEmpty()
         ice = tables.read_sea_ice(spark, _url(sea_ice)) if classic else spark.read.parquet(_url(sea_ice)).withColumn("date", F.col("date").cast("string"))
         obs = qc.sea_ice(obs, ice, *sic_grid)
     else:
@@ -272,7 +273,7 @@ def _orbit_features(spark: SparkSession, qc_csv: str, folder: str, orbit: str, o
     obs = tables.read_table(spark, _url(qc_csv), schemas.QC).withColumn("Orbit", F.lit(orbit))
     obs = summary.completed(summary.canonical(obs)).withColumn("event_id", F.xxhash64("Unique_ID"))
     name = f"{len(origin)}-"
-    cells = scratch.keep(label_cells(spark, folder, _prefix(folder)), f"{name}cells")
+    cells = scratch.keep(label_cells(spark, folder, _prefix(spark, folder)), f"{name}cells")
     grid = cells.select("height", "width", "transform").first()
     shape = (grid["height"], grid["width"], tuple(grid["transform"]))
     t = shape[2]

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import collections
+import io
 import json
+import pickle
 import struct
+import sys
+import types
+import zipfile
 import zlib
 
 import numpy as np
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gridtrail import params, stages
 from gridtrail.functions import projection
-from gridtrail.operators import raster, vector
+from gridtrail.operators import model, raster, vector
 from gridtrail.sources import gpkg, netcdf, tables, tiff
 
 CODES = {"B": 1, "H": 3, "I": 4, "Q": 16}
@@ -323,3 +329,66 @@ def test_extract_of_a_large_scene(spark, tmp_path):
     assert np.array_equal(data > 0, mask) and data.max() == len(records)
     counts = np.bincount(data.ravel())[1:]
     assert [r["area"] for r in records] == counts.tolist()
+
+
+def test_tables_of_tensors(tmp_path, monkeypatch):
+    """A zipped table of tensors is read by its parts, views of a common storage among them; other classes are refused."""
+    fake, utils = types.ModuleType("torch"), types.ModuleType("torch._utils")
+
+    class FloatStorage:
+        pass
+
+    class LongStorage:
+        pass
+
+    def _rebuild_tensor_v2(*args):
+        return args
+
+    for owner, thing, name in ((fake, FloatStorage, "torch"), (fake, LongStorage, "torch"), (utils, _rebuild_tensor_v2, "torch._utils")):
+        thing.__module__, thing.__qualname__ = name, thing.__name__
+        setattr(owner, thing.__name__, thing)
+    monkeypatch.setitem(sys.modules, "torch", fake)
+    monkeypatch.setitem(sys.modules, "torch._utils", utils)
+    values = {"0": np.arange(12, dtype="<f4"), "1": np.array([7], dtype="<i8")}
+
+    class Storage:
+        def __init__(self, key, kind):
+            self.key, self.kind = key, kind
+
+    class Tensor:
+        def __init__(self, storage, offset, size, stride):
+            self.parts = (storage, offset, size, stride, False, collections.OrderedDict())
+
+        def __reduce__(self):
+            return _rebuild_tensor_v2, self.parts
+
+    class Out(pickle.Pickler):
+        def persistent_id(self, x):
+            return ("storage", x.kind, x.key, "cpu", len(values[x.key])) if isinstance(x, Storage) else None
+
+    def saved(path, table):
+        held = io.BytesIO()
+        Out(held, 2).dump(table)
+        with zipfile.ZipFile(path, "w") as z:
+            z.writestr("net/data.pkl", held.getvalue())
+            for k, v in values.items():
+                z.writestr(f"net/data/{k}", v.tobytes())
+
+    float_ = Storage("0", FloatStorage)
+    saved(tmp_path / "w.pth", collections.OrderedDict([("module.a", Tensor(float_, 0, (2, 3), (3, 1))), ("module.b", Tensor(float_, 6, (3, 2), (1, 3))), ("module.n", Tensor(Storage("1", LongStorage), 0, (), ()))]))
+    got = model.state_of(str(tmp_path / "w.pth"))
+    assert got["a"].tolist() == [[0, 1, 2], [3, 4, 5]] and got["b"].tolist() == [[6, 9], [7, 10], [8, 11]] and got["n"] == 7
+    np.savez(tmp_path / "w.npz", a=got["a"])
+    assert model.state_of(str(tmp_path / "w.npz"))["a"].tolist() == got["a"].tolist()
+    saved(tmp_path / "bad.pth", {"x": zipfile.ZipInfo("x")})
+    with pytest.raises(pickle.UnpicklingError):
+        model.state_of(str(tmp_path / "bad.pth"))
+
+
+def test_bytes_are_scaled_for_the_net(spark, tmp_path):
+    seen = np.zeros((20, 20), np.uint8)
+    seen[5:9, 5:9] = 200
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "S_20240101T000000.tif").write_bytes(tiff.encode(tiff.Raster(seen, (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 3031)))
+    assert stages.detect(spark, str(tmp_path / "in"), str(tmp_path / "out"), model.contrast_scorer(100, 0.9), params.Detect(patch_size=10), canvas=10) == 1
+    assert not tiff.decode((tmp_path / "out" / "20240101T000000_mask.tif").read_bytes()).data.any()  # 200 / 255 is below 0.9

@@ -374,3 +374,16 @@ def test_late_counts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r.n, r.area_km2) for r in spark.table("counted").collect()) == [(1, 4.0), (2, 3.0)]
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "binary"])
+def test_lookups_deal_out_common_keys(spark, kind):
+    """Rows of a common key, of none and of an unknown one get what a plain join gives them, over many partitions."""
+    rows = spark.range(30_000).selectExpr("id as n", f"cast(cast(case when id % 3 = 0 then 5 when id % 7 = 0 then null when id % 5 = 0 then 11 else id % 400 end as string) as {kind}) as k")
+    table = spark.range(0, 400, 2).selectExpr(f"cast(cast(id as string) as {kind}) as k", "id * 10 as v")
+    some = table.union(spark.range(1).selectExpr(f"cast('5' as {kind})", "50L"))
+    listed = lambda df: sorted(((r.n, r.v) for r in df.collect()), key=repr)
+    found = graph.looked_up(rows, "k", some, "v")
+    assert found.columns == ["n", "k", "v"] and listed(found) == listed(rows.join(some, "k", "left"))
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    assert listed(graph.looked_up(rows, "k", some, "v", 30_000, counts)) == listed(found)
