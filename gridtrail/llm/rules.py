@@ -83,11 +83,16 @@ def base_failed() -> Column:
 
 def sample(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of the SAMPLE_IDS smallest hashed ids, SAMPLE_ROWS at most; a first reading of ids only finds them."""
-    ids = column(docs, id_col)
-    found = docs.select(ids.cast("string").alias("id")).where("id is not null").groupBy("id").agg(F.first("id").alias("_")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_IDS).collect()
+    ids = docs.select(column(docs, id_col).cast("string").alias("id")).where("id is not null")
+    h = F.xxhash64("id")
+    # of many rows only those of small hashes are held against each other, unless these are too few ids
+    most = -(2**63) + (16 * SAMPLE_IDS * 2**64) // max(1, docs.count())
+    found = ids.where(h <= min(most, 2**63 - 1)).distinct().orderBy(h, "id").limit(SAMPLE_IDS).collect()
+    if len(found) < SAMPLE_IDS and most < 2**63 - 1:
+        found = ids.distinct().orderBy(h, "id").limit(SAMPLE_IDS).collect()
     # a list of values, which the files' own statistics can be held against
     kind = docs.schema[id_col].dataType
-    return docs.where(ids.isin([F.lit(r["id"]).cast(kind) for r in found])).limit(SAMPLE_ROWS)
+    return docs.where(column(docs, id_col).isin([F.lit(r["id"]).cast(kind) for r in found])).limit(SAMPLE_ROWS)
 
 
 def estimated(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
