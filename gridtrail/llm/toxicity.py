@@ -116,25 +116,27 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(counts / counts.sum(axis=2, keepdims=True))
 
 
-_LIKE = "".join(LOOKS_LIKE)
-_ODD = re.compile(f"[{UNSEEN}{_LIKE}{_LIKE.upper()}\uff21-\uff3a\uff41-\uff5a]")
-_MIXED = re.compile(rf"\w*[{_LIKE}{_LIKE.upper()}\uff21-\uff3a\uff41-\uff5a]\w*", re.I)
+_LIKE = "".join(LOOKS_LIKE) + "".join(k.upper() for k in LOOKS_LIKE if k.upper() > "\x7f")
+_WIDE = "\uff21-\uff3a\uff41-\uff5a"
+#: A look-alike beside a Latin letter, or a wide letter; words of one script alone have neither.
+_MIXED = re.compile(f"[A-Za-z][{_LIKE}]|[{_LIKE}][A-Za-z]|[{_WIDE}]")
+_ANY = re.compile(f"[{UNSEEN}{_LIKE}{_WIDE}]")
+_ODD = re.compile(f"[{UNSEEN}]|{_MIXED.pattern}")
+_WORDS = re.compile(r"\w+")
 _HIDDEN = re.compile(rf"(?<=\w)[{UNSEEN}]+(?=\w)")
-_LATIN = re.compile("[A-Za-z]")
 _TO_LATIN = str.maketrans({**LOOKS_LIKE, **{k.upper(): v.upper() for k, v in LOOKS_LIKE.items() if len(k.upper()) == 1 and k.upper() not in "I"}})
 _NARROW = str.maketrans({chr(0xFEE0 + k): chr(k) for r in (range(65, 91), range(97, 123)) for k in r})
 
 
 def unmasked(text: str) -> str:
     """The text without invisible characters inside words, look-alikes in words with Latin letters as these, wide letters as narrow ones."""
-    if not _ODD.search(text):
+    if not (_ANY.search(text) and _ODD.search(text)):
         return text
 
     def word(m: re.Match) -> str:
-        narrow = m[0].translate(_NARROW)
-        return narrow.translate(_TO_LATIN) if _LATIN.search(narrow) else narrow
+        return m[0].translate(_NARROW).translate(_TO_LATIN) if _MIXED.search(m[0]) else m[0]
 
-    return _MIXED.sub(word, _HIDDEN.sub("", text))
+    return _WORDS.sub(word, _HIDDEN.sub("", text))
 
 
 def spans(data: np.ndarray) -> list[tuple[int, int]]:
@@ -295,6 +297,10 @@ def _restored(texts: list, model: np.ndarray) -> Iterator[str]:
 
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Words with a letter twice in a row; each is tried from its first letter only.
+_RUNS = re.compile(r"(?<![^\W\d_])[^\W\d_]*?([a-z])\1[^\W\d_]*")
+#: Such words whose entries are remembered.
+KNOWN = 50_000
 
 
 def hash64(*words: str) -> int:
@@ -345,10 +351,10 @@ class Scorer:
 
     def __init__(self, words: list[str], weights: np.ndarray, bias: float, model: np.ndarray):
         self.words, self.weights, self.bias, self.model = words, weights, bias, model
-        self.automaton, self.stretched = None, []
+        self.automaton, self.stretched, self.known = None, [], {}
 
     def __getstate__(self):
-        return self.__dict__ | {"automaton": None, "stretched": []}
+        return self.__dict__ | {"automaton": None, "stretched": [], "known": {}}
 
     def counts(self, text: str) -> dict[int, int]:
         """How often each lexicon word occurs as a whole word in a restored text."""
@@ -360,14 +366,13 @@ class Scorer:
             self.stretched = [re.compile("".join(f"{c}{{{len(list(g))},}}" for c, g in itertools.groupby(w))) for w, _ in entries]
         low = text.lower()
         out = _found(self.automaton[0], low)
-        short = folded(low)
-        if short is low:
-            return out
-        if any(n > out.get(k, 0) for k, n in _found(self.automaton[1], short).items()):
-            for word in _WORD.findall(low):
-                if folded(word) is not word:
-                    for k in self.doubled(word):
-                        out[k] = out.get(k, 0) + 1
+        for m in _RUNS.finditer(low):
+            if m[0] not in self.known:
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                self.known[m[0]] = self.doubled(m[0])
+            for k in self.known[m[0]]:
+                out[k] = out.get(k, 0) + 1
         return out
 
     def doubled(self, word: str) -> list[int]:
