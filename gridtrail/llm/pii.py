@@ -248,7 +248,7 @@ def _email(text: str, key: bytes) -> str:
     low = text.lower() if len(text.lower()) == len(text) else text
     user, _, domain = low.rpartition("@")
     host, _, top = domain.rpartition(".")
-    made = reshape(f"{user}@{host}", kinds(f"{user}@{host}"), key, f"email.{top}") + "." + top
+    made = _chained(f"{user}@{host}", key, f"email.{top}") + "." + top
     return "".join(m.upper() if c.isupper() and len(m.upper()) == 1 else m for c, m in zip(text, made, strict=True))
 
 
@@ -307,6 +307,8 @@ def _part(name: str, lists: tuple[dict, ...], key: bytes, tweak: str) -> str:
     for i, known in enumerate(lists):
         if name in known[script]:
             return known[script][exchange(known[script].index(name), len(known[script]), key, f"{tweak}{i}{script}")]
+    if len(name) > PART:  # no name of the lists is as long
+        return "".join(reshape(p, [_sounds(c, script) for c in p], key, f"{tweak}{script}{at}") for at in range(0, len(name), PART) for p in (name[at : at + PART],))
     return reshape(name, [_sounds(c, script) for c in name], key, tweak + script, lambda x: not any(x in known[script] for known in lists))
 
 
