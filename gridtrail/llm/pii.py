@@ -473,6 +473,13 @@ def reported(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col
     return spread(source).mapInArrow(run, "doc_id long, text string, n_entities long, kinds array<string>")
 
 
+def plain_form(kind: str, entity: str) -> str:
+    """An entity without what is only its setting: letter case, and the zeros of an address."""
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in entity.split("."))
+    return str(ipaddress.IPv6Address(entity)) if kind == "ip6" else entity.lower()
+
+
 def collisions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
     """(kind, surrogate, n) of surrogates that stand for more than one entity; empty if all is well.
 
@@ -482,7 +489,7 @@ def collisions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {(k, e.lower(), m.lower()) for t in batch.column(0).to_pylist() if t for k, e, m in pairs(t, entities(t), key)}
+            rows = {(k, plain_form(k, e), m.lower()) for t in batch.column(0).to_pylist() if t for k, e, m in pairs(t, entities(t), key)}
             columns = list(zip(*sorted(rows), strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "entity", "surrogate"])
 

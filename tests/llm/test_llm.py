@@ -724,6 +724,13 @@ def test_surrogates_keep_checks_and_mentions():
         assert len({pii.surrogate(kind, x) for x in names}) == len(names) and not any(pii.surrogate(kind, x) == x for x in names)
 
 
+def test_settings_of_one_entity_are_no_collision(spark):
+    texts = ["10.01.2.3 10.1.2.3 8.8.8.8 8.8.08.8", "2001:db8::1 2001:0db8:0:0:0:0:0:1 2001:DB8::1", "A.B@Mail.example.com a.b@mail.EXAMPLE.com", "Mr. John Smith-Jones, Smith-Jones, Dr. John Smith"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sum(len(pii.entities(t)) for t in texts) >= 12
+    assert pii.checked(docs).count() == len(texts)
+
+
 def test_surrogates_stop_at_collisions(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "ip 8.8.8.8 and 8.8.4.4")], "doc_id long, text string")
     assert pii.checked(docs).count() == 1
