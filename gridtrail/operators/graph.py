@@ -47,9 +47,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     low, high = F.least("u", "v"), F.greatest("u", "v")
     first = scratch.keep(edges.where("u <> v").select(high.alias("u"), low.alias("v")).distinct(), f"{name}-edges-0")
-    left, hooks = first, []
+    left, hooks, edges_in_all = first, [], 0
     while n := left.count():
-        k = len(hooks) + 1
+        k, edges_in_all = len(hooks) + 1, edges_in_all or n
         large = n > 10 * HEAVY_ROWS
         hook = left.groupBy("u").agg(F.min("v").alias("v"))
         hook = scratch.keep(hook, f"{name}-near-{k}") if large else hook
@@ -69,8 +69,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             scratch.drop(f"{name}-edges-{k - 1}")
     nodes = first.select(F.col("v").alias("node")).distinct()
     nodes = hooks[0].select(F.col("u").alias("node")).union(nodes).distinct() if hooks else nodes  # all upper ends have a hook
-    labels = scratch.keep(nodes.withColumn("comp", F.col("node")), f"{name}-labels-0")
-    n = labels.count()
+    labels, n = nodes.withColumn("comp", F.col("node")), 2 * edges_in_all  # nodes, at most
+    if n > 10 * HEAVY_ROWS:
+        labels = scratch.keep(labels, f"{name}-labels-0")
     for k, hook in enumerate(hooks):  # a few rounds; every node follows its component's path
         to = hook.select(F.col("u").alias("comp"), F.col("v").alias("to"))
         labels = looked_up(labels, "comp", to, "to", n).select("node", F.coalesce("to", "comp").alias("comp"))
