@@ -210,6 +210,12 @@ def cell_overlaps(pixels: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     return one.join(two, [*keys, "row", "col"]).where("i <> j").groupBy(*keys, "i", "j").agg(F.count("*").alias("shared"))
 
 
+def _ranked(features: DataFrame, keys: list[str], id_col: str, rank_by: str, one_group: bool, scratch: Scratch) -> DataFrame:
+    order = [F.desc(rank_by), F.col(id_col)]
+    ranked = numbered(features, order, "rank", scratch) if one_group else features.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return scratch.keep(ranked.withColumn("_node", F.monotonically_increasing_id()), "ranked")
+
+
 def deduplicated(features: DataFrame, shared: DataFrame, keys: list[str], id_col: str, rank_by: str, limit: float = params.Export.overlap_threshold, one_group: bool = False) -> DataFrame:
     """features with rank (by rank_by downwards, then id) and dropped.
 
@@ -219,12 +225,9 @@ def deduplicated(features: DataFrame, shared: DataFrame, keys: list[str], id_col
     other's own area in cells) is over the limit, higher-ranked ones too. Decisions only depend on each
     other within a connected component of such pairs, so the loop runs per component.
     """
-    spark = features.sparkSession
-    ship(spark)
-    scratch = Scratch(spark, "dedup")
-    order = [F.desc(rank_by), F.col(id_col)]
-    ranked = numbered(features, order, "rank", scratch) if one_group else features.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    ranked = scratch.keep(ranked, "ranked")
+    ship(features.sparkSession)
+    scratch = Scratch(features.sparkSession, "dedup")
+    ranked = _ranked(features, keys, id_col, rank_by, one_group, scratch)
     side = lambda name: ranked.select(*keys, F.col(id_col).alias(name), F.col("rank").alias(f"{name}_rank"), F.col("area").alias(f"{name}_area"))
     edges = shared.join(side("i"), [*keys, "i"]).join(side("j"), [*keys, "j"]).where(F.col("j_area") > 0)
     edges = scratch.keep(edges.where(F.col("shared") / F.col("j_area") > limit).select(*keys, "i", "j", "i_rank", "j_rank"), "edges")
@@ -243,7 +246,51 @@ def deduplicated(features: DataFrame, shared: DataFrame, keys: list[str], id_col
         return pd.DataFrame({**{k: group[k].iloc[0] for k in keys}, id_col: sorted(gone)}, columns=[*keys, id_col])
 
     dropped = grouped.select("comp", *keys, "i", "j", "i_rank", "j_rank").groupBy("comp").applyInPandas(run, schema).distinct()
-    return ranked.join(dropped.withColumn("dropped", F.lit(True)), [*keys, id_col], "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))
+    return ranked.drop("_node").join(dropped.withColumn("dropped", F.lit(True)), [*keys, id_col], "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))
+
+
+def _covered(limit: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """The features that the loop drops, of one component's cells."""
+        _, first, of = np.unique(group["rank"], return_index=True, return_inverse=True)
+        nodes, areas = group["_node"].to_numpy()[first], group["area"].to_numpy(dtype=float)[first]
+        cell = group.groupby(["row", "col"]).ngroup().to_numpy()
+
+        def lists(by: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+            turn = np.argsort(by, kind="stable")
+            return np.split(values[turn], np.flatnonzero(np.diff(by[turn])) + 1)
+
+        cells, left = lists(of, cell), lists(cell, of)
+        gone = np.zeros(len(nodes), dtype=bool)
+        for i, own in enumerate(cells):
+            if gone[i]:
+                continue
+            for c in own:  # those dropped before can't change any more
+                left[c] = left[c][~gone[left[c]]]
+            others, shared = np.unique(np.concatenate([left[c] for c in own]), return_counts=True)
+            others, shared = others[areas[others] > 0], shared[areas[others] > 0]
+            gone[others[(shared / areas[others] > limit) & (others != i)]] = True
+        return pd.DataFrame({"_node": nodes[gone]})
+
+    return run
+
+
+def deduplicated_cells(features: DataFrame, pixels: DataFrame, keys: list[str], id_col: str, rank_by: str, limit: float = params.Export.overlap_threshold, one_group: bool = False) -> DataFrame:
+    """deduplicated() from the features' cells, each given once, in place of their overlaps.
+
+    Overlapping pairs grow with the square of the features at a place, so none are made: a feature is
+    tied to the first one of each of its cells, and in a component of such ties the loop counts the
+    cells of a feature that stays against those of the others that are left there.
+    """
+    ship(features.sparkSession)
+    scratch = Scratch(features.sparkSession, "dedup")
+    ranked = _ranked(features, keys, id_col, rank_by, one_group, scratch)
+    cells = pixels.select(*keys, id_col, "row", "col").join(ranked.select(*keys, id_col, "_node", "rank", "area"), [*keys, id_col])
+    cells = scratch.keep(cells.select(*keys, "row", "col", "_node", "rank", "area"), "cells")
+    ties = cells.join(cells.groupBy(*keys, "row", "col").agg(F.min("_node").alias("v")), [*keys, "row", "col"])
+    comps = components(ties.select(F.col("_node").alias("u"), "v"), scratch, "ties").withColumnRenamed("node", "_node")
+    dropped = cells.join(comps, "_node").select("comp", "_node", "rank", "area", "row", "col").groupBy("comp").applyInPandas(_covered(limit), "_node long")
+    return ranked.join(dropped.withColumn("dropped", F.lit(True)), "_node", "left").withColumn("dropped", F.coalesce("dropped", F.lit(False))).drop("_node")
 
 
 def status_of(meets: Column, covered: Column) -> Column:

@@ -280,8 +280,7 @@ def overlap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fixtures.component_pixels(spark, sf_dir).withColumn("rid", F.col("scene_id") * 64 + F.col("label"))
     features = labels.region_stats(cells, ["orbit", "rid"], AREA).select("orbit", "rid", "area")
-    cells = cells.join(features, ["orbit", "rid"], "left_semi")
-    out = vector.deduplicated(features, vector.cell_overlaps(cells, ["orbit"], "rid"), ["orbit"], "rid", "area")
+    out = vector.deduplicated_cells(features, cells, ["orbit"], "rid", "area")
     return out.select("orbit", "rid", "area", F.col("rank").cast("bigint").alias("rank"), "dropped")
 
 

@@ -173,6 +173,24 @@ def test_greedy_removal(spark):
     assert got == {1: True, 2: False}
 
 
+def test_greedy_removal_by_cells(spark):
+    """The same as by overlaps, without making pairs: they would be the square of the features of a place."""
+    rng = np.random.default_rng(5)
+    cells = [(o, rid, int(r), int(c)) for o in (1, 2) for rid in range(60) for r, c in {(rng.integers(9), rng.integers(9)) for _ in range(rng.integers(1, 12))}]
+    cells = spark.createDataFrame(cells, "orbit int, rid int, row int, col int")
+    feats = cells.groupBy("orbit", "rid").agg(F.count("*").alias("area"), (F.col("rid") * 7 % 11).alias("mean"))
+    for by in ("area", "mean"):
+        want = vector.deduplicated(feats, vector.cell_overlaps(cells, ["orbit"], "rid"), ["orbit"], "rid", by)
+        got = vector.deduplicated_cells(feats, cells, ["orbit"], "rid", by)
+        assert sorted(got.columns) == sorted(want.columns)
+        rows = lambda df: sorted((r.orbit, r.rid, r.area, r.rank, r.dropped) for r in df.collect())
+        assert rows(got) == rows(want) and len({r[-1] for r in rows(got)}) == 2
+    stacked = spark.range(20_000).select(F.lit(1).alias("orbit"), F.col("id").alias("rid"))
+    places = stacked.crossJoin(spark.range(4).select(F.lit(0).alias("row"), F.col("id").alias("col")))  # 4e8 pairs of features
+    got = vector.deduplicated_cells(stacked.withColumn("area", F.lit(4)), places, ["orbit"], "rid", "area")
+    assert got.where("not dropped").select("rid", "rank").collect() == [(0, 1)]
+
+
 def test_ice_status(spark):
     boxes = spark.createDataFrame([(1, 10, 10, 2, 2), (2, 4, 0, 2, 2), (3, 3, 3, 2, 2), (4, 0, 0, 2, 2), (5, 3, 0, 3, 1)], "id int, left int, top int, width int, height int")
     ice = spark.createDataFrame([(1, 0, 0, 4, 4), (1, 4, 0, 2, 1), (2, 10, 10, 9, 9)], "class_id int, left int, top int, width int, height int")
