@@ -19,10 +19,12 @@ from ..storage import Scratch
 from .graph import numbered
 
 
-def assigned(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of least total cost, as many as the smaller side; shortest augmenting paths."""
-    if cost.size == 0:
-        return []
+#: Sets of used columns that are followed at once where pairings tie.
+TIED = 4096
+
+
+def _solved(cost: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """assigned(), and the prices of rows and columns: no pair costs less than its two, up to rounding."""
     flipped = cost.shape[0] > cost.shape[1]
     c = np.asarray(cost.T if flipped else cost, dtype=float)
     n, m = c.shape
@@ -54,7 +56,12 @@ def assigned(cost: np.ndarray) -> list[tuple[int, int]]:
             row_of[last] = row_of[before] if before >= 0 else start
             last = before
     pairs = [(int(row_of[j]), j) for j in range(m) if row_of[j] >= 0]
-    return sorted((b, a) for a, b in pairs) if flipped else sorted(pairs)
+    return (sorted((b, a) for a, b in pairs), v, u) if flipped else (sorted(pairs), u, v)
+
+
+def assigned(cost: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of least total cost, as many as the smaller side; shortest augmenting paths."""
+    return _solved(cost)[0] if cost.size else []
 
 
 def match(costs: np.ndarray) -> list[tuple[int, int]]:
@@ -62,8 +69,48 @@ def match(costs: np.ndarray) -> list[tuple[int, int]]:
     return [(i, j) for i, j in assigned(np.where(np.isfinite(costs), costs, params.FORBIDDEN)) if costs[i, j] < params.FORBIDDEN]
 
 
+def settled(costs: np.ndarray) -> list[tuple[int, int]]:
+    """match() with ties settled: most pairs, then the least sum in doubles, added in the order of rows, then the first pairs.
+
+    Pairings whose sums differ by rounding only are made of pairs that cost their prices. They are followed
+    row by row, one for each set of columns that later rows may still want; with more than TIED such sets
+    the solver's own pairing is returned, whose sum is the least but for rounding.
+    """
+    if costs.size == 0:
+        return []
+    table = np.where(np.isfinite(costs), costs, params.FORBIDDEN)
+    (n, m), (found, u, v) = table.shape, _solved(table)
+    found = [(i, j) for i, j in found if table[i, j] < params.FORBIDDEN]
+    room = 1e-14 * params.FORBIDDEN * (n + m)
+    tight, real = table - u[:, None] - v[None, :] <= room, table < params.FORBIDDEN
+    alone = (tight & ~real).any(axis=1) | ((n > m) & (u >= -room))
+    options = [frozenset(np.flatnonzero(x).tolist()) for x in tight & real]
+    if all(len(x) + a == 1 for x, a in zip(options, alone, strict=True)):
+        return found
+    later = [frozenset()]
+    for x in options[:0:-1]:
+        later.append(later[-1] | x)
+    states = {(frozenset(), 0): [(0.0, ())]}
+    for i, wanted in enumerate(reversed(later)):
+        after: dict = {}
+        for (used, without), paths in states.items():
+            if alone[i] and without < n - len(found):
+                after.setdefault((used & wanted, without + 1), []).extend(paths)
+            for j in options[i] - used:
+                after.setdefault(((used | {j}) & wanted, without), []).extend((total + float(table[i, j]), (*path, (i, j))) for total, path in paths)
+        if not 0 < len(after) <= TIED:
+            return found
+        states = {}
+        for key, paths in after.items():  # a larger sum may still come to the same by rounding, and win by its pairs
+            kept = states[key] = []
+            for total, path in sorted(paths):
+                if not kept or path < kept[-1][1]:
+                    kept.append((total, path))
+    return list(min(x for paths in states.values() for x in paths)[1])
+
+
 def matched_pairs(pairs: DataFrame, keys: list[str], cost: str = "cost") -> DataFrame:
-    """One-to-one pairs of each group of candidate pairs (cur_label, prev_label, cost)."""
+    """One-to-one pairs of each group of candidate pairs (cur_label, prev_label, cost), ties settled by the labels."""
     ship(pairs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys, "cur_label", "prev_label", cost).schema.fields)
 
@@ -71,7 +118,7 @@ def matched_pairs(pairs: DataFrame, keys: list[str], cost: str = "cost") -> Data
         rows, cols = np.unique(group["cur_label"]), np.unique(group["prev_label"])
         table = np.full((len(rows), len(cols)), params.FORBIDDEN)
         table[np.searchsorted(rows, group["cur_label"]), np.searchsorted(cols, group["prev_label"])] = group[cost]
-        found = match(table)
+        found = settled(table)
         out = pd.DataFrame({"cur_label": [rows[i] for i, _ in found], "prev_label": [cols[j] for _, j in found], cost: [table[i, j] for i, j in found]})
         for k in keys:
             out[k] = group[k].iloc[0]

@@ -120,6 +120,32 @@ def test_assignment_small_cases():
     assert tracking.match(np.zeros((0, 3))) == []
 
 
+def test_tied_assignments_are_settled(spark):
+    """Most pairs, then the least sum in doubles in the order of rows (as the SQL adds them), then the first pairs."""
+    rng, unlike = np.random.default_rng(3), 0
+    for _ in range(400):
+        n, m = rng.integers(1, 5, 2)
+        costs = np.where(rng.random((n, m)) < 0.2, params.FORBIDDEN, rng.integers(1, 5, (n, m)) * 0.1)
+        every = []
+        for size in range(min(n, m) + 1):
+            for rows in itertools.combinations(range(n), size):
+                for cols in itertools.permutations(range(m), size):
+                    pairs = list(zip(rows, cols, strict=True))
+                    if all(costs[x] < params.FORBIDDEN for x in pairs):
+                        total = 0.0
+                        for x in pairs:
+                            total += costs[x]
+                        every.append((-size, total, pairs))
+        assert tracking.settled(costs) == min(every)[2]
+        unlike += tracking.match(costs) != min(every)[2]
+    assert unlike > 0
+    near = [(20, 17, 3.2190837205639746), (20, 30, 2.233582075700127), (44, 17, 4.103690750748377), (44, 30, 1.9002923751652305), (47, 17, 5.986675018553937), (47, 30, 1.90029237516523)]
+    pairs = spark.createDataFrame([(1, *x) for x in near], "frame int, cur_label int, prev_label int, cost double")
+    assert sorted((r.cur_label, r.prev_label) for r in tracking.matched_pairs(pairs, ["frame"]).collect()) == [(20, 17), (44, 30)]
+    many = tracking.settled(np.ones((40, 40)))  # more ties than are followed: a whole pairing all the same
+    assert len({i for i, _ in many}) == len({j for _, j in many}) == 40
+
+
 def _runs(frames, last, **flags):
     filled = {t for t, r in frames.items() if r}
     out = tracking.track_tile(frames, list(range(1, last + 1)), set(range(1, last + 1)) - filled - flags.pop("also_filled", set()), params.Identify(), 20, **flags)
