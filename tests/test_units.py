@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import itertools
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -271,6 +276,30 @@ def test_components_and_numbers(spark):
     assert all(r.k == r.x + 1 for r in named)
 
 
+def test_kept_tables_start_no_process_of_the_driver(tmp_path):
+    """A chmod of the driver's holds its memory as its own until it runs; tasks start one for their folder and one for their file."""
+    (tmp_path / "bin").mkdir()
+    fake = tmp_path / "bin" / "chmod"
+    fake.write_text(f'#!/bin/sh\necho "$*" >> "{tmp_path}/started"\nexec {shutil.which("chmod")} "$@"\n')
+    fake.chmod(0o755)
+    code = f"""
+from gridtrail.session import local_session
+from gridtrail.storage import Scratch
+spark = local_session(1, 1, **{{"spark.checkpoint.dir": "file://{tmp_path}/a b", "spark.driver.memory": "1g"}})
+scratch = Scratch(spark, "test")
+for n in (5, 7):
+    kept = scratch.keep(spark.range(0, n, 1, 2), "x")
+print("rows", kept.count())
+"""
+    env = os.environ | {"PATH": f"{fake.parent}:{os.environ['PATH']}", "PYTHONPATH": str(Path(__file__).parents[1])}
+    env = {k: v for k, v in env.items() if not k.startswith(("PYSPARK_GATEWAY", "PYSPARK_DRIVER"))}
+    ran = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
+    assert ran.stdout.split()[-2:] == ["rows", "7"], ran.stderr
+    started = (tmp_path / "started").read_text().splitlines()
+    mine = [x for x in started if "/test-" in x]
+    assert len(mine) == 8 and all("/attempt_" in x for x in mine), mine
+
+
 def test_shapes():
     square = np.ones((4, 4), bool)
     assert sorted(map(tuple, shapes.outer_contour(square).tolist())) == [(0, 0), (0, 3), (3, 0), (3, 3)]
